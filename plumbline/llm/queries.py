@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.llm import exact_dedup, line_dedup
+from plumbline.llm import exact_dedup, line_dedup, packing, token_output
 
 QUERIES = {
+    "op1_best_fit_packing": packing.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op9_token_output": token_output.query,
     "op10_substring_dedup": line_dedup.query,
 }
 ORACLES = {
