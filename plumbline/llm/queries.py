@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from plumbline.llm import exact_dedup, line_dedup, packing, token_output
+from plumbline.llm import decontaminate, exact_dedup, lang_id, line_dedup, packing, token_output
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op4_decontamination": decontaminate.query,
+    "op8_language_id": lang_id.query,
     "op9_token_output": token_output.query,
     "op10_substring_dedup": line_dedup.query,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op4_decontamination": decontaminate.SQL,
     "op10_substring_dedup": line_dedup.SQL,
 }
