@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, exact_dedup, lang_id, line_dedup, packing, token_output
+from plumbline.llm import decontaminate, exact_dedup, html_text, jaccard_join, lang_id, line_dedup, packing, token_output, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_exact_dedup": exact_dedup.query,
     "op4_decontamination": decontaminate.query,
+    "op5_jaccard_join": jaccard_join.query,
+    "op6_html_extraction": html_text.query,
+    "op7_url_filter": url_filter.query,
     "op8_language_id": lang_id.query,
     "op9_token_output": token_output.query,
     "op10_substring_dedup": line_dedup.query,
