@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, exact_dedup, html_text, jaccard_join, lang_id, line_dedup, packing, token_output, url_filter
+from plumbline.llm import decontaminate, exact_dedup, html_text, jaccard_join, lang_id, line_dedup, packing, substring_dedup, token_output, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op3_suffix_array_dedup": substring_dedup.query,
     "op4_decontamination": decontaminate.query,
     "op5_jaccard_join": jaccard_join.query,
     "op6_html_extraction": html_text.query,
