@@ -31,7 +31,6 @@ from plumbline.llm.shared import table
 WINDOW = 13
 #: Bytes of documents in one index, and of benchmark text in one broadcast block.
 SHARD_BYTES, BLOCK_BYTES = 8 << 20, 16 << 20
-FOUND = "n_words long, span_starts array<int>, span_ends array<int>, items array<string>"
 
 
 @dataclass
@@ -117,12 +116,11 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int = BLOC
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
     """One row per row of ``docs``: ``row`` (the input row), n_words, span_starts, span_ends (word numbers, merged, ends exclusive), items."""
     row = F.struct(*[docs[c] for c in docs.columns])
-    kind = docs.select(row.alias("row")).schema["row"].dataType.simpleString()
     none = F.array().cast("array<int>")
     out = docs.select(row.alias("row"), docs[text_col].cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), none.alias("span_starts"), none.alias("span_ends"), F.array().cast("array<string>").alias("items"))
     for block in blocks(benchmark, item_col, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(windows(block, width))
-        out = out.mapInArrow(_search(shared), f"row {kind}, text string, {FOUND}")
+        out = out.mapInArrow(_search(shared), out.schema)
     return out.drop("text")
 
 

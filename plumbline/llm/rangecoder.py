@@ -150,7 +150,8 @@ def _decode_blocks(blocks: list[np.ndarray], sizes: np.ndarray, freq: np.ndarray
     for t, n in _steps(sizes):
         model.predict(n)
         r = span[:n] >> TOTAL
-        v = (code[:n] / r).astype(np.int32)  # exact: both below 2**53, the quotient below 2**26
+        with np.errstate(invalid="ignore"):  # damaged words may leave the range; the CRC tells
+            v = (code[:n] / r).astype(np.int32)  # exact: both below 2**53, the quotient below 2**26
         two, one = v < model.j2, v < model.j12
         x0 = model.inverse[np.minimum(np.where(one, 0, v - model.j12) // model.scale, (1 << BASE) - 1)]
         x = np.where(two, model.c2, np.where(one, model.c1, x0))
