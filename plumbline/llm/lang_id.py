@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm import words
 from plumbline.llm.shared import table
@@ -33,10 +34,11 @@ from plumbline.llm.shared import table
 UNKNOWN = "und"
 TRAIN_WORDS, TRAIN_LANGS, PASSES = 8_000, 200, 3
 LONGEST_PIECE = 16
+SALTS = 32
 #: Weight of the uniform distribution mixed into each language's pieces, and of a character no piece covers.
 SMOOTH, FOREIGN = 0.02, 1e-7
-MEMO_ENTRIES = 600_000
-LETTERS = r"\p{L}+"
+#: Text whose distinct words are scored together.
+PREDICT_BYTES = 6 << 20
 
 
 def vocabulary_path() -> str:
@@ -66,38 +68,91 @@ def arcs(word: str, pieces: dict[str, int]) -> list[list[tuple[int, int]]]:
     return out
 
 
+#: Words up to this length are summed together; no product of their pieces is too small for a double.
+TOGETHER = 40
+#: Words in one such sum.
+SLICE = 20_000
+HASH = np.uint64(0x9E3779B97F4A7C15 | 1)
+
+
 @dataclass
 class Model:
     langs: list[str]
     pieces: dict[str, int]
     #: One row a language: a probability for every piece, then that of a foreign character.
     probability: np.ndarray
-    memo: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
 
-    def __getstate__(self):
-        return {"langs": self.langs, "pieces": self.pieces, "probability": self.probability, "memo": {}}
+    def __post_init__(self):
+        self.by_piece = np.ascontiguousarray(self.probability.T)
+        self.of_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        spelt: dict[int, list[str]] = {}
+        for piece in self.pieces:
+            spelt.setdefault(len(piece), []).append(piece)
+        for size, found in spelt.items():
+            codes = np.frombuffer("".join(found).encode("utf-32-le"), np.uint32).reshape(-1, size)
+            h = np.zeros(len(found), np.uint64)
+            for k in range(size):
+                h = h * HASH + codes[:, k] + np.uint64(1)
+            by = np.argsort(h)
+            self.of_length[size] = h[by], np.array([self.pieces[x] for x in found])[by]
 
     def word(self, word: str) -> np.ndarray:
         """Log probability of a lower-case word in each language."""
-        if (found := self.memo.get(word)) is None:
-            if len(self.memo) > MEMO_ENTRIES:
-                self.memo.clear()
-            column, found, total = self.by_piece, np.zeros(len(self.langs)), 0.0
-            forward = [np.ones(len(self.langs))]
-            for arc in arcs(word, self.pieces):
-                value = sum(forward[start] * column[piece] for start, piece in arc)
-                if (top := value.max()) < 1e-200:  # a very long word: rescale what later steps can reach
-                    forward, value, total = [f / top for f in forward], value / top, total + math.log(top)
-                forward.append(value)
-            found = np.log(np.maximum(forward[-1], 1e-300)) + total
-            self.memo[word] = found
-        return found
-
-    @property
-    def by_piece(self) -> np.ndarray:
-        if "_columns" not in self.__dict__:
-            self.__dict__["_columns"] = np.ascontiguousarray(self.probability.T)
-        return self.__dict__["_columns"]
+        total, recent = 0.0, [np.ones(len(self.langs))]  # the forward sums that a piece can still start from
+        for end, arc in enumerate(arcs(word, self.pieces), 1):
+            value = sum(recent[start - end] * self.by_piece[piece] for start, piece in arc)
+            recent = [*recent[1 - LONGEST_PIECE :], value]
+            if (top := value.max()) < 1e-100:  # a long word: rescale
+                recent, total = [f / top for f in recent], total + math.log(top)
+        return np.log(np.maximum(recent[-1], 1e-300)) + total
+
+    def words(self, found: list[str]) -> np.ndarray:
+        """``word`` of many words, one row each: the forward sums of all words advance together, end by end."""
+        out = np.zeros((len(found), len(self.langs)))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
+        for k in np.flatnonzero(sizes > TOGETHER + 1):
+            out[k] = self.word(found[k])
+        short = np.flatnonzero(sizes <= TOGETHER + 1)
+        for start in range(0, len(short), SLICE):
+            part = short[start : start + SLICE]
+            out[part] = self._together([found[k] for k in part], sizes[part])
+        return out
+
+    def _together(self, found: list[str], sizes: np.ndarray) -> np.ndarray:
+        codes = np.frombuffer("".join("▁" + w for w in found).encode("utf-32-le"), np.uint32)
+        begins = np.cumsum(sizes) - sizes
+        inside = np.arange(len(codes)) - np.repeat(begins, sizes)
+        room = np.repeat(sizes, sizes) - inside
+        at, lengths, pieces, h = [], [], [], np.zeros(len(codes), np.uint64)
+        live = np.arange(len(codes))
+        for size in range(1, LONGEST_PIECE + 1):
+            live = live[room[live] >= size]
+            h = h[: len(codes) - size + 1] * HASH + codes[size - 1 :] + np.uint64(1)
+            keys, numbers = self.of_length.get(size, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            place = np.searchsorted(keys, h[live])
+            hit = np.zeros(len(live), bool) if not len(keys) else keys[np.minimum(place, len(keys) - 1)] == h[live]
+            good = live[hit]
+            number = numbers[place[hit]]
+            if size == 1:  # a character that is no piece stands alone
+                good, number = np.concatenate([good, live[~hit]]), np.concatenate([number, np.full(int((~hit).sum()), -1)])
+            at.append(good), lengths.append(np.full(len(good), size)), pieces.append(number)
+        at, lengths, pieces = (np.concatenate(x) for x in (at, lengths, pieces))
+        end = inside[at] + lengths
+        by = np.argsort(end, kind="stable")
+        at, lengths, pieces = at[by], lengths[by], pieces[by]
+        cuts = np.searchsorted(end[by], np.arange(1, int(sizes.max()) + 2))
+        # A place before each character and one after each word.
+        shift = np.repeat(np.arange(len(found)), sizes)
+        source = at + shift[at]
+        target = source + lengths
+        forward = np.zeros((len(codes) + len(found), len(self.langs)))
+        forward[begins + np.arange(len(found))] = 1.0
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            goal, slot = np.unique(target[a:b], return_inverse=True)
+            value = forward[source[a:b]] * self.by_piece[pieces[a:b]]
+            for k in range(len(self.langs)):
+                forward[goal, k] = np.bincount(slot, value[:, k], len(goal))
+        return np.log(np.maximum(forward[begins + np.arange(len(found)) + sizes], 1e-300))
 
 
 def expected(word: str, pieces: dict[str, int], p: np.ndarray) -> tuple[dict[int, float], float]:
@@ -165,8 +220,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", vocab
     from pyspark.sql.window import Window
 
     counts = word_counts(docs, text_col, lang_col)
+    first = F.row_number().over(Window.partitionBy("lang", "salt").orderBy(F.desc("n"), "word"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    best = counts.withColumn("rank", rank).where(F.col("rank") <= top)
+    # At most top words of each salt reach the window of the whole language.
+    few = counts.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS))).withColumn("first", first).where(F.col("first") <= top)
+    best = few.withColumn("rank", rank).where(F.col("rank") <= top)
     found: dict[str, dict[str, int]] = {}
     # At most top words of each of TRAIN_LANGS languages.
     for row in best.orderBy("rank", "lang").limit(top * TRAIN_LANGS).collect():
@@ -176,14 +234,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", vocab
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value  # one object, with its memo of words, for all tasks of a worker
+        model = shared.value
         langs = np.array([*model.langs, UNKNOWN], object)
-        for batch in words.batches(batches, "text"):
+        for batch in words.batches(batches, "text", PREDICT_BYTES):
             numbers, at, distinct = _letters(words.text_array(batch.column("text")))
             n = len(at) - 1
             pick, score = np.full(n, len(langs) - 1), np.zeros(n)
             if len(model.langs) and len(numbers):
-                each = np.array([model.word(w) for w in words.strings(distinct)])
+                each = model.words(words.strings(distinct))
                 full = np.flatnonzero(np.diff(at) > 0)
                 total = np.zeros((len(full), each.shape[1]))
                 for k in range(each.shape[1]):
@@ -201,7 +259,7 @@ def _predict(shared):
 def predict(docs: DataFrame, model: Model, text_col: str = "text", **carry: Column) -> DataFrame:
     """``carry`` columns, lang_pred and score (the language's share of the likelihood) for each row."""
     slim = docs.select(docs[text_col].cast("string").alias("text"), *[c.alias(name) for name, c in carry.items()])
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.schema if f.name != "text") + "lang_pred string, score double"
+    schema = T.StructType([f for f in slim.schema if f.name != "text"]).add("lang_pred", "string").add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: vocabulary x TRAIN_LANGS
     return slim.mapInArrow(_predict(shared), schema)
 
