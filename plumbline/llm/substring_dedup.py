@@ -4,7 +4,8 @@ Every ``WIDTH``-byte window that also starts in a document of smaller id is
 found, and the bytes such windows cover are removed. The work is dealt by
 content, so that no task sees the whole corpus:
 
-1. Documents are written in chunks of a few MB, ordered by id inside each.
+1. Documents are written in chunks of a few MB, ordered by id inside each, as
+   a table bucketed by chunk, so that the texts move once.
    Whole texts that an earlier document has are set aside: all their windows
    are later ones, and none of them is a window's only source.
 2. A window belongs to its anchor, the ``ANCHOR``-byte string in it with the
@@ -29,6 +30,7 @@ empty table gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,61 +48,79 @@ WIDTH, ANCHOR = 50, 12
 REACH = WIDTH - ANCHOR + 1  # windows around one anchor
 SIDE = (WIDTH - ANCHOR) // 2  # bytes beside the anchor that a window has on one side at least
 LAST = np.iinfo(np.int64).max
-#: Bytes of chunk data that may be broadcast to the chunks; beyond it they are joined.
-BROADCAST_BYTES = 64 << 20
-SEGMENT = 1 << 22
+#: Windows hashed together.
+SEGMENT = 1 << 19
+#: Buckets of strings for each shuffle partition: a bucket is merged by one task call.
+BUCKETS = 12
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 BYTE_CODES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (np.arange(1, 257, dtype=np.uint64) << np.uint64(37))
 
 
-def rolling(body: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
-    """Polynomial hashes of the strings of each size at every place."""
+def rolling(body: np.ndarray, size: int) -> dict[int, tuple[np.ndarray, int]]:
+    """Polynomial hashes of the strings of 1, 2, 4 .. bytes (up to ``size``) at every place, with their multipliers."""
     powers, m, step = {1: (BYTE_CODES[body], MULTIPLIER)}, MULTIPLIER, 1
-    while 2 * step <= max(sizes):
+    while 2 * step <= size:
         h = powers[step][0]
         powers[2 * step] = (h[: max(len(h) - step, 0)] * np.uint64(m) + h[step:], m := m * m % (1 << 64))
         step *= 2
-    out = {}
-    for size in sizes:
-        total, done = np.zeros(max(len(body) - size + 1, 0), np.uint64), 0
-        for step in sorted(powers, reverse=True):
-            if size - done >= step:
-                h, m = powers[step]
-                total = total * np.uint64(m) + h[done : done + len(total)]
-                done += step
-        total ^= total >> np.uint64(29)
-        total *= np.uint64(0xBF58476D1CE4E5B9)
-        out[size] = total ^ total >> np.uint64(32)
-    return out
+    return powers
+
+
+def hashed(powers: dict[int, tuple[np.ndarray, int]], size: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the strings of ``size`` bytes at every place, or at the places ``at``."""
+    n = len(powers[1][0]) - size + 1
+    total, done = None, 0
+    for step in sorted(powers, reverse=True):
+        while size - done >= step:
+            h, m = powers[step]
+            own = h[done : done + n] if at is None else h[at + done]
+            total = own if total is None else total * np.uint64(m) + own
+            done += step
+    total = (total ^ total >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return total ^ total >> np.uint64(32)
 
 
-def anchored(body: np.ndarray, ends: np.ndarray, skip: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Segments of windows inside documents not skipped: (window, document, anchor place, anchor hash, company hash).
+def runs(body: np.ndarray, ends: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor, inside documents not skipped: (first window, windows, document, anchor place, anchor hash, company hash).
 
     The company hash covers the anchor with ``SIDE`` bytes on the side where
-    the window has the more.
+    the windows have the more.
     """
-    starts = np.concatenate([[0], ends[:-1]])
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    # No window starts in a document's last bytes, nor in one that is skipped.
+    closed = np.where(skip, starts, np.maximum(starts, ends - WIDTH + 1))
+    out: list[tuple[np.ndarray, ...]] = []
     for begin in range(0, max(len(body) - WIDTH + 1, 0), SEGMENT):
         part = body[begin : begin + SEGMENT + WIDTH - 1]
-        h = rolling(part, [ANCHOR, ANCHOR + SIDE])
         n = len(part) - WIDTH + 1
+        powers = rolling(part, ANCHOR + SIDE)
         bits = np.uint64(24)
-        least = (h[ANCHOR] >> bits << bits) | np.arange(len(h[ANCHOR]), dtype=np.uint64)
+        least = hashed(powers, ANCHOR) >> bits << bits
+        least |= np.arange(len(least), dtype=np.uint64)
         span = 1
         while 2 * span <= REACH:
             least = np.minimum(least[: len(least) - span], least[span:])
             span *= 2
         rest = REACH - span
         least = np.minimum(least[: len(least) - rest], least[rest:])[:n]
-        window = np.arange(n)
-        doc = np.searchsorted(ends, window + begin, "right")
-        good = ~skip[np.minimum(doc, len(ends) - 1)] & (window + begin + WIDTH <= ends[np.minimum(doc, len(ends) - 1)])
-        window, doc, least = window[good], doc[good], least[good]
-        place = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
+        first, last = np.searchsorted(ends, [begin, begin + n], "right")
+        last = min(last, len(ends) - 1)
+        edge = np.zeros(n + 1, np.int32)
+        np.add.at(edge, np.clip(closed[first : last + 1] - begin, 0, n), 1)
+        np.add.at(edge, np.clip(ends[first : last + 1] - begin, 0, n), -1)
+        window = np.flatnonzero(np.cumsum(edge[:n]) == 0)
+        place = (least[window] & np.uint64((1 << 24) - 1)).astype(np.int64)
         left = place - window >= SIDE
-        company = h[ANCHOR + SIDE][np.where(left, place - SIDE, place)] ^ np.where(left, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
-        yield window + begin, doc, place + begin, h[ANCHOR][place], company
+        new = np.ones(len(window), bool)
+        new[1:] = (place[1:] != place[:-1]) | (left[1:] != left[:-1]) | (window[1:] != window[:-1] + 1)
+        lead = np.flatnonzero(new)
+        place, left, window = place[lead], left[lead], window[lead]
+        company = hashed(powers, ANCHOR + SIDE, np.where(left, place - SIDE, place)) ^ np.where(left, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
+        anchor = hashed(powers, ANCHOR, place)
+        out.append((window + begin, np.diff(np.append(lead, len(new))), np.searchsorted(ends, window + begin, "right"), place + begin, anchor, company))
+    if not out:
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +165,7 @@ def _company(buckets: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 chunk, ids, ends, body = _row(batch, k)
-                order = _chunk_hashes(ids, ends, body, _skipped(batch, k, len(ids)))[0]
+                order = _chunk_hashes(ids, *runs(body, ends, _skipped(batch, k, len(ids)))[2::3])[0]
                 bucket = (order % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
@@ -156,19 +176,12 @@ def _company(buckets: int):
     return run
 
 
-def _chunk_hashes(ids: np.ndarray, ends: np.ndarray, body: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct company hashes, whether two documents of the chunk have it)."""
-    found, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for _, doc, place, _, company in anchored(body, ends, skip):
-        new = np.ones(len(doc), bool)
-        new[1:] = (company[1:] != company[:-1]) | (doc[1:] != doc[:-1])
-        found.append(company[new])
-        docs.append(ids[doc[new]])
-    found, docs = np.concatenate(found), np.concatenate(docs)
-    by = np.argsort(found)
-    found, docs = found[by], docs[by]
+def _chunk_hashes(ids: np.ndarray, doc: np.ndarray, company: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct company hashes, whether two ids of the chunk have it)."""
+    by = np.argsort(company)
+    found, owner = company[by], ids[doc[by]]
     lead = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
-    several = np.minimum.reduceat(docs, lead) != np.maximum.reduceat(docs, lead) if len(lead) else np.zeros(0, bool)
+    several = np.minimum.reduceat(owner, lead) != np.maximum.reduceat(owner, lead) if len(lead) else np.zeros(0, bool)
     return found[lead], several
 
 
@@ -195,8 +208,8 @@ def _strings(buckets: int, out_buckets: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 chunk, ids, ends, body = _row(batch, k)
-                skip = _skipped(batch, k, len(ids))
-                known, several = _chunk_hashes(ids, ends, body, skip)
+                window, size, doc, place, anchor, company = runs(body, ends, _skipped(batch, k, len(ids)))
+                known, several = _chunk_hashes(ids, doc, company)
                 bucket = (known % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
@@ -208,24 +221,19 @@ def _strings(buckets: int, out_buckets: int):
                 sent: dict[bytes, int] = {}
                 later: list[tuple[int, int]] = []
                 out: dict[int, list[tuple[int, int, int]]] = {}
-                for window, doc, place, anchor, company in anchored(body, ends, skip):
-                    at = np.searchsorted(known, company)
-                    good = shared[at] if len(known) else np.zeros(0, bool)
-                    window, doc, place, anchor = window[good], doc[good], place[good], anchor[good]
-                    if not len(window):
-                        continue
-                    new = np.ones(len(window), bool)
-                    new[1:] = (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1) | (doc[1:] != doc[:-1])
-                    lead = np.flatnonzero(new)
-                    size = np.diff(np.append(lead, len(window)))
-                    # High bits of the anchor's hash: its low bits chose the anchor's company bucket.
-                    goal = ((anchor[lead] >> np.uint64(20)) % np.uint64(out_buckets)).astype(np.int64)
-                    for start, n, b, owner in zip(window[lead].tolist(), size.tolist(), goal.tolist(), ids[doc[lead]].tolist()):
-                        text = raw[start : start + n + WIDTH - 1]
-                        if sent.setdefault(text, owner) < owner:
-                            later.append((start, start + n))
-                        else:
-                            out.setdefault(b, []).append((start, n + WIDTH - 1, owner))
+                good = shared[np.searchsorted(known, company)] if len(known) else np.zeros(0, bool)
+                window, size, doc, place, anchor = window[good], size[good], doc[good], place[good], anchor[good]
+                # The two sides of one anchor are one string where both may repeat.
+                lead = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (window[1:] != window[:-1] + size[:-1])])) if len(window) else np.zeros(0, np.int64)
+                size = np.add.reduceat(size, lead) if len(lead) else size
+                # High bits of the anchor's hash: its low bits are those of its company's bucket.
+                goal = ((anchor[lead] >> np.uint64(20)) % np.uint64(out_buckets)).astype(np.int64)
+                for start, n, b, owner in zip(window[lead].tolist(), size.tolist(), goal.tolist(), ids[doc[lead]].tolist()):
+                    text = raw[start : start + n + WIDTH - 1]
+                    if sent.setdefault(text, owner) < owner:
+                        later.append((start, start + n))
+                    else:
+                        out.setdefault(b, []).append((start, n + WIDTH - 1, owner))
                 rows = [(b, [s for s, _, _ in x], [n for _, n, _ in x], [i for _, _, i in x], b"".join(raw[s : s + n] for s, n, _ in x), [], []) for b, x in out.items()]
                 if later:
                     rows.append((chunk % out_buckets, [], [], [], b"", [s for s, _ in later], [e for _, e in later]))
@@ -289,10 +297,19 @@ def _documents(keep_text: bool):
     return run
 
 
-def beside(chunks: DataFrame, small: DataFrame, size: str) -> DataFrame:
-    """``chunks`` with the columns of ``small``; broadcast if ``size`` bytes a row sum to little enough."""
-    total = small.agg(F.coalesce(F.sum(F.expr(size)), F.lit(0)).alias("n")).first().n
-    return chunks.join(F.broadcast(small) if total <= BROADCAST_BYTES else small, "chunk", "left")
+def chunked(slim: DataFrame) -> DataFrame:
+    """The chunks as a table bucketed by chunk: what is joined to it later moves, the texts do not."""
+    spark, n = slim.sparkSession, shuffle_partitions(slim.sparkSession)
+    kind = slim.schema["id"].dataType.simpleString()
+    found = slim.mapInArrow(_chunks, f"chunk long, ids array<{kind}>, ends array<long>, body binary")
+    name = f"substring_chunks_{uuid.uuid4().hex}"
+    found.repartition(n, "chunk").write.bucketBy(n, "chunk").saveAsTable(name)
+    return spark.table(name)
+
+
+def beside(chunks: DataFrame, small: DataFrame) -> DataFrame:
+    """``chunks`` with the columns of ``small``, which has a row a chunk at most."""
+    return chunks.join(small.hint("shuffle_hash"), "chunk", "left")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep_text: bool = False) -> DataFrame:
@@ -305,23 +322,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    chunks = staged(slim.mapInArrow(_chunks, f"chunk long, ids array<{kind}>, ends array<long>, body binary"), "chunks")
+    chunks = chunked(slim)
 
     hashes = staged(chunks.mapInArrow(_text_hashes, "chunk long, doc int, id long, digest binary"), "text-hashes")
     firsts = staged(hashes.groupBy("digest").agg(F.min("id").alias("top"), F.max("id").alias("low")).where("top < low").drop("low"), "first-texts")
     copies = hashes.join(firsts, "digest").where("id > top").groupBy("chunk").agg(F.collect_list("doc").alias("copies"))
-    chunks = beside(chunks, staged(copies, "copies"), "4 * size(copies)")
+    chunks = beside(chunks, staged(copies, "copies"))
 
     buckets = shuffle_partitions(spark)
     sent = chunks.mapInArrow(_company(buckets), "bucket int, chunk long, hashes binary")
     answers = sent.groupBy("bucket").applyInArrow(_shared, "chunk long, bucket int, bits binary")
     answers = staged(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers")), "answers")
-    asked = beside(chunks, answers, "aggregate(answers, 0L, (a, x) -> a + octet_length(x.bits))")
+    asked = beside(chunks, answers)
 
-    strings = asked.mapInArrow(_strings(buckets, 4 * buckets), "bucket int, chunk long, starts array<long>, sizes array<long>, owners array<long>, strings binary, span_starts array<long>, span_ends array<long>")
+    strings = asked.mapInArrow(_strings(buckets, BUCKETS * buckets), "bucket int, chunk long, starts array<long>, sizes array<long>, owners array<long>, strings binary, span_starts array<long>, span_ends array<long>")
     spans = strings.groupBy("bucket").applyInArrow(_repeats, "chunk long, span_starts array<long>, span_ends array<long>")
     spans = staged(spans.where("size(span_starts) > 0").groupBy("chunk").agg(F.collect_list(F.struct("span_starts", "span_ends")).alias("spans")), "spans")
-    found = beside(chunks, spans, "aggregate(spans, 0L, (a, x) -> a + 16 * size(x.span_starts))")
+    found = beside(chunks, spans)
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<long>, kept binary" if keep_text else "")
     return found.mapInArrow(_documents(keep_text), schema).withColumnRenamed("id", id_col)
 

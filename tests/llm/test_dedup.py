@@ -117,9 +117,7 @@ def test_substring_dedup_small_table(spark, small):
     assert substring_result(substring_dedup.query(spark, small)) == brute_windows(docs, 50)
 
 
-@pytest.mark.parametrize("cast", [BROADCAST := 1 << 26, 0])
-def test_substring_dedup_messy(spark, messy, no_docs, monkeypatch, cast):
-    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", cast)
+def test_substring_dedup_messy(spark, messy, no_docs, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SEGMENT", 1000)
     docs = [(r.doc_id if r.doc_id is not None else 1 << 62, (r.text or "").encode()) for r in messy.select("doc_id", "text").collect()]
     assert substring_result(substring_dedup.substring_dedup(messy)) == brute_windows(docs, 50)
