@@ -1,7 +1,7 @@
 """Repeated windows in a collection of strings, by merging Burrows-Wheeler transforms.
 
-The strings are split into shards; each shard's suffixes are sorted once and
-give its transform. The transforms are then merged by interleave refinement:
+The strings are split into shards; each shard's suffixes are sorted once, by
+their first ``ORDER`` symbols, and give its transform of that order. The transforms are then merged by interleave refinement:
 an interleave of the shards' rows in order of the first h symbols becomes that
 of the first h + 2 by one stable distribution on the two symbols before each
 row, so no suffix is compared again. Two neighbours part at the step that
@@ -13,17 +13,32 @@ from __future__ import annotations
 
 import numpy as np
 
-SHARD_SYMBOLS = 1 << 20
+SHARD_SYMBOLS = 1 << 17
+#: A shard's suffixes are sorted by so many symbols; the refinement goes on from any order.
+ORDER = 21
 STEP = 2
 NONE = 0xFFFF
 
 
+def _joined(head: np.ndarray, tail: np.ndarray, skip: int, bits: int) -> np.ndarray:
+    """``head`` with ``bits`` bits of what stands ``skip`` places on, unless a string ended before."""
+    out, n = head << np.uint64(bits), max(len(head) - skip, 0)
+    out[:n] |= np.where(head[:n] & np.uint64(255), tail[skip : skip + n], np.uint64(0))
+    return out
+
+
+def _seven(symbols: np.ndarray) -> np.ndarray:
+    """The next seven symbols at each place as one number, with 0 from a string's end on."""
+    one = symbols.astype(np.uint64)
+    two = _joined(one, one, 1, 8)
+    four = _joined(two, two, 2, 16)
+    return _joined(_joined(four, two, 4, 16), one, 6, 8)
+
+
 def string_order(symbols: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """Suffix order of strings that each end in 0; ``room``: symbols before that end. Equal suffixes keep text order."""
+    """Suffix order, by ORDER symbols at least, of strings that each end in 0; ``room``: symbols before that end."""
     n = len(symbols)
-    lead = np.zeros(n, np.uint64)
-    for k in range(7):
-        lead = lead << np.uint64(8) | np.where(room > k, symbols[np.minimum(np.arange(n) + k, n - 1)], 0).astype(np.uint64)
+    lead = _seven(symbols)
     by = np.argsort(lead)
     new = np.concatenate([[True], lead[by][1:] != lead[by][:-1]])
     heads = np.flatnonzero(new)
@@ -32,8 +47,8 @@ def string_order(symbols: np.ndarray, room: np.ndarray) -> np.ndarray:
     order[:] = by
     rank[by] = np.repeat(heads, sizes)
     todo = by[np.repeat(sizes > 1, sizes)]
-    step, longest = 7, int(room.max(initial=0))
-    while len(todo) and step <= longest:
+    step = 7
+    while len(todo) and step < ORDER:
         key = rank[todo]
         for k in (1, 2):
             place = todo + k * step
@@ -49,28 +64,21 @@ def string_order(symbols: np.ndarray, room: np.ndarray) -> np.ndarray:
         rank[todo] = np.repeat(row[heads], sizes)
         todo = todo[np.repeat(sizes > 1, sizes)]
         step *= 3
-    if len(todo):
-        by = np.lexsort((todo, rank[todo]))
-        todo = todo[by]
-        group = rank[todo]
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        order[group + np.arange(len(todo)) - np.repeat(first, np.diff(np.append(first, len(todo))))] = todo
     return order
 
 
 class Shard:
     """A shard's transform: the symbol before each row, and each row's place in the text."""
 
-    def __init__(self, symbols: np.ndarray, room: np.ndarray, strings: int):
+    def __init__(self, symbols: np.ndarray, room: np.ndarray):
         self.order = string_order(symbols, room)
         before = symbols[self.order - 1]
         before[self.order == 0] = 0
         self.bwt = before  # 0 before a string's first symbol
-        self.strings = strings
-        # Row of the suffix that is one symbol longer, from the transform alone.
-        by = np.argsort(self.bwt, kind="stable")
-        self.longer = np.full(len(symbols), -1, np.int64)
-        self.longer[by[strings:]] = np.arange(strings, len(symbols))
+        # Row of the suffix that is one symbol longer.
+        rows = np.empty(len(symbols), np.int32)
+        rows[self.order] = np.arange(len(symbols), dtype=np.int32)
+        self.longer = np.where(before > 0, rows[self.order - 1], -1)
 
     def two_before(self) -> tuple[np.ndarray, np.ndarray]:
         """Per row: the two symbols before it as one code, and the row that starts with them."""
@@ -86,27 +94,32 @@ def merge(shards: list[Shard], width: int) -> tuple[np.ndarray, np.ndarray]:
     A row that has parted from both its neighbours has no part in any longer
     repeat, and neither has a row that continues it, so both leave the interleave.
     """
-    codes, targets, base = [], [], 0
+    steps, base = [], 0
     for shard in shards:
         code, target = shard.two_before()
-        codes.append(code)
-        targets.append(np.where(target >= 0, target + base, -1).astype(np.int32))
+        # One number a row: the code above, the row it leads to below.
+        steps.append(code.astype(np.int64) << 32 | np.where(target >= 0, target + base, 0))
         base += len(code)
-    code, target = np.concatenate(codes), np.concatenate(targets)
-    rows = np.arange(len(code), dtype=np.int32)
-    group = np.zeros(len(code), np.int32)
-    new = np.zeros(len(code), bool)
+    step = np.concatenate(steps)
+    rows = np.arange(len(step))
+    group = np.zeros(len(step), np.int32)
+    new = np.zeros(len(step), bool)
     for _ in range(-(-width // STEP)):
-        before = code[rows]
-        live = before != NONE
-        before, rows, group = before[live], rows[live], group[live]
-        by = np.argsort(before, kind="stable")
-        rows, before, group = target[rows[by]], before[by], group[by]
-        new = np.ones(len(rows), bool)
-        new[1:] = (before[1:] != before[:-1]) | (group[1:] != group[:-1])
+        ahead = step[rows]
+        code = (ahead >> 32).astype(np.uint16)
+        live = np.flatnonzero(code != NONE)
+        if len(live) < len(code):
+            code, ahead, group = code[live], ahead[live], group[live]
+        by = np.argsort(code, kind="stable")
+        ahead, group = ahead[by], group[by]
+        code = ahead >> 32
+        new = np.ones(len(code), bool)
+        np.not_equal(code[1:], code[:-1], out=new[1:])
+        new[1:] |= group[1:] != group[:-1]
         keep = ~new
         keep[:-1] |= ~new[1:]
-        rows, new = rows[keep], new[keep]
+        keep = np.flatnonzero(keep)
+        rows, new = ahead[keep] & 0xFFFFFFFF, new[keep]
         group = np.cumsum(new, dtype=np.int32)
     return rows, new
 
@@ -135,7 +148,7 @@ def later_windows(body: np.ndarray, lengths: np.ndarray, ids: np.ndarray, width:
         room = np.repeat(tails, size + 1) - np.arange(len(symbols))
         place = np.full(len(symbols), -1, np.int64)
         place[where] = np.arange(begin, begin + int(size.sum()))
-        shards.append(Shard(symbols, room, k))
+        shards.append(Shard(symbols, room))
         places.append(place[shards[-1].order])
     rows, new = merge(shards, width)
     if len(rows):

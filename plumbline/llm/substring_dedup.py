@@ -49,7 +49,7 @@ REACH = WIDTH - ANCHOR + 1  # windows around one anchor
 SIDE = (WIDTH - ANCHOR) // 2  # bytes beside the anchor that a window has on one side at least
 LAST = np.iinfo(np.int64).max
 #: Windows hashed together.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 16
 #: Buckets of strings for each shuffle partition: a bucket is merged by one task call.
 BUCKETS = 12
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -220,7 +220,7 @@ def _strings(buckets: int, out_buckets: int):
                 raw = body.tobytes()
                 sent: dict[bytes, int] = {}
                 later: list[tuple[int, int]] = []
-                out: dict[int, list[tuple[int, int, int]]] = {}
+                out: dict[int, list[tuple[int, int, int, bytes]]] = {}
                 good = shared[np.searchsorted(known, company)] if len(known) else np.zeros(0, bool)
                 window, size, doc, place, anchor = window[good], size[good], doc[good], place[good], anchor[good]
                 # The two sides of one anchor are one string where both may repeat.
@@ -233,8 +233,8 @@ def _strings(buckets: int, out_buckets: int):
                     if sent.setdefault(text, owner) < owner:
                         later.append((start, start + n))
                     else:
-                        out.setdefault(b, []).append((start, n + WIDTH - 1, owner))
-                rows = [(b, [s for s, _, _ in x], [n for _, n, _ in x], [i for _, _, i in x], b"".join(raw[s : s + n] for s, n, _ in x), [], []) for b, x in out.items()]
+                        out.setdefault(b, []).append((start, n + WIDTH - 1, owner, text))
+                rows = [(b, *map(list, (s, n, i)), b"".join(t), [], []) for b, (s, n, i, t) in ((b, zip(*x)) for b, x in out.items())]
                 if later:
                     rows.append((chunk % out_buckets, [], [], [], b"", [s for s, _ in later], [e for _, e in later]))
                 if rows:
@@ -247,19 +247,20 @@ def _strings(buckets: int, out_buckets: int):
 
 def _repeats(key: tuple[pa.Scalar, ...], table_: pa.Table) -> pa.Table:
     """The bucket's later windows, as spans of each chunk."""
-    sizes = [np.array(x, np.int64) for x in table_.column("sizes").to_pylist()]
-    lengths = np.concatenate(sizes)
+    def flat(name: str) -> np.ndarray:
+        return np.asarray(table_.column(name).combine_chunks().flatten())
+
+    lengths, owners, starts = flat("sizes"), flat("owners"), flat("starts")
+    per_row = np.asarray(pc.list_value_length(table_.column("sizes")))
     body = np.frombuffer(b"".join(table_.column("strings").to_pylist()), np.uint8)
-    owners = np.concatenate([np.array(x, np.int64) for x in table_.column("owners").to_pylist()])
     flagged = later_windows(body, lengths, owners, WIDTH)
-    starts = np.concatenate([np.array(x, np.int64) for x in table_.column("starts").to_pylist()])
     begins = np.cumsum(lengths) - lengths
     edge = np.diff(flagged.astype(np.int8), prepend=0, append=0)
     on, off = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
     # The last bytes of a string start no window, so a run of flags stays inside its string.
     of = np.searchsorted(begins, on, "right") - 1
     first, last = starts[of] + on - begins[of], starts[of] + off - begins[of]
-    row = np.searchsorted(np.cumsum([len(s) for s in sizes]), of, "right")
+    row = np.searchsorted(np.cumsum(per_row), of, "right")
     cuts = np.searchsorted(row, np.arange(table_.num_rows + 1))
     spans = [(a + f, b + e) for a, b, f, e in zip(table_.column("span_starts").to_pylist(), table_.column("span_ends").to_pylist(), [first[x:y].tolist() for x, y in zip(cuts[:-1], cuts[1:])], [last[x:y].tolist() for x, y in zip(cuts[:-1], cuts[1:])])]
     longs = pa.list_(pa.int64())
