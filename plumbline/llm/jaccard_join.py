@@ -11,9 +11,11 @@ alone; star rounds link members of a token's column to its smallest member,
 verify the link, and merge groups along connected components. The matrix then
 holds, for each token, the groups whose prefix-token union contains it. A
 document's overlap with a group's union bounds its overlap with every member,
-so only groups that share ``DEPTH`` tokens or more with it are opened, and only
+so only groups that share ``DEPTH`` tokens or more with it are opened, in
+blocks of members, and only
 groups other than its own need to be: columns within one group make no pair.
-Pairs from opened groups pass an exact bound on bucketed token counts and are
+The union holds only a member's leading tokens that a document no smaller must
+meet. Pairs from opened groups pass an exact bound on bucketed token counts and are
 then verified on their whole sets. No pair at the threshold is lost, and none
 is made between members of one group.
 
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +42,9 @@ from plumbline.llm.components import components
 from plumbline.llm.shared import staged, table
 
 #: Buckets of the frequency sketch, its slices on the way to the driver, buckets of the overlap bound.
-SKETCH, SLICES, BOUND = 1 << 20, 64, 128
+SKETCH, SLICES, BOUND = 1 << 20, 64, 64
+#: Members of a group that are stored, and opened, together.
+BLOCK = 64
 DEPTH = 3
 STAR_ROUNDS = 2
 #: Ids that may be broadcast to pick documents; beyond it they are joined.
@@ -159,6 +164,28 @@ def _bounded(percent: int):
     return run
 
 
+def _opened(percent: int):
+    """Members of opened blocks that leave room for the threshold with the document that opened them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                members = batch.column("members").combine_chunks() if isinstance(batch.column("members"), pa.ChunkedArray) else batch.column("members")
+                size = np.asarray(pc.list_value_length(members))
+                row, flat = np.repeat(np.arange(batch.num_rows), size), members.flatten()
+                own = np.frombuffer(b"".join(batch.column("bound_a").to_pylist()), "<u2").reshape(-1, BOUND)[row]
+                theirs = np.frombuffer(b"".join(flat.field("bound").to_pylist()), "<u2").reshape(-1, BOUND)
+                n_a, n_b = np.asarray(batch.column("n_a"))[row], np.asarray(flat.field("n"))
+                most = np.minimum(own, theirs).sum(1, dtype=np.int64)
+                full = ((own == 65535) | (theirs == 65535)).any(1)
+                keep = np.flatnonzero((n_b <= n_a) & (100 * n_b >= percent * n_a) & (full | (100 * most >= percent * (n_a + n_b - most))))
+                if len(keep):
+                    yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(row[keep])), flat.field("rep").take(pa.array(keep))], ["a", "b"])
+
+    return run
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +213,7 @@ class Join:
         self.classes = staged(same.agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bound").alias("bound")), "classes")
         # With a smaller set no other set is near enough: s / (s + 1) is below the threshold.
         self.reps = self.classes.where(100 * F.col("n") >= percent * (F.col("n") + 1))
-        self.tokens = self.reps.select("rep", "n", F.explode("prefix").alias("token"))
+        self.tokens = self.reps.select("rep", "n", F.posexplode("prefix").alias("at", "token"))
 
     def near(self, a: str, b: str):
         return (100 * F.least(a, b) >= self.percent * F.greatest(a, b))
@@ -206,41 +233,64 @@ class Join:
         if groups is None:
             return self.tokens.withColumn("group", F.col("rep"))
         found = self.reps.join(groups, self.reps.rep == groups.vertex, "left")
-        return found.select("rep", "n", F.coalesce("component", "rep").alias("group"), F.explode("prefix").alias("token"))
+        return found.select("rep", "n", F.coalesce("component", "rep").alias("group"), F.posexplode("prefix").alias("at", "token"))
+
+    def leading(self):
+        """Whether a token stands early enough in its set to meet a partner that is no smaller.
+
+        Such a pair has 2t / (1 + t) of the smaller set in common, so fewer of
+        the smaller set's tokens can all be missing from the larger.
+        """
+        return F.col("at") < F.col("n") - F.ceil(2 * self.percent * F.col("n") / (100 + self.percent) - F.lit(1e-9)) + DEPTH
 
     def open_pairs(self, groups: DataFrame) -> DataFrame:
         """Pairs of documents with groups whose token union they share DEPTH tokens with, opened."""
         rows = self.grouped(groups)
         mixed = rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
         rows = staged(rows.join(staged(mixed, "mixed-columns"), "token"), "matrix-rows")
-        matrix = staged(rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
+        inside = rows.where(self.leading()).select("token", "group", F.col("rep").alias("b"), F.col("n").alias("n_b"))
+        matrix = staged(inside.groupBy("token", "group").agg(F.min("n_b").alias("least"), F.max("n_b").alias("most")), "matrix")
         query = rows.select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("group").alias("from"))
-        # A link is found from its smaller group's side.
-        bound = query.join(matrix, "token").where((F.col("from") < F.col("group")) & (100 * F.col("most") >= self.percent * F.col("n_a")) & (100 * F.col("n_a") >= self.percent * F.col("least")))
-        opened = staged(bound.groupBy("a", "group").agg(F.count("*").alias("shared")).where(F.col("shared") >= DEPTH).select("a", "group"), "opened")
-        asked = query.drop("from").join(opened, "a")
-        inside = rows.select("token", "group", F.col("rep").alias("b"), F.col("n").alias("n_b"))
-        pairs = asked.join(inside, ["token", "group"]).where(self.near("n_a", "n_b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
-        return pairs.where(F.col("shared") >= DEPTH).select("a", "b")
+        # A link is found from its larger set's side.
+        bound = query.join(matrix, "token").where((F.col("from") != F.col("group")) & (100 * F.col("most") >= self.percent * F.col("n_a")) & (F.col("least") <= F.col("n_a")))
+        opened = staged(bound.groupBy("a", "n_a", "group").agg(F.count("*").alias("shared")).where(F.col("shared") >= DEPTH).drop("shared"), "opened")
+        asked = opened.join(self.reps.select(F.col("rep").alias("a"), F.col("bound").alias("bound_a")), "a")
+        near = (100 * F.col("most") >= self.percent * F.col("n_a")) & (F.col("least") <= F.col("n_a"))
+        found = asked.join(self.blocks(groups, opened), "group").where(near).select("a", "n_a", "bound_a", "members")
+        return found.mapInArrow(_opened(self.percent), f"a {self.kind}, b {self.kind}").distinct()
+
+    def blocks(self, groups: DataFrame, opened: DataFrame) -> DataFrame:
+        """(group, members, least, most) of the opened groups: blocks of about BLOCK members of like size."""
+        of = self.reps.join(groups, self.reps.rep == groups.vertex, "left").select("rep", "n", "bound", F.coalesce("component", "rep").alias("group"))
+        of = of.join(opened.select("group").distinct(), "group", "left_semi")
+        band = F.floor(F.log(F.col("n").cast("double")) * 20).alias("band")
+        of = staged(of.select("*", band), "open-members")
+        sizes = staged(of.groupBy("group", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "block-counts")
+        salted = of.join(sizes, ["group", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        packed = salted.groupBy("group", "band", "block").agg(F.collect_list(F.struct("rep", "n", "bound")).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
+        return staged(packed.drop("band", "block"), "blocks")
+
+    def bounded(self, pairs: DataFrame) -> DataFrame:
+        side = lambda x: self.reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bound").alias(f"bound_{x}"))
+        both = staged(pairs, "pairs").join(side("a"), "a").join(side("b"), "b")
+        return both.mapInArrow(_bounded(self.percent), f"a {self.kind}, b {self.kind}")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that reach the threshold on their whole sets."""
-        side = lambda x: self.reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bound").alias(f"bound_{x}"))
-        kind = f"a {self.kind}, b {self.kind}"
-        near = staged(staged(pairs, "pairs").join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(self.percent), kind), "near-pairs")
+        near = staged(pairs, "near-pairs")
         ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
         ids = staged(ids, "near-ids")
         small = ids.count() <= BROADCAST_IDS
         texts = self.texts.join(F.broadcast(ids) if small else ids, "id", "left_semi")
         sets = staged(texts.mapInArrow(_whole_sets(self.k), f"id {self.kind}, hashes binary"), "whole-sets")
         both = near.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b")), "b")
-        return staged(both.mapInArrow(_verified(self.percent), kind), "links")
+        return staged(both.mapInArrow(_verified(self.percent), f"a {self.kind}, b {self.kind}"), "links")
 
     def groups(self) -> DataFrame:
         """(vertex, component) of all representatives with a link."""
         links, groups = None, None
         for _ in range(STAR_ROUNDS):
-            new = self.links(self.star_pairs(groups))
+            new = self.links(self.bounded(self.star_pairs(groups)))
             links = new if links is None else staged(links.union(new), "all-links")
             groups = components(links)
         return components(links.union(self.links(self.open_pairs(groups))))
