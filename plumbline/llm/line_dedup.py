@@ -2,14 +2,15 @@
 
 A document's lines are normalised (A-Z lower-cased, white space runs made one
 space, trimmed) and hashed; digests are grouped over all documents, the
-earliest line by (id, line number) stays, every other is removed. Offsets
+earliest line by (id, row, line number) stays, every other is removed. Offsets
 refer to the original text.
 
 Lines of fewer than ``min_words`` words always stay: short lines recur by
 chance and in clean documents. Defined cases: a null text counts as empty;
-rows that repeat an id count as one document whose lines are all the rows'
-lines, and a null id ranks after all others; an empty table gives an empty
-result; columns other than id and text are not looked at.
+each row is judged by itself under a key that is written once, so rows that
+repeat an id or have none do not touch each other's lines, and a null id ranks
+after all others; an empty table gives an empty result; columns other than id
+and text are not looked at.
 """
 
 from __future__ import annotations
@@ -41,21 +42,25 @@ def _lines(min_words: int):
                         numbers.append(n)
                         digests.append(hashlib.blake2b(b" ".join(found), digest_size=16).digest())
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary())], ["id", "line", "digest"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), batch.column("row").take(pa.array(rows)), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary())], ["id", "row", "line", "digest"])
 
     return run
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, line, first_id, first_line) of every line that an earlier one repeats."""
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, row, text), with a key for each row that every reader sees alike."""
+    return staged(docs.select(docs[id_col].alias("id"), F.monotonically_increasing_id().alias("row"), docs[text_col].cast("string").alias("text")), "rows")
+
+
+def repeated_lines(slim: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, row, line, first_id, first_row, first_line) of every line of ``numbered`` rows that an earlier one repeats."""
     kind = slim.schema["id"].dataType.simpleString()
-    lines = staged(slim.mapInArrow(_lines(min_words), f"id {kind}, line int, digest binary"), "lines")
-    place = F.struct(F.col("id").isNull().alias("unknown"), F.col("id"), F.col("line"))
+    lines = staged(slim.mapInArrow(_lines(min_words), f"id {kind}, row long, line int, digest binary"), "lines")
+    place = F.struct(F.col("id").isNull().alias("unknown"), F.col("id"), F.col("row"), F.col("line"))
     # Written first, so that the join below reads two plain tables and a digest on many lines can be split.
     firsts = staged(lines.groupBy("digest").agg(F.min(place).alias("top"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-lines")
-    later = lines.join(firsts, "digest").where(~(F.col("id").eqNullSafe(F.col("top.id")) & (F.col("line") == F.col("top.line"))))
-    return later.select("id", "line", F.col("top.id").alias("first_id"), F.col("top.line").alias("first_line"))
+    later = lines.join(firsts, "digest").where((F.col("row") != F.col("top.row")) | (F.col("line") != F.col("top.line")))
+    return later.select("id", "row", "line", F.col("top.id").alias("first_id"), F.col("top.row").alias("first_row"), F.col("top.line").alias("first_line"))
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,9 +88,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``removed_spans`` lists start-end of the removed lines in characters of
     the original text, ``first_ids`` the documents that keep them.
     """
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    gone = repeated_lines(docs, id_col, text_col, min_words).groupBy(F.col("id").alias("gone_id")).agg(F.collect_list(F.struct("line", "first_id")).alias("gone"))
-    joined = slim.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left").select("id", "text", "gone")
+    slim = numbered(docs, id_col, text_col)
+    gone = repeated_lines(slim, min_words).groupBy("row").agg(F.collect_list(F.struct("line", "first_id")).alias("gone"))
+    joined = slim.join(gone, "row", "left").select("id", "text", "gone")
     kind = slim.schema["id"].dataType.simpleString()
     out = joined.mapInArrow(_without, f"id {kind}, n_lines long, n_removed long, removed_chars long, removed_spans string, first_ids string, kept_text string, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)

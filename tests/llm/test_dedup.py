@@ -71,6 +71,15 @@ def test_line_dedup_messy(messy, no_docs):
     assert line_dedup.line_dedup(messy).count() == 15 and line_dedup.line_dedup(no_docs).count() == 0
 
 
+def test_line_dedup_judges_each_row_of_an_id_by_itself(spark):
+    copy, mine, other = (" ".join(f"{w}{n}" for n in range(25)) for w in ("copy", "mine", "other"))
+    docs = [(1, f"head\n{copy}"), (None, f"a\n{copy}"), (None, f"b\n{mine}"), (7, f"c\n{copy}"), (7, f"d\n{other}"), (8, other), (8, f"e\n{other}"), (9, copy), (9, copy)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    got = sorted((str(r.doc_id), r.kept_text, r.first_ids) for r in line_dedup.line_dedup(df).collect())
+    want = [(1, f"head\n{copy}", ""), (None, "a", "1"), (None, f"b\n{mine}", ""), (7, "c", "1"), (7, f"d\n{other}", ""), (8, "", "7"), (8, "e", "7"), (9, "", "1"), (9, "", "1")]
+    assert got == sorted((str(i), t, f) for i, t, f in want)
+
+
 def brute_windows(docs, width):
     first = {}
     for i, t in docs:
