@@ -15,7 +15,9 @@ content, so that no task sees the whole corpus:
    no second document has in that company are done.
 3. Runs of remaining windows with one anchor go to the anchor's bucket as one
    string. A string that the chunk already sent for a smaller id is not sent
-   again: its windows are all later ones.
+   again: its windows are all later ones. Runs are counted by anchor in step 2;
+   the windows of an anchor with more than ``HOT_RUNS`` go one by one to buckets
+   of their own, by a hash of all their bytes, where equal ones are grouped.
 4. A bucket's strings are split into shards, each shard's transform is built,
    and the transforms are merged by interleave refinement (bwt_merge.py),
    which yields the repeated intervals.
@@ -52,6 +54,11 @@ LAST = np.iinfo(np.int64).max
 SEGMENT = 1 << 16
 #: Buckets of strings for each shuffle partition: a bucket is merged by one task call.
 BUCKETS = 12
+#: Runs of an anchor, over all chunks, beyond which its windows are dealt one by one; at most so many anchors (the largest).
+HOT_RUNS, HOT_ANCHORS = 1 << 15, 1 << 12
+#: Runs of an anchor in a chunk below which the chunk does not report it.
+CHUNK_RUNS = 8
+COUNTED = np.dtype([("anchor", "<u8"), ("runs", "<i8")])
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 BYTE_CODES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (np.arange(1, 257, dtype=np.uint64) << np.uint64(37))
 
@@ -80,6 +87,26 @@ def hashed(powers: dict[int, tuple[np.ndarray, int]], size: int, at: np.ndarray
     return total ^ total >> np.uint64(32)
 
 
+def _mixed(body: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the windows at the places ``at``."""
+    total = np.zeros(len(at), np.uint64)
+    for k in range(WIDTH):
+        total = total * np.uint64(MULTIPLIER) + BYTE_CODES[body[at + k]]
+    total = (total ^ total >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return total ^ total >> np.uint64(32)
+
+
+def _equal_later(body: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """``later_windows`` of strings of one window each."""
+    flagged = np.zeros(len(body), bool)
+    if len(owners):
+        _, of = np.unique(body.view(f"V{WIDTH}"), return_inverse=True)
+        least = np.full(int(of.max()) + 1, LAST)
+        np.minimum.at(least, of, owners)
+        flagged[::WIDTH] = owners > least[of]
+    return flagged
+
+
 def runs(body: np.ndarray, ends: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor, inside documents not skipped: (first window, windows, document, anchor place, anchor hash, company hash).
 
@@ -159,23 +186,46 @@ def _text_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _company(buckets: int):
-    """Each chunk's distinct company hashes, by bucket."""
+    """Each chunk's distinct company hashes and its frequent anchors with their runs, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 chunk, ids, ends, body = _row(batch, k)
-                order = _chunk_hashes(ids, *runs(body, ends, _skipped(batch, k, len(ids)))[2::3])[0]
+                found = runs(body, ends, _skipped(batch, k, len(ids)))
+                order = _chunk_hashes(ids, *found[2::3])[0]
                 bucket = (order % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
                 packed = [np.ascontiguousarray(order[by[a:b]][:, None].view(np.uint8)[:, 2:7]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-                full = [b for b in range(buckets) if packed[b]]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([packed[b] for b in full], pa.binary())], ["bucket", "chunk", "hashes"])
+                often = _frequent(found[4])
+                goal = (often["anchor"] % np.uint64(buckets)).astype(np.int64)
+                counted = {b: often[goal == b].tobytes() for b in np.unique(goal).tolist()}
+                full = [b for b in range(buckets) if packed[b] or b in counted]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([packed[b] for b in full], pa.binary()), pa.array([counted.get(b, b"") for b in full], pa.binary())], ["bucket", "chunk", "hashes", "anchors"])
 
     return run
 
 
+def _frequent(anchor: np.ndarray, least: int = CHUNK_RUNS) -> np.ndarray:
+    """The anchors of at least so many runs, with their runs."""
+    found, n = np.unique(anchor, return_counts=True)
+    out = np.zeros(int((n >= least).sum()), COUNTED)
+    out["anchor"], out["runs"] = found[n >= least], n[n >= least]
+    return out
+
+
+def _most(counted: list[bytes], hot_runs: int) -> np.ndarray:
+    """The anchors of more than ``hot_runs`` runs in all, the ``HOT_ANCHORS`` largest."""
+    parts = np.frombuffer(b"".join(counted), COUNTED)
+    found, of = np.unique(parts["anchor"], return_inverse=True)
+    out = np.zeros(len(found), COUNTED)
+    out["anchor"] = found
+    np.add.at(out["runs"], of, parts["runs"])
+    out = out[out["runs"] > hot_runs]
+    return out[np.argsort(-out["runs"], kind="stable")[:HOT_ANCHORS]]
+
+
 def _chunk_hashes(ids: np.ndarray, doc: np.ndarray, company: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct company hashes, whether two ids of the chunk have it)."""
     by = np.argsort(company)
@@ -185,24 +235,34 @@ def _chunk_hashes(ids: np.ndarray, doc: np.ndarray, company: np.ndarray) -> tupl
     return found[lead], several
 
 
-def _shared(key: tuple[pa.Scalar, ...], table_: pa.Table) -> pa.Table:
-    """A bitmap for each chunk of the bucket: the hashes that another chunk sent too."""
-    parts = [np.frombuffer(x, np.uint8).reshape(-1, 5) for x in table_.column("hashes").to_pylist()]
-    sizes = np.array([len(p) for p in parts])
-    wide = np.zeros((int(sizes.sum()), 8), np.uint8)
-    wide[:, :5] = np.concatenate(parts)
-    values = wide.view("<u8").ravel()
-    by = np.argsort(values)
-    new = np.concatenate([[True], values[by][1:] != values[by][:-1]])
-    count = np.diff(np.append(np.flatnonzero(new), len(values)))
-    twice = np.zeros(len(values), bool)
-    twice[by] = np.repeat(count > 1, count)
-    bits = [np.packbits(x).tobytes() for x in np.split(twice, np.cumsum(sizes)[:-1])]
-    return pa.Table.from_arrays([table_.column("chunk"), table_.column("bucket"), pa.array(bits, pa.binary())], ["chunk", "bucket", "bits"])
+def _shared(hot_runs: int):
+    """A bitmap for each chunk of the bucket: the hashes that another chunk sent too; as chunk -1 the hot anchors."""
+
+    def run(key: tuple[pa.Scalar, ...], table_: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint8).reshape(-1, 5) for x in table_.column("hashes").to_pylist()]
+        sizes = np.array([len(p) for p in parts])
+        wide = np.zeros((int(sizes.sum()), 8), np.uint8)
+        wide[:, :5] = np.concatenate(parts)
+        values = wide.view("<u8").ravel()
+        by = np.argsort(values)
+        new = np.concatenate([[True], values[by][1:] != values[by][:-1]])
+        count = np.diff(np.append(np.flatnonzero(new), len(values)))
+        twice = np.zeros(len(values), bool)
+        twice[by] = np.repeat(count > 1, count)
+        bits = [np.packbits(x).tobytes() for x in np.split(twice, np.cumsum(sizes)[:-1])]
+        chunks, numbers = table_.column("chunk").to_pylist(), table_.column("bucket").to_pylist()
+        if len(hot := _most(table_.column("anchors").to_pylist(), hot_runs)):
+            chunks, numbers, bits = [*chunks, -1], [*numbers, numbers[0]], [*bits, hot.tobytes()]
+        return pa.Table.from_arrays([pa.array(chunks, pa.int64()), pa.array(numbers, pa.int32()), pa.array(bits, pa.binary())], ["chunk", "bucket", "bits"])
 
+    return run
 
-def _strings(buckets: int, out_buckets: int):
-    """Strings of windows that may repeat, by their anchor's bucket; windows already known to be later ones as spans."""
+
+def _strings(buckets: int, out_buckets: int, hot: np.ndarray):
+    """Strings of windows that may repeat, by their anchor's bucket; windows already known to be later ones as spans.
+
+    Windows of ``hot`` anchors are strings by themselves, in the buckets from ``out_buckets`` on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +288,14 @@ def _strings(buckets: int, out_buckets: int):
                 size = np.add.reduceat(size, lead) if len(lead) else size
                 # High bits of the anchor's hash: its low bits are those of its company's bucket.
                 goal = ((anchor[lead] >> np.uint64(20)) % np.uint64(out_buckets)).astype(np.int64)
-                for start, n, b, owner in zip(window[lead].tolist(), size.tolist(), goal.tolist(), ids[doc[lead]].tolist()):
+                start, owners = window[lead], ids[doc[lead]]
+                if (often := np.isin(anchor[lead], hot)).any():
+                    ones = np.repeat(start[often] - (np.cumsum(size[often]) - size[often]), size[often]) + np.arange(int(size[often].sum()))
+                    own = _mixed(body, ones)
+                    goal = np.concatenate([goal[~often], out_buckets + (own % np.uint64(out_buckets)).astype(np.int64)])
+                    start, owners = np.concatenate([start[~often], ones]), np.concatenate([owners[~often], np.repeat(owners[often], size[often])])
+                    size = np.concatenate([size[~often], np.ones(len(ones), np.int64)])
+                for start, n, b, owner in zip(start.tolist(), size.tolist(), goal.tolist(), owners.tolist()):
                     text = raw[start : start + n + WIDTH - 1]
                     if sent.setdefault(text, owner) < owner:
                         later.append((start, start + n))
@@ -245,26 +312,30 @@ def _strings(buckets: int, out_buckets: int):
     return run
 
 
-def _repeats(key: tuple[pa.Scalar, ...], table_: pa.Table) -> pa.Table:
+def _repeats(out_buckets: int):
     """The bucket's later windows, as spans of each chunk."""
-    def flat(name: str) -> np.ndarray:
-        return np.asarray(table_.column(name).combine_chunks().flatten())
-
-    lengths, owners, starts = flat("sizes"), flat("owners"), flat("starts")
-    per_row = np.asarray(pc.list_value_length(table_.column("sizes")))
-    body = np.frombuffer(b"".join(table_.column("strings").to_pylist()), np.uint8)
-    flagged = later_windows(body, lengths, owners, WIDTH)
-    begins = np.cumsum(lengths) - lengths
-    edge = np.diff(flagged.astype(np.int8), prepend=0, append=0)
-    on, off = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
-    # The last bytes of a string start no window, so a run of flags stays inside its string.
-    of = np.searchsorted(begins, on, "right") - 1
-    first, last = starts[of] + on - begins[of], starts[of] + off - begins[of]
-    row = np.searchsorted(np.cumsum(per_row), of, "right")
-    cuts = np.searchsorted(row, np.arange(table_.num_rows + 1))
-    spans = [(a + f, b + e) for a, b, f, e in zip(table_.column("span_starts").to_pylist(), table_.column("span_ends").to_pylist(), [first[x:y].tolist() for x, y in zip(cuts[:-1], cuts[1:])], [last[x:y].tolist() for x, y in zip(cuts[:-1], cuts[1:])])]
-    longs = pa.list_(pa.int64())
-    return pa.Table.from_arrays([table_.column("chunk"), pa.array([s for s, _ in spans], longs), pa.array([e for _, e in spans], longs)], ["chunk", "span_starts", "span_ends"])
+
+    def run(key: tuple[pa.Scalar, ...], table_: pa.Table) -> pa.Table:
+        def flat(name: str) -> np.ndarray:
+            return np.asarray(table_.column(name).combine_chunks().flatten())
+
+        lengths, owners, starts = flat("sizes"), flat("owners"), flat("starts")
+        per_row = np.asarray(pc.list_value_length(table_.column("sizes")))
+        body = np.frombuffer(b"".join(table_.column("strings").to_pylist()), np.uint8)
+        flagged = _equal_later(body, owners) if key[0].as_py() >= out_buckets else later_windows(body, lengths, owners, WIDTH)
+        begins = np.cumsum(lengths) - lengths
+        edge = np.diff(flagged.astype(np.int8), prepend=0, append=0)
+        on, off = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+        # The last bytes of a string start no window, so a run of flags stays inside its string.
+        of = np.searchsorted(begins, on, "right") - 1
+        first, last = starts[of] + on - begins[of], starts[of] + off - begins[of]
+        row = np.searchsorted(np.cumsum(per_row), of, "right")
+        cuts = np.searchsorted(row, np.arange(table_.num_rows + 1))
+        spans = [(a + f, b + e) for a, b, f, e in zip(table_.column("span_starts").to_pylist(), table_.column("span_ends").to_pylist(), [first[x:y].tolist() for x, y in zip(cuts[:-1], cuts[1:])], [last[x:y].tolist() for x, y in zip(cuts[:-1], cuts[1:])])]
+        longs = pa.list_(pa.int64())
+        return pa.Table.from_arrays([table_.column("chunk"), pa.array([s for s, _ in spans], longs), pa.array([e for _, e in spans], longs)], ["chunk", "span_starts", "span_ends"])
+
+    return run
 
 
 def _documents(keep_text: bool):
@@ -313,12 +384,12 @@ def beside(chunks: DataFrame, small: DataFrame) -> DataFrame:
     return chunks.join(small.hint("shuffle_hash"), "chunk", "left")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep_text: bool = False, hot_runs: int = HOT_RUNS) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256.
 
     ``keep_text`` adds ``spans`` (starts and ends of the removed runs, in
     bytes, in turn) and ``kept`` (the bytes that stay; a cut inside a character
-    leaves part of it).
+    leaves part of it). ``hot_runs`` does not change the result.
     """
     spark = docs.sparkSession
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
@@ -331,13 +402,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunks = beside(chunks, staged(copies, "copies"))
 
     buckets = shuffle_partitions(spark)
-    sent = chunks.mapInArrow(_company(buckets), "bucket int, chunk long, hashes binary")
-    answers = sent.groupBy("bucket").applyInArrow(_shared, "chunk long, bucket int, bits binary")
+    sent = chunks.mapInArrow(_company(buckets), "bucket int, chunk long, hashes binary, anchors binary")
+    answers = sent.groupBy("bucket").applyInArrow(_shared(hot_runs), "chunk long, bucket int, bits binary")
     answers = staged(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers")), "answers")
+    # Few: at most HOT_ANCHORS of each bucket, all of more than hot_runs runs.
+    counted = [x.bits for row in answers.where("chunk = -1").collect() for x in row.answers]
+    hot = _most([bytes(x) for x in counted], hot_runs)["anchor"]
     asked = beside(chunks, answers)
 
-    strings = asked.mapInArrow(_strings(buckets, BUCKETS * buckets), "bucket int, chunk long, starts array<long>, sizes array<long>, owners array<long>, strings binary, span_starts array<long>, span_ends array<long>")
-    spans = strings.groupBy("bucket").applyInArrow(_repeats, "chunk long, span_starts array<long>, span_ends array<long>")
+    strings = asked.mapInArrow(_strings(buckets, BUCKETS * buckets, hot), "bucket int, chunk long, starts array<long>, sizes array<long>, owners array<long>, strings binary, span_starts array<long>, span_ends array<long>")
+    spans = strings.groupBy("bucket").applyInArrow(_repeats(BUCKETS * buckets), "chunk long, span_starts array<long>, span_ends array<long>")
     spans = staged(spans.where("size(span_starts) > 0").groupBy("chunk").agg(F.collect_list(F.struct("span_starts", "span_ends")).alias("spans")), "spans")
     found = beside(chunks, spans)
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<long>, kept binary" if keep_text else "")

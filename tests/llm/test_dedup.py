@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import bwt_merge, exact_dedup, jaccard_join, line_dedup, substring_dedup
@@ -135,6 +136,38 @@ def test_substring_dedup_messy(spark, messy, no_docs, monkeypatch):
     assert bytes(kept[7].kept) and len(kept[7].spans) == 2 * kept[7].n_spans
 
 
+def hot_line_docs(n):
+    rng = np.random.default_rng(5)
+    line, edges = b"this line of forty odd bytes is all over", [bytes(rng.integers(97, 123, 60).astype(np.uint8)) for _ in range(2 * n)]
+    # Every tenth document shares its neighbours with an earlier one.
+    return [(i, edges[2 * (i // 10 if i % 10 == 9 else i)] + line + edges[2 * i + 1][: i % 60] + b"\0" * (i % 3)) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot_runs", [20, 1 << 30])
+def test_substring_dedup_of_a_line_with_many_neighbours(spark, hot_runs):
+    docs = hot_line_docs(300)
+    df = spark.createDataFrame([(i, t.decode()) for i, t in docs], "doc_id bigint, text string").repartition(4)
+    assert substring_result(substring_dedup.substring_dedup(df, hot_runs=hot_runs)) == brute_windows(docs, 50)
+
+
+def test_hot_anchor_is_dealt_over_buckets():
+    docs, longs = hot_line_docs(600), pa.list_(pa.int64())
+    ends, body = np.cumsum([len(t) for _, t in docs]), b"".join(t for _, t in docs)
+    columns = {"chunk": pa.array([0]), "ids": pa.array([[i for i, _ in docs]], longs), "ends": pa.array([ends.tolist()], longs), "body": pa.array([body], pa.binary()), "copies": pa.array([None], pa.list_(pa.int32())), "answers": pa.array([None], pa.list_(pa.int32()))}
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    sent = [x for out in substring_dedup._company(4)(iter([batch])) for x in out.column("anchors").to_pylist()]
+    hot = substring_dedup._most(sent, 200)["anchor"]
+    assert 0 < len(hot) < 10
+
+    def largest(anchors):
+        out = pa.Table.from_batches(substring_dedup._strings(4, 64, anchors)(iter([batch])))
+        sizes = dict(zip(out.column("bucket").to_pylist(), map(len, out.column("strings").to_pylist())))
+        return max(sizes.values()), sum(sizes.values())
+
+    before, after = largest(hot[:0]), largest(hot)
+    assert before[0] > before[1] / 4 and after[0] < after[1] / 16
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
