@@ -3,10 +3,12 @@
 Every DOM node has characters per tag, adjusted for the share of characters
 and tags inside links. Parts that are no article text by their element, role
 or class are cut first. Among the rest, the container whose children's
-densities sum highest is the article's core; the least density on its path to
-the body is the threshold, and ancestors are taken in while all their other
-text is at least that dense. An ``article`` or ``main`` around the core is
-taken whole.
+densities sum highest is the article's core, and the least density on its path
+to the body is the threshold. Beside the path each child is judged by itself:
+one that reaches the threshold is taken whole, and of the others each block of
+text stays unless most of it is in links; a linked heading stays if the block
+after it does. An ``article`` or ``main`` around the core is taken whole and
+alone.
 
 Defined cases: a null or empty page gives an empty text; repeated rows are
 extracted each for itself; an unclosed comment or script runs to the end of
@@ -35,6 +37,7 @@ RAW = set("script style noscript template textarea iframe svg math object".split
 INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 CUT = set("nav footer aside form button select option input fieldset dialog head title menu".split()) | RAW
 LEAF = set("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption td th".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: An open paragraph does not end at these starts only if they are inline; an implied end never crosses these.
 SCOPE = set("html body table ul ol dl article section main div".split())
@@ -141,6 +144,7 @@ class Page:
                 link_chars[up] += link_chars[k]
                 tags[up] += tags[k] + 1
                 link_tags[up] += link_tags[k] + (self.tag[k] == "a")
+        self.link = link
         share = link_chars[0] / chars[0] if chars[0] else 0.0
         self.density, self.sum, self.chars = [0.0] * n, [0.0] * n, chars
         for k in range(n - 1, -1, -1):
@@ -152,36 +156,53 @@ class Page:
             if k and self.tag[k] not in INLINE:
                 self.sum[self.parent[k]] += self.density[k]
 
-    def _root(self) -> int:
-        """The node that holds the article."""
-        containers = [k for k in range(len(self.tag)) if not self.cut[k] and self.chars[k] and self.tag[k] not in INLINE and self.tag[k] not in LEAF]
+    def _whole(self) -> list[bool]:
+        """Whether a node's text is taken without a look at its blocks."""
+        n = len(self.tag)
+        whole = [False] * n
+        containers = [k for k in range(n) if not self.cut[k] and self.chars[k] and self.tag[k] not in INLINE and self.tag[k] not in LEAF]
         if not containers:
-            return 0
+            return [True] * n
         best = max(containers, key=lambda k: (self.sum[k], -k))
         path = [best]
         while path[-1]:
             path.append(self.parent[path[-1]])
         for k in reversed(path):
             if self.tag[k] in ("article", "main"):
-                return k
-        threshold = min(self.density[k] for k in path)
-        for k, up in zip(path, path[1:]):
-            others = [c for c in range(up + 1, len(self.tag)) if self.parent[c] == up and c != k and not self.cut[c] and self.chars[c]]
-            if not all(self.density[c] >= threshold for c in others):
+                self.alone, best = True, k
                 break
-            best = up
-        return best
+        threshold, on_path = min(self.density[k] for k in path), set(path)
+        for k in range(n):
+            up = self.parent[k]
+            dense = not self.alone and up in on_path and k not in on_path and self.tag[k] not in INLINE and self.density[k] >= threshold
+            whole[k] = k == best or dense or (k > 0 and whole[up])
+        return whole
 
     def text(self) -> str:
-        root, inside = self._root(), [False] * len(self.tag)
-        for k in range(root, len(self.tag)):
-            inside[k] = k == root or (self.parent[k] >= root and inside[self.parent[k]])
-        blocks: dict[int, list[str]] = {}
+        self.alone = False
+        whole = self._whole()
+        blocks: dict[int, list[tuple[int, str]]] = {}
         for node, block, text in self.pieces:
-            if inside[node] and not self.cut[node]:
-                blocks.setdefault(block, []).append(text)
-        lines = (" ".join("".join(x).split()) for x in blocks.values())
-        return "\n".join(line for line in lines if line)
+            if not self.cut[node]:
+                blocks.setdefault(block, []).append((node, text))
+        lines, after = [], False
+        for pieces in reversed(blocks.values()):
+            line = " ".join("".join(text for _, text in pieces).split())
+            if not line:
+                continue
+            kept = any(whole[node] for node, _ in pieces)
+            if not kept and not self.alone:
+                sizes = [(len("".join(text.split())), self.link[node]) for node, text in pieces]
+                kept = 2 * sum(n for n, linked in sizes if linked) <= sum(n for n, _ in sizes) or (after and self._heading(pieces[0][0]))
+            after = kept
+            if kept:
+                lines.append(line)
+        return "\n".join(reversed(lines))
+
+    def _heading(self, node: int) -> bool:
+        while node and self.tag[node] in INLINE:
+            node = self.parent[node]
+        return self.tag[node] in HEADINGS
 
 
 def main_text(source: str | None) -> str:

@@ -81,6 +81,16 @@ def test_main_text_of_layouts(wrap):
     assert text.split("\n") == ["A & B", "First paragraph with bold words and a link, long enough to count as text.", "Second paragraph <ok>, also of a fair length so that it is dense.", "Third one without an end tag, which is as long as the others are."]
 
 
+def test_main_text_of_several_sections():
+    long, short = ["x" * 400 + f" {n}" for n in range(5)], ["y" * 80 + f" {n}" for n in range(3)]
+    first, second = ("".join(f"<p>{x}</p>" for x in part) for part in (long, short))
+    links = '<div><a href="/1">Another page</a> | <a href="/2">One more page</a></div><ul><li><a href="/3">A third page</a></li></ul>'
+    page = f"<html><body>{links}<h1>Outer title</h1><div>{first}</div><h2><a href='#s'>Linked heading</a></h2><div><section>{second}</section>{links}</div>Bare text with <a href='/4'>a link</a> in it<p>End.</p></body></html>"
+    assert html_text.main_text(page).split("\n") == ["Outer title", *long, "Linked heading", *short, "Bare text with a link in it", "End."]
+    alone = f"<body><h1>Outside</h1><article><h2>Inside</h2>{first}</article><div>{second}</div></body>"
+    assert html_text.main_text(alone).split("\n") == ["Inside", *long]
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<!--", "<script>x", "plain words", "<p>", "</p></div>", "<div " * 50, "<b><i></b></i>", "<p>&am</p>", "<html><body></body></html>", "<div>" * 3000 + "deep" + "</div>" * 3000])
 def test_odd_pages_do_not_crash(page):
     assert isinstance(html_text.main_text(page), str)
