@@ -1,14 +1,16 @@
 """Corpus pipeline: documents in, packed training sequences out.
 
 Five stages, each written as Parquet and read again before the next: language
-ID drops documents in no known language, exact dedup keeps one row of equal
+ID drops documents in no known language (a null text or one without a letter;
+where no row that trains has a language, all others stay), exact dedup keeps one row of equal
 texts, the n-gram Jaccard join keeps one document of each group of near
 copies, decontamination drops documents that a benchmark's passages cover by a
 twentieth or more, and best-fit packing places the rest in sequences.
 
 Every stage but the last returns the columns it was given, whatever they are
-called. A row without an id passes the near-duplicate stage; an empty table
-gives an empty result.
+called. The near-duplicate stage judges rows, not ids: of a group one row stays,
+that with the smallest id, and a null id ranks last. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -21,8 +23,11 @@ from plumbline.llm.shared import staged, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID gives a language."""
-    judged = lang_id.predict(docs, lang_id.trained(docs), row=F.struct(*[docs[c] for c in docs.columns]))
+    """Documents that language ID gives a language; all that have a letter where no language could be learned."""
+    model = lang_id.trained(docs)
+    if not model.langs:  # nothing to learn from says nothing about a text
+        return docs.where(docs["text"].cast("string").rlike(r"\p{L}"))
+    judged = lang_id.predict(docs, model, row=F.struct(*[docs[c] for c in docs.columns]))
     return judged.where(F.col("lang_pred") != lang_id.UNKNOWN).select("row.*")
 
 

@@ -1,7 +1,9 @@
 """Each stage of the pipeline on its own input."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from plumbline.llm import decontaminate, jaccard_join
+from plumbline.llm import decontaminate, jaccard_join, lang_id
 from plumbline.llm.shared import shared_folder, staged, table
 
 
@@ -32,6 +34,15 @@ def test_stages_on_messy_rows(spark, messy, no_docs, small):
     assert corpus_pipeline.STAGES[-1][1](spark, no_docs, small).count() == 0
 
 
+def test_language_stage_without_labels(spark, messy, small):
+    """All languages null, or only in rows that never train: documents with a letter stay."""
+    held = F.when(lang_id.held_out(F.col("doc_id")), F.col("lang"))
+    for lang in (F.lit(None).cast("string"), held):
+        out = corpus_pipeline.language(spark, messy.withColumn("lang", lang), small)
+        assert out.columns == messy.columns
+        assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, [1, 2, 6, 7, 8, 9, 9, None, 11, 12]))
+
+
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
     assert shared_folder(spark)
