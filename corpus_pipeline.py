@@ -37,11 +37,19 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group linked by 80 % of five-word shingles."""
-    found = jaccard_join.jaccard_components(docs, k=5, percent=80)
-    dropped = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    """One row of each group linked by 80 % of five-word shingles, that with the smallest id."""
+    # Written with a key of each row, as ids may repeat or be null.
+    keyed = staged(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row")), "keyed")
+    slim = keyed.select("key", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    found = jaccard_join.jaccard_components(slim, "key", k=5, percent=80).select("key", "component_id")
+    linked = found.where("key <> component_id")
+    # Both ends of every link: the rows beside the one a group is named after, and that one.
+    member = staged(linked.union(linked.select(F.col("component_id").alias("key"), "component_id").distinct()).join(slim.select("key", "doc_id"), "key"), "near-copies")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
+    stays = member.groupBy("component_id").agg(F.min(place)["key"].alias("stays"))
+    dropped = staged(member.join(stays, "component_id").where("key <> stays").select("key"), "near-dropped")
     small = dropped.count() <= jaccard_join.BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if small else dropped, "doc_id", "left_anti").select(*docs.columns)
+    return keyed.join(F.broadcast(dropped) if small else dropped, "key", "left_anti").select("row.*")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,17 @@ def test_language_stage_without_labels(spark, messy, small):
         assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, [1, 2, 6, 7, 8, 9, 9, None, 11, 12]))
 
 
+def test_near_stage_judges_rows_not_ids(spark, small):
+    base, other = [f"w{n}" for n in range(100)], " ".join(f"v{n}" for n in range(60))
+    near = [" ".join([*base[:-1], f"end{n}"]) for n in range(5)]
+    far = [" ".join([f"u{n}" for n in range(50)] + [f"tip{k}"]) for k in range(2)]
+    docs = [(5, near[0]), (None, near[1]), (7, near[2]), (7, other), (3, near[3]), (None, far[0]), (None, far[1]), (3, "short text"), (None, "short too")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.near(spark, df, small).collect()}
+    assert got - {(None, far[0]), (None, far[1])} == {(7, other), (3, near[3]), (3, "short text"), (None, "short too")}
+    assert len(got) == 5
+
+
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
     assert shared_folder(spark)
