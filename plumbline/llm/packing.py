@@ -4,9 +4,10 @@ Lengths are at most ``capacity``, so however many pieces there are, the
 histogram has at most ``capacity`` entries and the program is solved on the
 driver: a configuration is a multiset of lengths that fits one sequence; the
 covering program over configurations is solved by multiplicative weights, and
-each round's columns come from a knapsack dynamic program on the weights. The
-fractional solution is rounded down and scaled so that no length is used more
-often than it occurs, the rest is solved again, and what remains at last is
+each sweep's columns come from a knapsack dynamic program on the weights,
+bounded by the pieces there are. The fractional solution is rounded to whole
+sequences that use no length more often than it occurs, the rest is solved
+and rounded again, and what remains at last (a few pieces in a thousand) is
 packed best-fit on its own histogram.
 
 Pieces then take their places without meeting in one task: a piece's rank
@@ -35,71 +36,134 @@ from plumbline.llm.shared import shuffle_partitions, staged, table
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Sweeps of multiplicative weights in a round, and rounds of solving what rounding left.
-SWEEPS, ROUNDS = 60, 8
-ETA = 0.5
+#: Rounds of solving what rounding left.
+ROUNDS = 12
+#: The program ends when it has left so small a share of the tokens.
+REST = 0.004
+#: Columns of a sweep are worth so much less than the best at most.
+SLACK = 0.02
+#: For up to so many lengths, and for more: the cover a length may gain in a sweep, eta, the cover to reach, and sweeps at most.
+FEW_LENGTHS = 24
+FINE, COARSE = (0.02, 5.0, 30.0, 3000), (1.0, 0.3, 1.0, 40)
+
+
+class Knapsack:
+    """Best fillings of every room 0 .. capacity that use length k at most ``stock[k]`` times.
+
+    ``value[k]`` is the worth of one piece of length k. Stocks are split into
+    powers of two, so one pass over a row of rooms decides each part.
+    """
+
+    def __init__(self, value: np.ndarray, stock: np.ndarray, capacity: int):
+        self.parts: list[tuple[int, int]] = []  # length, copies
+        for k in np.flatnonzero((value > 0) & (stock > 0)).tolist():
+            rest, copies = min(int(stock[k]), capacity // k), 1
+            while rest:
+                copies = min(copies, rest)
+                self.parts.append((k, copies))
+                rest, copies = rest - copies, 2 * copies
+        self.best = np.zeros(capacity + 1)
+        self.taken = np.zeros((len(self.parts), capacity + 1), bool)
+        for row, (k, copies) in zip(self.taken, self.parts):
+            worth = self.best[: capacity + 1 - k * copies] + copies * value[k]
+            np.greater(worth, self.best[k * copies :], out=row[k * copies :])
+            self.best[k * copies :] = np.maximum(worth, self.best[k * copies :])
+
+    def fill(self, rooms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best filling of each room, as (row of ``rooms``, length, copies)."""
+        rooms, found = rooms.copy(), [(np.zeros(0, np.int64), 0, 0)]
+        for row, (k, copies) in zip(self.taken[::-1], reversed(self.parts)):
+            if len(hit := np.flatnonzero(row[rooms])):
+                rooms[hit] -= k * copies
+                found.append((hit, k, copies))
+        sizes = [len(hit) for hit, _, _ in found]
+        return np.concatenate([hit for hit, _, _ in found]), np.repeat([k for _, k, _ in found], sizes), np.repeat([c for _, _, c in found], sizes)
+
+
+def columns(price: np.ndarray, stock: np.ndarray, capacity: int, slack: float = SLACK) -> tuple[list[tuple[tuple[int, int], ...]], float]:
+    """Configurations worth at least (1 - slack) of the best, best first: for each length it with the best filling beside it. And the best worth."""
+    shelf = Knapsack(price, stock, capacity)
+    lengths = np.flatnonzero(stock)
+    worth = price[lengths] + shelf.best[capacity - lengths]
+    good = lengths[worth >= (1 - slack) * worth.max()]
+    row, length, copies = shelf.fill(capacity - good)
+    found = [{int(k): 1} for k in good]
+    for r, k, n in zip(row.tolist(), length.tolist(), copies.tolist()):
+        found[r][k] = found[r].get(k, 0) + n
+    value = {tuple(sorted(items.items())): sum(price[k] * n for k, n in items.items()) for items in found}
+    return sorted(value, key=lambda c: (-value[c], c)), float(shelf.best[capacity])
+
+
+def fractional(left: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """(configurations with fractional counts that cover ``left`` on the whole, a lower bound of the counts' sum).
+
+    A length's price falls exponentially with its cover. Each sweep prices
+    columns by the knapsack and raises them, best first, until one of their
+    lengths has got the sweep's share; few lengths are solved in many small
+    steps, many in fewer, larger ones. Any prices bound the program from
+    below: what all pieces are worth over what the best configuration is.
+    """
+    lengths = np.flatnonzero(left)
+    few = len(lengths) <= FEW_LENGTHS
+    step, eta, full, sweeps = FINE if few else COARSE
+    n, cover, bound = left.astype(float), np.zeros(capacity + 1), 0.0
+    used: dict[tuple[tuple[int, int], ...], float] = {}
+    tokens = float((n * np.arange(capacity + 1)).sum())
+    for _ in range(sweeps):
+        price = np.zeros(capacity + 1)
+        price[lengths] = lengths / capacity * np.exp(-eta * (cover[lengths] - cover[lengths].mean()))
+        found, best = columns(price, left, capacity)
+        bound = max(bound, float((n * price).sum()) / best)
+        room = (step * n).tolist()
+        for items in found:
+            x = min(room[k] / m for k, m in items)
+            if x > 0:
+                used[items] = used.get(items, 0.0) + x
+                for k, m in items:
+                    room[k] -= x * m
+                    cover[k] += x * m / n[k]
+        if (cover * n * np.arange(capacity + 1)).sum() > full * tokens:
+            break
+    # Cover of 1 for each length, or nearly so where it is uneven.
+    mean = float((cover * n * np.arange(capacity + 1)).sum()) / tokens
+    scale = 1 / max(float(cover[lengths].min()), 0.9 * mean)
+    return [(dict(items), x * scale) for items, x in used.items()], bound
 
 
-def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best value for each room 0 .. capacity (any number of each length), and the length to take first (0: none).
+def rounded(columns: list[tuple[dict[int, int], float]], left: np.ndarray, capacity: int, seed: int) -> list[tuple[dict[int, int], int]]:
+    """Whole counts of the columns, taken from ``left``.
 
-    ``value[k]`` is the worth of one piece of length k, 0 where none is left.
+    Counts are rounded down where that keeps half of the program; else
+    systematically: of columns in random order, each gets the whole numbers
+    that the running sum of the counts passes in it.
     """
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for room in range(1, capacity + 1):
-        worth = value[1 : room + 1] + best[room - 1 :: -1]
-        k = int(worth.argmax())
-        if value[k + 1] > 0 and worth[k] > best[room - 1]:
-            best[room], take[room] = worth[k], k + 1
-        else:
-            best[room] = best[room - 1]
-    return best, take
-
-
-def columns(value: np.ndarray, capacity: int, slack: float) -> list[dict[int, int]]:
-    """Configurations worth at least (1 - slack) of the best, one for each length that can start one."""
-    best, take = knapsack(value, capacity)
-    out, seen = [], set()
-    for k in np.flatnonzero(value > 0):
-        if value[k] + best[capacity - k] < (1 - slack) * best[capacity]:
-            continue
-        items, room = {int(k): 1}, capacity - int(k)
-        while room > 0:
-            if (step := int(take[room])) == 0:
-                room -= 1
-                continue
-            items[step] = items.get(step, 0) + 1
-            room -= step
-        if (key := tuple(sorted(items.items()))) not in seen:
-            seen.add(key)
-            out.append(items)
+    x = np.array([x for _, x in columns])
+    if 2 * np.floor(x + 1e-9).sum() >= x.sum():
+        order = np.argsort(-x, kind="stable")
+        whole = np.floor(x[order] + 1e-9)
+    else:
+        rng = np.random.default_rng(seed)
+        order = rng.permutation(len(x))
+        whole = np.diff(np.floor(np.cumsum(x[order]) + rng.random()), prepend=0)
+    out = []
+    for at, n in zip(order.tolist(), whole.astype(np.int64).tolist()):
+        items = columns[at][0]
+        if (n := min([n, *(int(left[k]) // m for k, m in items.items())])) > 0:
+            out.append((items, n))
+            for k, m in items.items():
+                left[k] -= n * m
     return out
 
 
-def fractional(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], float]]:
-    """Configurations with fractional counts that use no length more often than it is left."""
-    lengths = np.flatnonzero(left)
-    cover = np.zeros(capacity + 1)
-    used: dict[tuple, float] = {}
-    for _ in range(SWEEPS):
-        weight = np.zeros(capacity + 1)
-        weight[lengths] = np.exp(-ETA * (cover[lengths] - cover[lengths].min())) / left[lengths]
-        for items in columns(weight, capacity, 0.05):
-            # As often as the scarcest length in it allows in one step.
-            step = min(left[k] / n for k, n in items.items()) / len(items)
-            key = tuple(sorted(items.items()))
-            used[key] = used.get(key, 0.0) + step
-            for k, n in items.items():
-                cover[k] += step * n / left[k]
-    most = cover.max()
-    return [(dict(key), x / most) for key, x in used.items()] if most > 0 else []
-
-
 @dataclass
 class Plan:
     """Configurations with the number of sequences that follow each."""
 
     configs: list[tuple[dict[int, int], int]]
+    #: Share of the tokens of pieces below capacity that the program left to best-fit.
+    left_over: float = 0.0
+    #: No packing has fewer sequences than this.
+    bound: float = 0.0
 
     def sequences(self) -> int:
         return sum(n for _, n in self.configs)
@@ -164,20 +228,19 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
         left[int(k)] = n
     plan = [({capacity: 1}, int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    for _ in range(ROUNDS):
+    at = np.arange(capacity + 1)
+    short = first = int((left * at).sum())
+    bound = 0.0
+    for seed in range(ROUNDS):
         if not left.any():
             break
-        placed = 0
-        for items, x in sorted(fractional(left, capacity), key=lambda c: -sum(k * n for k, n in c[0].items())):
-            copies = min([int(x + 1e-9), *(int(left[k]) // n for k, n in items.items())])
-            if copies > 0 and sum(k * n for k, n in items.items()) == capacity:
-                plan.append((items, copies))
-                placed += copies
-                for k, n in items.items():
-                    left[k] -= n * copies
-        if not placed:
+        found, least = fractional(left, capacity)
+        bound = bound or least
+        plan += rounded(found, left, capacity, seed)
+        before, short = short, int((left * at).sum())
+        if short > 0.9 * before or short <= REST * first:
             break
-    return Plan(plan + best_fit(left, capacity))
+    return Plan(plan + best_fit(left, capacity), short / first if first else 0.0, plan[0][1] + bound if plan and plan[0][0] == {capacity: 1} else bound)
 
 
 def _pieces(path: str, separator: int, capacity: int):

@@ -138,12 +138,39 @@ def test_plan_places_every_piece(seed):
     assert plan.sequences() <= greedy and plan.sequences() >= -(-int(lengths.sum()) // 2048)
 
 
+@pytest.mark.parametrize("times", [1, 20, 200])
+def test_the_program_places_the_pieces(times):
+    """Thousands of lengths, a few of each or many: best-fit gets next to nothing, and the count is within 0.1 % of the bound."""
+    rng = np.random.default_rng(9)
+    counts = np.bincount(rng.choice(np.clip(rng.lognormal(6, 1.2, 4_000).astype(int), 1, 2047), 10_000))
+    plan = packing.solve({k: int(n) * times for k, n in enumerate(counts) if n})
+    assert plan.left_over <= 0.1 and plan.bound <= plan.sequences() <= 1.001 * plan.bound + 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_few_lengths_reach_the_fractional_optimum(seed):
+    rng = np.random.default_rng(seed)
+    plan = packing.solve({k: int(rng.integers(77, 300)) for k in (683, 684, 682, 1025, 1023, 500)})
+    assert plan.left_over <= 0.1 and plan.sequences() <= plan.bound + 3  # the bound is within 1 of the optimum
+
+
+def test_ties_and_repeated_pieces(spark):
+    rows = [(n % 3, 1000) for n in range(60)] + [(7, 2048)] * 4 + [(None, 5)] * 9
+    df = spark.createDataFrame(rows, "id bigint, length bigint").repartition(3)
+    found = packing.pack(df).collect()
+    assert sorted((str(r.id), r.length) for r in found) == sorted((str(i), n) for i, n in rows)
+    assert len({(r.sequence_id, r.offset) for r in found}) == len(rows) and len({r.sequence_id for r in found}) == 34
+
+
 def test_knapsack_is_exact():
     rng = np.random.default_rng(1)
     for _ in range(20):
-        value = np.where(rng.random(31) < 0.4, rng.random(31), 0)
-        value[0] = 0
+        value, stock = np.where(rng.random(31) < 0.4, rng.random(31), 0), rng.integers(0, 4, 31)
+        value[0] = stock[0] = 0
         best = np.zeros(31)
-        for room in range(1, 31):
-            best[room] = max([best[room - 1], *[value[k] + best[room - k] for k in range(1, room + 1) if value[k] > 0]])
-        assert np.allclose(packing.knapsack(value, 30)[0], best)
+        for k in range(1, 31):
+            best = np.array([max(best[room - k * m] + m * value[k] for m in range(min(stock[k], room // k) + 1)) for room in range(31)])
+        shelf = packing.Knapsack(value, stock, 30)
+        assert np.allclose(shelf.best, best)
+        row, length, copies = shelf.fill(np.arange(31))
+        assert np.allclose(np.bincount(row, copies * value[length], 31), best) and (np.bincount(row, copies * length, 31) <= np.arange(31)).all()
