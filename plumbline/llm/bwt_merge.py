@@ -1,12 +1,15 @@
 """Repeated windows in a collection of strings, by merging Burrows-Wheeler transforms.
 
 The strings are split into shards; each shard's suffixes are sorted once, by
-their first ``ORDER`` symbols, and give its transform of that order. The transforms are then merged by interleave refinement:
-an interleave of the shards' rows in order of the first h symbols becomes that
-of the first h + 2 by one stable distribution on the two symbols before each
-row, so no suffix is compared again. Two neighbours part at the step that
-first tells them apart; those that never parted within ``width`` symbols share
-a prefix of that length and form one repeated interval.
+their first ``width`` symbols, which gives the shard's transform. A merged
+order is kept as an interleave only: for each place the shard whose next row
+stands there. The interleave by the first symbols starts from the shards'
+sorted rows; that by the first h + 2 symbols follows from that by the first h:
+the places are dealt, in order, by the two symbols that the transforms hold for
+them, each shard's rows being read in its own order. No suffix is compared or
+sorted again. Two neighbours part in the step that first tells them apart;
+those that never parted within ``width`` symbols share a prefix of that length
+and form one repeated interval.
 """
 
 from __future__ import annotations
@@ -14,10 +17,9 @@ from __future__ import annotations
 import numpy as np
 
 SHARD_SYMBOLS = 1 << 17
-#: A shard's suffixes are sorted by so many symbols; the refinement goes on from any order.
-ORDER = 21
-STEP = 2
-NONE = 0xFFFF
+#: Symbols that the interleave starts from, and that a step adds.
+START, STEP = 8, 2
+LAST = np.iinfo(np.int64).max
 
 
 def _joined(head: np.ndarray, tail: np.ndarray, skip: int, bits: int) -> np.ndarray:
@@ -27,28 +29,26 @@ def _joined(head: np.ndarray, tail: np.ndarray, skip: int, bits: int) -> np.ndar
     return out
 
 
-def _seven(symbols: np.ndarray) -> np.ndarray:
-    """The next seven symbols at each place as one number, with 0 from a string's end on."""
+def leading(symbols: np.ndarray) -> np.ndarray:
+    """The next eight symbols at each place as one number, with 0 from a string's end on."""
     one = symbols.astype(np.uint64)
     two = _joined(one, one, 1, 8)
     four = _joined(two, two, 2, 16)
-    return _joined(_joined(four, two, 4, 16), one, 6, 8)
+    return _joined(four, four, 4, 32)
 
 
-def string_order(symbols: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """Suffix order, by ORDER symbols at least, of strings that each end in 0; ``room``: symbols before that end."""
-    n = len(symbols)
-    lead = _seven(symbols)
+def string_order(lead: np.ndarray, room: np.ndarray, width: int) -> np.ndarray:
+    """Suffix order, by ``width`` symbols at least, of strings that each end in 0; ``room``: symbols before that end."""
+    n = len(lead)
     by = np.argsort(lead)
-    new = np.concatenate([[True], lead[by][1:] != lead[by][:-1]])
-    heads = np.flatnonzero(new)
+    heads = np.flatnonzero(np.concatenate([[True], lead[by][1:] != lead[by][:-1]]))
     sizes = np.diff(np.append(heads, n))
     order, rank = np.empty(n, np.int64), np.empty(n, np.int64)
     order[:] = by
     rank[by] = np.repeat(heads, sizes)
     todo = by[np.repeat(sizes > 1, sizes)]
-    step = 7
-    while len(todo) and step < ORDER:
+    step = START
+    while len(todo) and step < width:
         key = rank[todo]
         for k in (1, 2):
             place = todo + k * step
@@ -68,70 +68,55 @@ def string_order(symbols: np.ndarray, room: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """A shard's transform: the symbol before each row, and each row's place in the text."""
-
-    def __init__(self, symbols: np.ndarray, room: np.ndarray):
-        self.order = string_order(symbols, room)
-        before = symbols[self.order - 1]
-        before[self.order == 0] = 0
-        self.bwt = before  # 0 before a string's first symbol
-        # Row of the suffix that is one symbol longer.
-        rows = np.empty(len(symbols), np.int32)
-        rows[self.order] = np.arange(len(symbols), dtype=np.int32)
-        self.longer = np.where(before > 0, rows[self.order - 1], -1)
-
-    def two_before(self) -> tuple[np.ndarray, np.ndarray]:
-        """Per row: the two symbols before it as one code, and the row that starts with them."""
-        far = np.where(self.longer >= 0, self.bwt[self.longer], 0)
-        good = (self.bwt > 0) & (far > 0)
-        code = np.where(good, far.astype(np.uint16) << np.uint16(8) | self.bwt, NONE).astype(np.uint16)
-        return code, np.where(good, self.longer[self.longer], -1)
+    """A shard's transform: for each of its rows, in order, the two symbols before it; and how its suffix lies in its string."""
+
+    def __init__(self, symbols: np.ndarray, room: np.ndarray, before: np.ndarray, width: int):
+        lead = leading(symbols)
+        self.order, self.width = string_order(lead, room, width), width
+        self.lead, self.room, self.before = lead[self.order], room[self.order], before[self.order]
+        near = np.concatenate([[0], symbols[:-1]]).astype(np.uint16)
+        far = np.concatenate([[0], near[:-1]]).astype(np.uint16)
+        self.code = (far << np.uint16(8) | near)[self.order]
+
+    def rows(self, h: int) -> np.ndarray:
+        """The rows whose first h symbols are the last h of ``width`` symbols inside a string; no other leads to such a prefix."""
+        return np.flatnonzero((self.room >= h) & (self.before >= self.width - h))
 
 
 def merge(shards: list[Shard], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (one shard's after another's) that share their first ``width`` symbols with another row, in order, and where a new prefix starts.
+    """The interleave of the shards by ``width`` symbols (a shard's number for each place), and where a new prefix starts.
 
-    A row that has parted from both its neighbours has no part in any longer
-    repeat, and neither has a row that continues it, so both leave the interleave.
+    Suffixes of fewer symbols have no place in it. ``width`` must be even.
     """
-    steps, base = [], 0
-    for shard in shards:
-        code, target = shard.two_before()
-        # One number a row: the code above, the row it leads to below.
-        steps.append(code.astype(np.int64) << 32 | np.where(target >= 0, target + base, 0))
-        base += len(code)
-    step = np.concatenate(steps)
-    rows = np.arange(len(step))
-    group = np.zeros(len(step), np.int32)
-    new = np.zeros(len(step), bool)
-    for _ in range(-(-width // STEP)):
-        ahead = step[rows]
-        code = (ahead >> 32).astype(np.uint16)
-        live = np.flatnonzero(code != NONE)
-        if len(live) < len(code):
-            code, ahead, group = code[live], ahead[live], group[live]
+    h = START if width >= START else 0
+    rows = [s.rows(h) for s in shards]
+    z = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint32), [len(x) for x in rows])
+    new = np.arange(len(z)) == 0
+    if h:
+        lead = np.concatenate([s.lead[x] for s, x in zip(shards, rows)])
+        by = np.argsort(lead, kind="stable")  # sorted runs, one a shard, so this only merges
+        z, lead = z[by], lead[by]
+        np.not_equal(lead[1:], lead[:-1], out=new[1:])
+    while h < width:
+        # What the transforms hold for each place: every shard's rows are read in its order.
+        code, group = np.empty(len(z), np.uint16), np.cumsum(new, dtype=np.int32)
+        code[np.argsort(z, kind="stable")] = np.concatenate([s.code[s.rows(h)] for s in shards])
         by = np.argsort(code, kind="stable")
-        ahead, group = ahead[by], group[by]
-        code = ahead >> 32
-        new = np.ones(len(code), bool)
+        z, code, group = z[by], code[by], group[by]
         np.not_equal(code[1:], code[:-1], out=new[1:])
         new[1:] |= group[1:] != group[:-1]
-        keep = ~new
-        keep[:-1] |= ~new[1:]
-        keep = np.flatnonzero(keep)
-        rows, new = ahead[keep] & 0xFFFFFFFF, new[keep]
-        group = np.cumsum(new, dtype=np.int32)
-    return rows, new
+        h += STEP
+    return z, new
 
 
-def later_windows(body: np.ndarray, lengths: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
-    """For each byte of the strings in ``body``: whether the ``width`` bytes from it also start in a string of smaller id.
+def least_owners(body: np.ndarray, lengths: np.ndarray, owners: np.ndarray, width: int) -> np.ndarray:
+    """For each byte of the strings in ``body``: the least owner of a string that has the ``width`` bytes from it, LAST where a string ends before.
 
     ``width`` must be even. Bytes of 0xFF do not occur in UTF-8 and are not supported.
     """
-    flagged = np.zeros(len(body), bool)
+    least = np.full(len(body), LAST)
     if not len(lengths):
-        return flagged
+        return least
     ends = np.cumsum(lengths)
     cuts = [0]
     while cuts[-1] < len(lengths):
@@ -148,13 +133,44 @@ def later_windows(body: np.ndarray, lengths: np.ndarray, ids: np.ndarray, width:
         room = np.repeat(tails, size + 1) - np.arange(len(symbols))
         place = np.full(len(symbols), -1, np.int64)
         place[where] = np.arange(begin, begin + int(size.sum()))
-        shards.append(Shard(symbols, room))
-        places.append(place[shards[-1].order])
-    rows, new = merge(shards, width)
-    if len(rows):
+        before = np.arange(len(symbols)) - np.repeat(tails - size, size + 1)
+        shards.append(shard := Shard(symbols, room, before, width))
+        places.append(place[shard.order[shard.rows(width)]])
+    z, new = merge(shards, width)
+    if len(z):
+        at = np.empty(len(z), np.int64)
+        at[np.argsort(z, kind="stable")] = np.concatenate(places)
         heads = np.flatnonzero(new)
-        at = np.concatenate(places)[rows]
-        owner = np.repeat(ids, lengths)[at]
-        least = np.minimum.reduceat(owner, heads)
-        flagged[at] = owner > np.repeat(least, np.diff(np.append(heads, len(rows))))
-    return flagged
+        of = np.repeat(owners, lengths)[at]
+        least[at] = np.repeat(np.minimum.reduceat(of, heads), np.diff(np.append(heads, len(z))))
+    return least
+
+
+def distinct(body: np.ndarray, lengths: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each string's first equal, least owner for each of those that are first, by number)."""
+    raw, ends = body.tobytes(), np.cumsum(lengths).tolist()
+    seen: dict[bytes, int] = {}
+    of = np.empty(len(lengths), np.int64)
+    start = 0
+    for k, end in enumerate(ends):
+        of[k] = seen.setdefault(raw[start:end], len(seen))
+        start = end
+    least = np.full(len(seen), LAST)
+    np.minimum.at(least, of, owners)
+    return of, least
+
+
+def later_windows(body: np.ndarray, lengths: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
+    """For each byte of the strings in ``body``: whether the ``width`` bytes from it also start in a string of smaller id.
+
+    Equal strings enter the merge once, with the least of their ids.
+    """
+    if not len(lengths):
+        return np.zeros(len(body), bool)
+    of, owners = distinct(body, lengths, ids)
+    first = np.full(len(owners), len(of))
+    np.minimum.at(first, of, np.arange(len(of)))
+    begins, sizes = np.cumsum(lengths) - lengths, lengths[first]
+    places = lambda start, size: np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    least = least_owners(body[places(begins[first], sizes)], sizes, owners, width)
+    return least[places((np.cumsum(sizes) - sizes)[of], lengths)] < np.repeat(ids, lengths)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextvars
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,17 +32,56 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _local_folder()
 
 
+#: Spark's own setting: shuffle files go when the write that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables written since the innermost ``settled`` began.
+_open: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("open", default=None)
+
+
+def _write(df: DataFrame, name: str) -> str:
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     A lost executor then costs its own tasks only, and several readers of the
-    result do not repeat the work before it.
+    result do not repeat the work before it. Inside ``settled`` the table goes
+    with it.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = _write(df, name)
+    if (held := _open.get()) is not None:
+        held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of ``build()`` as a written table; the tables staged on the way to it are deleted."""
+    mark = _open.set(held := [])
+    try:
+        df = build()
+        path = _write(df, name)
+    finally:
+        _open.reset(mark)
+        for old in held:
+            discard(spark, old)
+    if (outer := _open.get()) is not None:
+        outer.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,10 +17,11 @@ content, so that no task sees the whole corpus:
    string. A string that the chunk already sent for a smaller id is not sent
    again: its windows are all later ones. Runs are counted by anchor in step 2;
    the windows of an anchor with more than ``HOT_RUNS`` go one by one to buckets
-   of their own, by a hash of all their bytes, where equal ones are grouped.
+   of their own, by a hash of all their bytes, so that equal ones meet.
 4. A bucket's strings are split into shards, each shard's transform is built,
    and the transforms are merged by interleave refinement (bwt_merge.py),
-   which yields the repeated intervals.
+   which yields the repeated intervals. Equal strings enter once, with the
+   least of their ids.
 5. Spans go back to the chunks and are merged to maximal runs.
 
 Defined cases: a null text is an empty one; documents of one id are no sources
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import words
 from plumbline.llm.bwt_merge import later_windows
-from plumbline.llm.shared import shuffle_partitions, staged, table
+from plumbline.llm.shared import settled, shuffle_partitions, staged, table
 
 WIDTH, ANCHOR = 50, 12
 REACH = WIDTH - ANCHOR + 1  # windows around one anchor
@@ -96,17 +97,6 @@ def _mixed(body: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total ^ total >> np.uint64(32)
 
 
-def _equal_later(body: np.ndarray, owners: np.ndarray) -> np.ndarray:
-    """``later_windows`` of strings of one window each."""
-    flagged = np.zeros(len(body), bool)
-    if len(owners):
-        _, of = np.unique(body.view(f"V{WIDTH}"), return_inverse=True)
-        least = np.full(int(of.max()) + 1, LAST)
-        np.minimum.at(least, of, owners)
-        flagged[::WIDTH] = owners > least[of]
-    return flagged
-
-
 def runs(body: np.ndarray, ends: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor, inside documents not skipped: (first window, windows, document, anchor place, anchor hash, company hash).
 
@@ -312,7 +302,7 @@ def _strings(buckets: int, out_buckets: int, hot: np.ndarray):
     return run
 
 
-def _repeats(out_buckets: int):
+def _repeats():
     """The bucket's later windows, as spans of each chunk."""
 
     def run(key: tuple[pa.Scalar, ...], table_: pa.Table) -> pa.Table:
@@ -322,7 +312,7 @@ def _repeats(out_buckets: int):
         lengths, owners, starts = flat("sizes"), flat("owners"), flat("starts")
         per_row = np.asarray(pc.list_value_length(table_.column("sizes")))
         body = np.frombuffer(b"".join(table_.column("strings").to_pylist()), np.uint8)
-        flagged = _equal_later(body, owners) if key[0].as_py() >= out_buckets else later_windows(body, lengths, owners, WIDTH)
+        flagged = later_windows(body, lengths, owners, WIDTH)
         begins = np.cumsum(lengths) - lengths
         edge = np.diff(flagged.astype(np.int8), prepend=0, append=0)
         on, off = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
@@ -369,12 +359,11 @@ def _documents(keep_text: bool):
     return run
 
 
-def chunked(slim: DataFrame) -> DataFrame:
+def chunked(slim: DataFrame, name: str) -> DataFrame:
     """The chunks as a table bucketed by chunk: what is joined to it later moves, the texts do not."""
     spark, n = slim.sparkSession, shuffle_partitions(slim.sparkSession)
     kind = slim.schema["id"].dataType.simpleString()
     found = slim.mapInArrow(_chunks, f"chunk long, ids array<{kind}>, ends array<long>, body binary")
-    name = f"substring_chunks_{uuid.uuid4().hex}"
     found.repartition(n, "chunk").write.bucketBy(n, "chunk").saveAsTable(name)
     return spark.table(name)
 
@@ -393,9 +382,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
-    chunks = chunked(slim)
+    chunks = f"substring_chunks_{uuid.uuid4().hex}"
+    try:
+        return settled(spark, "substring-dedup", lambda: _found(chunked(slim, chunks), slim.schema["id"].dataType.simpleString(), keep_text, hot_runs)).withColumnRenamed("id", id_col)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {chunks} PURGE")
+
 
+def _found(chunks: DataFrame, kind: str, keep_text: bool, hot_runs: int) -> DataFrame:
+    spark = chunks.sparkSession
     hashes = staged(chunks.mapInArrow(_text_hashes, "chunk long, doc int, id long, digest binary"), "text-hashes")
     firsts = staged(hashes.groupBy("digest").agg(F.min("id").alias("top"), F.max("id").alias("low")).where("top < low").drop("low"), "first-texts")
     copies = hashes.join(firsts, "digest").where("id > top").groupBy("chunk").agg(F.collect_list("doc").alias("copies"))
@@ -411,11 +406,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = beside(chunks, answers)
 
     strings = asked.mapInArrow(_strings(buckets, BUCKETS * buckets, hot), "bucket int, chunk long, starts array<long>, sizes array<long>, owners array<long>, strings binary, span_starts array<long>, span_ends array<long>")
-    spans = strings.groupBy("bucket").applyInArrow(_repeats(BUCKETS * buckets), "chunk long, span_starts array<long>, span_ends array<long>")
+    spans = strings.groupBy("bucket").applyInArrow(_repeats(), "chunk long, span_starts array<long>, span_ends array<long>")
     spans = staged(spans.where("size(span_starts) > 0").groupBy("chunk").agg(F.collect_list(F.struct("span_starts", "span_ends")).alias("spans")), "spans")
     found = beside(chunks, spans)
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<long>, kept binary" if keep_text else "")
-    return found.mapInArrow(_documents(keep_text), schema).withColumnRenamed("id", id_col)
+    return found.mapInArrow(_documents(keep_text), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

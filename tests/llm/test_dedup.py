@@ -105,21 +105,43 @@ def substring_result(df):
     return {i: sorted(x) for i, x in out.items()}
 
 
+def some_strings(rng, width):
+    texts = [bytes(rng.integers(97, 97 + int(rng.integers(1, 4)), int(rng.integers(1, 20 + width))).astype(np.uint8)) for _ in range(int(rng.integers(1, 12)))]
+    texts += [t[int(rng.integers(0, len(t))) :] for t in texts[::2]]
+    ids = rng.integers(0, 6, len(texts))
+    first = {}
+    for t, i in zip(texts, ids):
+        for p in range(len(t) - width + 1):
+            first[t[p : p + width]] = min(first.get(t[p : p + width], 99), i)
+    want = [p + width <= len(t) and bool(first[t[p : p + width]] < i) for t, i in zip(texts, ids) for p in range(len(t))]
+    return (np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), ids, width), want
+
+
 @pytest.mark.parametrize("shard", [1 << 20, 40, 7])
 def test_bwt_merge_against_brute_force(monkeypatch, shard):
     monkeypatch.setattr(bwt_merge, "SHARD_SYMBOLS", shard)
     rng = np.random.default_rng(shard)
-    for _ in range(60):
-        width = int(rng.choice([2, 4, 6]))
-        texts = [bytes(rng.integers(97, 97 + int(rng.integers(1, 4)), int(rng.integers(1, 20))).astype(np.uint8)) for _ in range(int(rng.integers(1, 12)))]
-        ids = rng.integers(0, 6, len(texts))
-        first = {}
-        for t, i in zip(texts, ids):
-            for p in range(len(t) - width + 1):
-                first[t[p : p + width]] = min(first.get(t[p : p + width], 99), i)
-        want = [p + width <= len(t) and bool(first[t[p : p + width]] < i) for t, i in zip(texts, ids) for p in range(len(t))]
-        got = bwt_merge.later_windows(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), ids, width)
-        assert got.tolist() == want
+    for _ in range(120):
+        strings, want = some_strings(rng, int(rng.choice([2, 6, 8, 10, 26, 50])))
+        assert bwt_merge.later_windows(*strings).tolist() == want
+
+
+@pytest.mark.parametrize("width", [6, 16])
+def test_bwt_merge_needs_the_shards_order(monkeypatch, width):
+    """The places of the merge follow from the order of each shard: with scrambled shards they are wrong."""
+    monkeypatch.setattr(bwt_merge, "SHARD_SYMBOLS", 200)
+    rng = np.random.default_rng(4)
+    cases = [some_strings(rng, width) for _ in range(20)]
+    assert all(bwt_merge.later_windows(*strings).tolist() == want for strings, want in cases)
+    real = bwt_merge.string_order
+    monkeypatch.setattr(bwt_merge, "string_order", lambda *a: np.random.default_rng(1).permutation(real(*a)))
+    assert sum(bwt_merge.later_windows(*strings).tolist() != want for strings, want in cases) > 4
+
+
+def test_scratch_tables_are_dropped(spark, small):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert substring_dedup.query(spark, small).count() > 0
+    assert {t.name for t in spark.catalog.listTables()} == before
 
 
 def test_substring_dedup_small_table(spark, small):
