@@ -4,7 +4,7 @@ Every ``WIDTH``-byte window that also starts in a document of smaller id is
 found, and the bytes such windows cover are removed. The work is dealt by
 content, so that no task sees the whole corpus:
 
-1. Documents are written in chunks of a few MB, ordered by id inside each, as
+1. Documents are written in chunks of about 2 MB, ordered by id inside each, as
    a table bucketed by chunk, so that the texts move once.
    Whole texts that an earlier document has are set aside: all their windows
    are later ones, and none of them is a window's only source.
@@ -51,6 +51,8 @@ WIDTH, ANCHOR = 50, 12
 REACH = WIDTH - ANCHOR + 1  # windows around one anchor
 SIDE = (WIDTH - ANCHOR) // 2  # bytes beside the anchor that a window has on one side at least
 LAST = np.iinfo(np.int64).max
+#: Text in a chunk; a longer document is a chunk of its own.
+CHUNK_BYTES = 2 << 20
 #: Windows hashed together.
 SEGMENT = 1 << 16
 #: Buckets of strings for each shuffle partition: a bucket is merged by one task call.
@@ -142,7 +144,7 @@ def runs(body: np.ndarray, ends: np.ndarray, skip: np.ndarray) -> tuple[np.ndarr
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, n = TaskContext.get().partitionId(), 0
-    for batch in words.batches(batches, "text"):
+    for batch in words.batches(batches, "text", CHUNK_BYTES):
         by = pc.sort_indices(batch.column("id"), null_placement="at_end")
         at, body = words.raw(words.text_array(batch.column("text").take(by)))
         ids = batch.column("id").take(by)
