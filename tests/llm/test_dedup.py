@@ -63,22 +63,34 @@ def test_exact_dedup_messy(messy, no_docs):
 
 
 def test_line_dedup_messy(messy, no_docs):
-    out = {(r.doc_id, r.kept_text): r for r in line_dedup.line_dedup(messy).collect()}
-    passage = next(r for r in out.values() if r.doc_id == 8)
-    assert passage.n_removed == 0
-    nine = [r for r in out.values() if r.doc_id == 9]
-    assert all(r.kept_text == "something else" and r.first_ids == "8" and r.removed_spans.startswith("15-") for r in nine)
-    assert next(r for r in out.values() if r.doc_id is None and r.n_lines == 2).n_removed == 1
-    assert line_dedup.line_dedup(messy).count() == 15 and line_dedup.line_dedup(no_docs).count() == 0
+    out = line_dedup.line_dedup(messy).collect()
+    passage = next(r for r in out if r.doc_id == 8)
+    assert passage.n_removed == 0 and not passage.units
+    nine = sorted((r for r in out if r.doc_id == 9), key=lambda r: r.kept_text)
+    # Both lose the passage, and the later row of the id the short line too.
+    assert [r.kept_text for r in nine] == ["", "something else"] and nine[1].removed_spans.startswith("15-")
+    assert {u.first_id for r in nine for u in r.units} == {8, 9}
+    assert next(r for r in out if r.doc_id is None and r.n_lines == 2).kept_text == "no id here"
+    assert len(out) == 15 and line_dedup.line_dedup(no_docs).count() == 0
 
 
 def test_line_dedup_judges_each_row_of_an_id_by_itself(spark):
     copy, mine, other = (" ".join(f"{w}{n}" for n in range(25)) for w in ("copy", "mine", "other"))
     docs = [(1, f"head\n{copy}"), (None, f"a\n{copy}"), (None, f"b\n{mine}"), (7, f"c\n{copy}"), (7, f"d\n{other}"), (8, other), (8, f"e\n{other}"), (9, copy), (9, copy)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
-    got = sorted((str(r.doc_id), r.kept_text, r.first_ids) for r in line_dedup.line_dedup(df).collect())
-    want = [(1, f"head\n{copy}", ""), (None, "a", "1"), (None, f"b\n{mine}", ""), (7, "c", "1"), (7, f"d\n{other}", ""), (8, "", "7"), (8, "e", "7"), (9, "", "1"), (9, "", "1")]
-    assert got == sorted((str(i), t, f) for i, t, f in want)
+    got = sorted((str(r.doc_id), r.kept_text, str(sorted({u.first_id for u in r.units or []}))) for r in line_dedup.line_dedup(df).collect())
+    want = [(1, f"head\n{copy}", []), (None, "a", [1]), (None, f"b\n{mine}", []), (7, "c", [1]), (7, f"d\n{other}", []), (8, "", [7]), (8, "e", [7]), (9, "", [1]), (9, "", [1])]
+    assert got == sorted((str(i), t, str(f)) for i, t, f in want)
+
+
+def test_line_dedup_finds_passages_inside_lines_and_short_lines(spark):
+    passage = " ".join(f"Sentence {n} of the passage goes on for some words." for n in range(9))
+    docs = [(1, f"Own start. {passage} Own end.\nShort line"), (2, f"Other words come first, {passage} and others follow.\nshort  LINE\nlast"), (3, "la la. " * 40)]
+    out = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert out[1].n_removed == out[3].n_removed == 0  # what a document repeats inside its own lines stays
+    assert out[2].kept_text.split("\n") == ["Other words come first, Sentence 0 of the passage goes on for some words. and others follow.", "last"]
+    spans = [tuple(map(int, x.split("-"))) for x in out[2].removed_spans.split(",")]
+    assert docs[1][1][spans[0][0] : spans[0][1]].startswith("Sentence 1 of") and sum(b - a for a, b in spans) == out[2].removed_chars
 
 
 def brute_windows(docs, width):
