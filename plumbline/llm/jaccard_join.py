@@ -2,22 +2,26 @@
 
 A document is its set of distinct word shingles, as 64-bit hashes. Equal sets
 are one class with one representative. Tokens have one global order, rare
-ones first (frequencies from a fixed-size count sketch over all shingles), and
-a set's leading ``n - ceil(t n) + DEPTH`` tokens are its prefix: two sets that
-reach the threshold share at least ``DEPTH`` prefix tokens.
-
-Groups are partitions of similar documents: at first every representative is
-alone; star rounds link members of a token's column to its smallest member,
-verify the link, and merge groups along connected components. The matrix then
-holds, for each token, the groups whose prefix-token union contains it. A
-document's overlap with a group's union bounds its overlap with every member,
-so only groups that share ``DEPTH`` tokens or more with it are opened, in
-blocks of members, and only
-groups other than its own need to be: columns within one group make no pair.
-The union holds only a member's leading tokens that a document no smaller must
-meet. Pairs from opened groups pass an exact bound on bucketed token counts and are
-then verified on their whole sets. No pair at the threshold is lost, and none
-is made between members of one group.
+ones first, and a set's leading ``n - ceil(t n) + 1`` tokens are its prefix:
+two sets that reach the threshold have a token in common that is in both
+prefixes, and behind it (it included) enough tokens of either for the overlap
+they need. The order comes from two looks at the corpus: a fixed-size count
+sketch over all shingles, which hides what is below its noise, and then exact
+counts of the tokens in prefixes; those in many prefixes are marked in a
+bitmap of fixed size, go to the end of the order, and the sets that had them
+in their prefix get a new one.
+
+Groups are partitions of similar documents: the members of a token's column
+are linked to the one with the most tokens behind it, each link is verified,
+and connected components are the groups. The matrix then holds, for each token
+and group, the union's bound: the most that any member can have in common from
+this token on. A document's overlap with a group is bounded by that of a token
+they share, so only groups that leave room for the threshold are opened, in
+blocks of members, and only groups other than its own need to be. Pairs from
+opened groups pass an exact bound on bucketed token counts and are then
+verified on their whole sets. No pair at the threshold is lost, whatever the
+threshold and shingle length, but those inside one group, which make no
+difference to it.
 
 Defined cases: a null or empty text has an empty set, is linked with nothing
 and is its own component; equal sets are linked; rows that repeat an id count
@@ -28,7 +32,7 @@ null; an empty table gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,14 +43,16 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import words
 from plumbline.llm.components import components
-from plumbline.llm.shared import staged, table
+from plumbline.llm.shared import settled, staged, table
 
 #: Buckets of the frequency sketch, its slices on the way to the driver, buckets of the overlap bound.
 SKETCH, SLICES, BOUND = 1 << 20, 64, 64
 #: Members of a group that are stored, and opened, together.
 BLOCK = 64
-DEPTH = 3
-STAR_ROUNDS = 2
+#: Bits of the bitmap of tokens that are in many prefixes; prefixes that are many; tokens that may be marked (those in the most prefixes).
+MARKS, MANY, MARKED = 1 << 24, 8, 1 << 20
+#: Levels of marked tokens come after all others.
+LATE = 32
 #: Ids that may be broadcast to pick documents; beyond it they are joined.
 BROADCAST_IDS = 1 << 20
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -116,19 +122,23 @@ def commonness(texts: DataFrame, k: int) -> np.ndarray:
     return np.floor(np.log2(np.maximum(counts - mean - 4 * np.sqrt(mean), 1))).astype(np.uint8)
 
 
-def _sets(shared, k: int, percent: int):
+def _sets(shared, marks, k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value.astype(np.uint64)
+        marked = np.unpackbits(np.frombuffer(zlib.decompress(marks.value), np.uint8)).astype(bool) if marks else None
         for batch in words.batches(batches, "text"):
             hashes, at = shingles(words.text_array(batch.column("text")), k)
             # Level first, then the hash: the global order of tokens.
-            keys = level[(hashes >> np.uint64(64 - 20)).astype(np.int64)] << np.uint64(57) | hashes >> np.uint64(7)
+            place = level[(hashes >> np.uint64(64 - 20)).astype(np.int64)]
+            if marked is not None:
+                place += np.where(marked[(hashes >> np.uint64(7) & np.uint64(MARKS - 1)).astype(np.int64)], np.uint64(LATE), np.uint64(0))
+            keys = place << np.uint64(57) | hashes >> np.uint64(7)
             rows = []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 own, first = np.unique(keys[a:b], return_index=True)
                 n = len(own)
                 whole = _mixed(hashes[a:b][first] ^ ODD[0])
-                prefix = own[: n - -(-percent * n // 100) + DEPTH] if n else own
+                prefix = own[: n - -(-percent * n // 100) + 1] if n else own
                 bound = np.minimum(np.bincount((own & np.uint64(BOUND - 1)).astype(np.int64), minlength=BOUND), 65535)
                 rows.append((n, int(whole.sum().view(np.int64)), int(_mixed(whole).sum().view(np.int64)), prefix.astype(np.int64).tolist(), bound.astype("<u2").tobytes()))
             n, s1, s2, prefix, bound = zip(*rows)
@@ -137,6 +147,21 @@ def _sets(shared, k: int, percent: int):
     return run
 
 
+def _late(marks):
+    """Ids of sets with a marked token in their prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.unpackbits(np.frombuffer(zlib.decompress(marks.value), np.uint8)).astype(bool)
+        for batch in batches:
+            prefix = batch.column("prefix")
+            size = np.asarray(pc.list_value_length(prefix)).astype(np.int64)
+            hit = marked[np.asarray(prefix.flatten()) & (MARKS - 1)]
+            found = np.bincount(np.repeat(np.arange(batch.num_rows), size), hit, batch.num_rows) > 0
+            yield batch.filter(pa.array(found)).select(["rep"])
+
+    return run
+
+
 def _whole_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.batches(batches, "text"):
@@ -206,57 +231,77 @@ class Join:
         self.spark, self.k, self.percent = docs.sparkSession, k, percent
         self.texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
         self.kind = self.texts.schema["id"].dataType.simpleString()
-        level = self.spark.sparkContext.broadcast(commonness(self.texts, k))
-        schema = f"id {self.kind}, n long, s1 long, s2 long, prefix array<long>, bound binary"
-        self.sets = staged(self.texts.mapInArrow(_sets(level, k, percent), schema), "sets")
+        self.level = self.spark.sparkContext.broadcast(commonness(self.texts, k))
+        self.sets = staged(self.texts.mapInArrow(_sets(self.level, None, k, percent), self.schema("prefix", "bound")), "sets")
         same = self.sets.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2")
         self.classes = staged(same.agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bound").alias("bound")), "classes")
         # With a smaller set no other set is near enough: s / (s + 1) is below the threshold.
         self.reps = self.classes.where(100 * F.col("n") >= percent * (F.col("n") + 1))
-        self.tokens = self.reps.select("rep", "n", F.posexplode("prefix").alias("at", "token"))
-
-    def near(self, a: str, b: str):
-        return (100 * F.least(a, b) >= self.percent * F.greatest(a, b))
-
-    def star_pairs(self, groups: DataFrame | None) -> DataFrame:
-        """For each token, one member of each group with it against the first group's."""
-        rows = self.grouped(groups)
-        member = F.struct("group", "rep", "n")
-        column = rows.groupBy("token", "group").agg(F.min(member).alias("x")) if groups is not None else rows.select("token", "group", member.alias("x"))
-        column = staged(column, "columns") if groups is not None else column
-        first = staged(column.groupBy("token").agg(F.min("x").alias("first"), F.max("group").alias("last")).where("last <> first.group").drop("last"), "firsts")
-        pairs = column.join(first, "token").where("x.group <> first.group").select(F.col("first.rep").alias("a"), F.col("first.n").alias("n_a"), F.col("x.rep").alias("b"), F.col("x.n").alias("n_b"))
-        pairs = pairs.where(self.near("n_a", "n_b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
-        return pairs.where(F.col("shared") >= (DEPTH if groups is None else 1)).select("a", "b")
-
-    def grouped(self, groups: DataFrame | None) -> DataFrame:
-        if groups is None:
-            return self.tokens.withColumn("group", F.col("rep"))
-        found = self.reps.join(groups, self.reps.rep == groups.vertex, "left")
-        return found.select("rep", "n", F.coalesce("component", "rep").alias("group"), F.posexplode("prefix").alias("at", "token"))
-
-    def leading(self):
-        """Whether a token stands early enough in its set to meet a partner that is no smaller.
-
-        Such a pair has 2t / (1 + t) of the smaller set in common, so fewer of
-        the smaller set's tokens can all be missing from the larger.
-        """
-        return F.col("at") < F.col("n") - F.ceil(2 * self.percent * F.col("n") / (100 + self.percent) - F.lit(1e-9)) + DEPTH
+        self.reps = self.rare_first()
+        self.columns = settled(self.spark, "columns", self.shared_tokens)
+
+    def schema(self, *more: str) -> str:
+        kinds = {"prefix": "array<long>", "bound": "binary"}
+        return f"id {self.kind}, n long, s1 long, s2 long" + "".join(f", {c} {kinds[c]}" for c in more)
+
+    def tokens(self) -> DataFrame:
+        return self.reps.select("rep", "n", F.posexplode("prefix").alias("at", "token"))
+
+    def rare_first(self) -> DataFrame:
+        """``reps`` with prefixes in which tokens of many prefixes come last."""
+        found = staged(self.tokens().groupBy("token").agg(F.count("*").alias("prefixes")).where(F.col("prefixes") >= MANY), "frequent")
+        # One row a power of two.
+        sizes = {r.power: r.n for r in found.groupBy(F.floor(F.log2("prefixes")).cast("int").alias("power")).agg(F.count("*").alias("n")).collect()}
+        least = next((p for p in sorted(sizes) if sum(n for q, n in sizes.items() if q >= p) <= MARKED), None)
+        if least is None:
+            return self.reps
+        marks = np.zeros(MARKS, bool)
+        # At most MARKED numbers.
+        chosen = found.where(F.col("prefixes") >= 2**least).select(F.col("token").bitwiseAND(F.lit(MARKS - 1)).cast("int").alias("mark")).distinct()
+        marks[np.asarray(chosen.toArrow().column("mark"))] = True
+        shared = self.spark.sparkContext.broadcast(zlib.compress(np.packbits(marks).tobytes(), 1))
+        late = self.reps.select("rep", "prefix").mapInArrow(_late(shared), f"rep {self.kind}")
+        texts = self.of_ids(staged(late.select(F.col("rep").alias("id")), "late"))
+        new = texts.mapInArrow(_sets(self.level, shared, self.k, self.percent), self.schema("prefix", "bound"))
+        new = new.where("id IS NOT NULL").select(F.col("id").alias("rep"), "n", "s1", "s2", F.col("prefix").alias("better")).dropDuplicates(["rep", "n", "s1", "s2"])
+        joined = self.reps.join(new, ["rep", "n", "s1", "s2"], "left")
+        return staged(joined.select("rep", "n", "s1", "s2", F.coalesce("better", "prefix").alias("prefix"), "bound"), "reps")
+
+    def of_ids(self, ids: DataFrame) -> DataFrame:
+        """The texts of a written table of ids."""
+        return self.texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+    def shared_tokens(self) -> DataFrame:
+        """The rows of tokens that several prefixes hold."""
+        tokens = self.tokens()
+        several = staged(tokens.groupBy("token").agg(F.count("*").alias("prefixes")).where("prefixes > 1").select("token"), "several")
+        return tokens.join(several, "token")
+
+    def behind(self, n: str, at: str, other: str):
+        """Whether a set's tokens from a shared one on are enough for the overlap that it needs with a set of ``other`` tokens."""
+        return 100 * F.col(n) - (100 + self.percent) * F.col(at) >= self.percent * F.col(other)
+
+    def star_pairs(self) -> DataFrame:
+        """For each token, its members against the one that has the most behind it."""
+        lead = F.struct((F.col("at") * 100 / F.col("n")).alias("share"), "at", "n", "rep")
+        first = staged(self.columns.groupBy("token").agg(F.min(lead).alias("first")), "firsts").select("token", F.col("first.rep").alias("a"), F.col("first.n").alias("n_a"), F.col("first.at").alias("at_a"))
+        pairs = self.columns.select("token", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b")).join(first, "token")
+        return pairs.where((F.col("a") != F.col("b")) & self.behind("n_a", "at_a", "n_b") & self.behind("n_b", "at_b", "n_a")).select("a", "b").distinct()
 
     def open_pairs(self, groups: DataFrame) -> DataFrame:
-        """Pairs of documents with groups whose token union they share DEPTH tokens with, opened."""
-        rows = self.grouped(groups)
-        mixed = rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
-        rows = staged(rows.join(staged(mixed, "mixed-columns"), "token"), "matrix-rows")
-        inside = rows.where(self.leading()).select("token", "group", F.col("rep").alias("b"), F.col("n").alias("n_b"))
-        matrix = staged(inside.groupBy("token", "group").agg(F.min("n_b").alias("least"), F.max("n_b").alias("most")), "matrix")
-        query = rows.select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("group").alias("from"))
+        """Pairs of documents with members, no larger, of the groups that a shared token leaves room for."""
+        rows = self.columns.join(groups, self.columns.rep == groups.vertex, "left").select("token", "rep", "n", "at", F.coalesce("component", "rep").alias("group"))
+        rows = staged(rows, "matrix-rows")
+        inside = rows.where(self.behind("n", "at", "n"))
+        reach = F.max(100 * F.col("n") - (100 + self.percent) * F.col("at")).alias("reach")
+        matrix = staged(inside.groupBy("token", "group").agg(F.min("n").alias("least"), reach), "matrix")
+        asked = rows.select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("group").alias("from"))
         # A link is found from its larger set's side.
-        bound = query.join(matrix, "token").where((F.col("from") != F.col("group")) & (100 * F.col("most") >= self.percent * F.col("n_a")) & (F.col("least") <= F.col("n_a")))
-        opened = staged(bound.groupBy("a", "n_a", "group").agg(F.count("*").alias("shared")).where(F.col("shared") >= DEPTH).drop("shared"), "opened")
-        asked = opened.join(self.reps.select(F.col("rep").alias("a"), F.col("bound").alias("bound_a")), "a")
+        room = (F.col("from") != F.col("group")) & (F.col("reach") >= self.percent * F.col("n_a")) & (F.col("least") <= F.col("n_a")) & self.behind("n_a", "at_a", "least")
+        opened = staged(asked.join(matrix, "token").where(room).select("a", "n_a", "group").distinct(), "opened")
+        asking = opened.join(self.reps.select(F.col("rep").alias("a"), F.col("bound").alias("bound_a")), "a")
         near = (100 * F.col("most") >= self.percent * F.col("n_a")) & (F.col("least") <= F.col("n_a"))
-        found = asked.join(self.blocks(groups, opened), "group").where(near).select("a", "n_a", "bound_a", "members")
+        found = asking.join(self.blocks(groups, opened), "group").where(near).select("a", "n_a", "bound_a", "members")
         return found.mapInArrow(_opened(self.percent), f"a {self.kind}, b {self.kind}").distinct()
 
     def blocks(self, groups: DataFrame, opened: DataFrame) -> DataFrame:
@@ -275,36 +320,38 @@ class Join:
         both = staged(pairs, "pairs").join(side("a"), "a").join(side("b"), "b")
         return both.mapInArrow(_bounded(self.percent), f"a {self.kind}, b {self.kind}")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def links(self, pairs: Callable[[], DataFrame]) -> DataFrame:
         """The pairs that reach the threshold on their whole sets."""
-        near = staged(pairs, "near-pairs")
-        ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        ids = staged(ids, "near-ids")
-        small = ids.count() <= BROADCAST_IDS
-        texts = self.texts.join(F.broadcast(ids) if small else ids, "id", "left_semi")
-        sets = staged(texts.mapInArrow(_whole_sets(self.k), f"id {self.kind}, hashes binary"), "whole-sets")
-        both = near.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b")), "b")
-        return staged(both.mapInArrow(_verified(self.percent), f"a {self.kind}, b {self.kind}"), "links")
+        near = settled(self.spark, "near-pairs", pairs)
+
+        def verified() -> DataFrame:
+            ids = staged(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "near-ids")
+            sets = staged(self.of_ids(ids).mapInArrow(_whole_sets(self.k), f"id {self.kind}, hashes binary"), "whole-sets")
+            both = near.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b")), "b")
+            return both.mapInArrow(_verified(self.percent), f"a {self.kind}, b {self.kind}")
+
+        return settled(self.spark, "links", verified)
 
     def groups(self) -> DataFrame:
         """(vertex, component) of all representatives with a link."""
-        links, groups = None, None
-        for _ in range(STAR_ROUNDS):
-            new = self.links(self.bounded(self.star_pairs(groups)))
-            links = new if links is None else staged(links.union(new), "all-links")
-            groups = components(links)
-        return components(links.union(self.links(self.open_pairs(groups))))
+        links = self.links(lambda: self.bounded(self.star_pairs()))
+        groups = settled(self.spark, "groups", lambda: components(links))
+        more = self.links(lambda: self.open_pairs(groups))
+        return settled(self.spark, "groups", lambda: components(groups.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(more)))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links of at least ``percent`` %)."""
-    join = Join(docs, id_col, text_col, k, percent)
-    groups = join.groups()
-    classes = join.classes.select("n", "s1", "s2", "rep").join(groups, F.col("rep") == groups.vertex, "left")
-    classes = staged(classes.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id")), "class-components")
-    out = join.sets.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    def build() -> DataFrame:
+        join = Join(docs, id_col, text_col, k, percent)
+        groups = join.groups()
+        classes = join.classes.select("n", "s1", "s2", "rep").join(groups, F.col("rep") == groups.vertex, "left")
+        classes = staged(classes.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id")), "class-components")
+        out = join.sets.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
+        own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+        return out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+    return settled(docs.sparkSession, "jaccard", build).withColumnRenamed("id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

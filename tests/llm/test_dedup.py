@@ -254,6 +254,17 @@ def test_jaccard_near_copies_around_the_threshold(spark):
     assert jaccard_result(jaccard_join.jaccard_components(df, k=3, percent=90)) == brute_jaccard(docs, 3, 90)
 
 
+@pytest.mark.parametrize(("k", "percent"), [(1, 50), (1, 60), (2, 60), (1, 70), (3, 70)])
+def test_jaccard_at_low_thresholds_with_hot_tokens(spark, k, percent, monkeypatch):
+    """Small sets that share few tokens, a token in every third document, prefixes that get a new order."""
+    monkeypatch.setattr(jaccard_join, "MANY", 4)
+    rng = np.random.default_rng(percent + k)
+    docs = [(1, "a b q r"), (2, "a b"), (3, "a b c")]
+    docs += [(10 + n, " ".join(["hot"] * (n % 3 == 0) + [f"w{int(x)}" for x in rng.zipf(1.4, int(rng.integers(1, 12))) % 60])) for n in range(220)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert jaccard_result(jaccard_join.jaccard_components(df, k=k, percent=percent)) == brute_jaccard(docs, k, percent)
+
+
 def test_jaccard_messy(messy, no_docs):
     out = jaccard_join.jaccard_components(messy, k=3, percent=90).collect()
     assert len(out) == 15
