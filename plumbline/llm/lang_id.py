@@ -7,16 +7,19 @@ piece probabilities are fitted by expectation-maximisation on the language's
 word counts, gathered from all training rows. Pieces do not cross words, so a
 text's score is a sum over its words, and each distinct word is worked once.
 
-Model size is bounded by parameters: ``TRAIN_WORDS`` most frequent words of a
-language and the fixed vocabulary; the word counts themselves cover all
-training rows. Defined cases: a null text or one without a letter gets ``und``
+Each pass of the expectation runs where the word counts are, over all words;
+only the sums by language and piece come to the driver, whose size is that of
+the model: the fixed vocabulary times the languages. Defined cases: a null text or one without a letter gets ``und``
 and score 0; rows without a language do not train; repeated rows count as often
 as they occur; an empty training set gives ``und`` for every text; ties go to
-the alphabetically first language; other columns are not looked at.
+the alphabetically first language; more than ``MOST_LANGS`` different labels
+are refused with an error, as they are no language column; other columns are
+not looked at.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,12 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import words
-from plumbline.llm.shared import table
+from plumbline.llm.shared import staged, table
 
 UNKNOWN = "und"
-TRAIN_WORDS, TRAIN_LANGS, PASSES = 8_000, 200, 3
-LONGEST_PIECE = 16
-SALTS = 32
+MOST_LANGS, PASSES = 1_000, 3
 #: Weight of the uniform distribution mixed into each language's pieces, and of a character no piece covers.
 SMOOTH, FOREIGN = 0.02, 1e-7
 #: Text whose distinct words are scored together.
@@ -53,15 +54,15 @@ def vocabulary(path: str) -> dict[str, int]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(k).lower() for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)))
-    return {p: n for n, p in enumerate(dict.fromkeys(p for p in pieces if len(p) <= LONGEST_PIECE))}
+    return {p: n for n, p in enumerate(dict.fromkeys(pieces))}
 
 
-def arcs(word: str, pieces: dict[str, int]) -> list[list[tuple[int, int]]]:
+def arcs(word: str, pieces: dict[str, int], longest: int) -> list[list[tuple[int, int]]]:
     """For each end 1 .. n in the marked word: (start, piece), piece -1 for a character alone that is no piece."""
     word = "▁" + word
     out = []
     for end in range(1, len(word) + 1):
-        found = [(start, n) for start in range(max(0, end - LONGEST_PIECE), end) if (n := pieces.get(word[start:end])) is not None]
+        found = [(start, n) for start in range(max(0, end - longest), end) if (n := pieces.get(word[start:end])) is not None]
         if not found or found[-1][0] != end - 1:
             found.append((end - 1, -1))
         out.append(found)
@@ -75,18 +76,14 @@ SLICE = 20_000
 HASH = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-@dataclass
-class Model:
-    langs: list[str]
-    pieces: dict[str, int]
-    #: One row a language: a probability for every piece, then that of a foreign character.
-    probability: np.ndarray
+class Pieces:
+    """The vocabulary, with the pieces of each length by hash."""
 
-    def __post_init__(self):
-        self.by_piece = np.ascontiguousarray(self.probability.T)
+    def __init__(self, numbers: dict[str, int]):
+        self.numbers, self.longest = numbers, max(map(len, numbers), default=1)
         self.of_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         spelt: dict[int, list[str]] = {}
-        for piece in self.pieces:
+        for piece in numbers:
             spelt.setdefault(len(piece), []).append(piece)
         for size, found in spelt.items():
             codes = np.frombuffer("".join(found).encode("utf-32-le"), np.uint32).reshape(-1, size)
@@ -94,102 +91,161 @@ class Model:
             for k in range(size):
                 h = h * HASH + codes[:, k] + np.uint64(1)
             by = np.argsort(h)
-            self.of_length[size] = h[by], np.array([self.pieces[x] for x in found])[by]
+            self.of_length[size] = h[by], np.array([numbers[x] for x in found])[by]
+
+
+class Lattice:
+    """All ways to cut many words into pieces: arcs from place to place, a piece each; the sums over them advance for all words together."""
+
+    def __init__(self, found: list[str], pieces: Pieces):
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
+        codes = np.frombuffer("".join("▁" + w for w in found).encode("utf-32-le"), np.uint32)
+        begins = np.cumsum(sizes) - sizes
+        of = np.repeat(np.arange(len(found)), sizes)
+        inside = np.arange(len(codes)) - begins[of]
+        room = sizes[of] - inside
+        at, lengths, numbers, h = [], [], [], np.zeros(len(codes), np.uint64)
+        live = np.arange(len(codes))
+        for size in range(1, pieces.longest + 1):
+            live = live[room[live] >= size]
+            h = h[: len(codes) - size + 1] * HASH + codes[size - 1 :] + np.uint64(1)
+            keys, own = pieces.of_length.get(size, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            place = np.searchsorted(keys, h[live])
+            hit = np.zeros(len(live), bool) if not len(keys) else keys[np.minimum(place, len(keys) - 1)] == h[live]
+            good, number = live[hit], own[place[hit]]
+            if size == 1:  # a character that is no piece stands alone
+                good, number = np.concatenate([good, live[~hit]]), np.concatenate([number, np.full(int((~hit).sum()), -1)])
+            at.append(good), lengths.append(np.full(len(good), size)), numbers.append(number)
+        at, lengths, self.piece = (np.concatenate(x) for x in (at, lengths, numbers))
+        # A place before each character and one after each word.
+        self.places = len(codes) + len(found)
+        self.first = begins + np.arange(len(found))
+        self.last = self.first + sizes
+        self.word = of[at]
+        self.source = at + self.word
+        self.target = self.source + lengths
+        self.ahead = self._steps(inside[at] + lengths, self.target)
+        self.back = self._steps(-inside[at], self.source)
+
+    def _steps(self, step: np.ndarray, goal: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Arcs in order of ``step``, those of one goal side by side: (arcs, where each goal's begin among them, goals) of each step."""
+        by = np.argsort((step - step.min()) * self.places + goal) if len(step) else np.zeros(0, np.int64)
+        step, goal = step[by], goal[by]
+        cuts = np.flatnonzero(np.diff(step, prepend=step[:1] - 1, append=step[-1:] + 1)) if len(step) else np.zeros(1, np.int64)
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            heads = np.flatnonzero(np.diff(goal[a:b], prepend=-1))
+            out.append((by[a:b], heads, goal[a:b][heads]))
+        return out
+
+    def sums(self, weight: np.ndarray, backward: bool = False) -> np.ndarray:
+        """For each place the sum, over all paths from the word's beginning (or to its end), of the products of the arcs' weights."""
+        out = np.zeros((self.places, *weight.shape[1:]))
+        out[self.last if backward else self.first] = 1.0
+        other = self.target if backward else self.source
+        for arc, heads, goal in self.back if backward else self.ahead:
+            out[goal] = np.add.reduceat(out[other[arc]] * weight[arc], heads, axis=0)
+        return out
+
+
+@dataclass
+class Model:
+    langs: list[str]
+    pieces: dict[str, int]
+    #: One row a language: a probability for every piece, then that of a foreign character.
+    probability: np.ndarray
+
+    def __post_init__(self):
+        self.by_piece = np.ascontiguousarray(self.probability.T)
+        self.index = Pieces(self.pieces)
 
     def word(self, word: str) -> np.ndarray:
         """Log probability of a lower-case word in each language."""
+        longest = self.index.longest
         total, recent = 0.0, [np.ones(len(self.langs))]  # the forward sums that a piece can still start from
-        for end, arc in enumerate(arcs(word, self.pieces), 1):
+        for end, arc in enumerate(arcs(word, self.pieces, longest), 1):
             value = sum(recent[start - end] * self.by_piece[piece] for start, piece in arc)
-            recent = [*recent[1 - LONGEST_PIECE :], value]
+            recent = [*recent[-longest:], value]
             if (top := value.max()) < 1e-100:  # a long word: rescale
                 recent, total = [f / top for f in recent], total + math.log(top)
         return np.log(np.maximum(recent[-1], 1e-300)) + total
 
     def words(self, found: list[str]) -> np.ndarray:
-        """``word`` of many words, one row each: the forward sums of all words advance together, end by end."""
+        """``word`` of many words, one row each."""
         out = np.zeros((len(found), len(self.langs)))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
-        for k in np.flatnonzero(sizes > TOGETHER + 1):
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        for k in np.flatnonzero(sizes > TOGETHER):
             out[k] = self.word(found[k])
-        short = np.flatnonzero(sizes <= TOGETHER + 1)
+        short = np.flatnonzero(sizes <= TOGETHER)
         for start in range(0, len(short), SLICE):
             part = short[start : start + SLICE]
-            out[part] = self._together([found[k] for k in part], sizes[part])
+            lattice = Lattice([found[k] for k in part], self.index)
+            out[part] = np.log(np.maximum(lattice.sums(self.by_piece[lattice.piece])[lattice.last], 1e-300))
         return out
 
-    def _together(self, found: list[str], sizes: np.ndarray) -> np.ndarray:
-        codes = np.frombuffer("".join("▁" + w for w in found).encode("utf-32-le"), np.uint32)
-        begins = np.cumsum(sizes) - sizes
-        inside = np.arange(len(codes)) - np.repeat(begins, sizes)
-        room = np.repeat(sizes, sizes) - inside
-        at, lengths, pieces, h = [], [], [], np.zeros(len(codes), np.uint64)
-        live = np.arange(len(codes))
-        for size in range(1, LONGEST_PIECE + 1):
-            live = live[room[live] >= size]
-            h = h[: len(codes) - size + 1] * HASH + codes[size - 1 :] + np.uint64(1)
-            keys, numbers = self.of_length.get(size, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-            place = np.searchsorted(keys, h[live])
-            hit = np.zeros(len(live), bool) if not len(keys) else keys[np.minimum(place, len(keys) - 1)] == h[live]
-            good = live[hit]
-            number = numbers[place[hit]]
-            if size == 1:  # a character that is no piece stands alone
-                good, number = np.concatenate([good, live[~hit]]), np.concatenate([number, np.full(int((~hit).sum()), -1)])
-            at.append(good), lengths.append(np.full(len(good), size)), pieces.append(number)
-        at, lengths, pieces = (np.concatenate(x) for x in (at, lengths, pieces))
-        end = inside[at] + lengths
-        by = np.argsort(end, kind="stable")
-        at, lengths, pieces = at[by], lengths[by], pieces[by]
-        cuts = np.searchsorted(end[by], np.arange(1, int(sizes.max()) + 2))
-        # A place before each character and one after each word.
-        shift = np.repeat(np.arange(len(found)), sizes)
-        source = at + shift[at]
-        target = source + lengths
-        forward = np.zeros((len(codes) + len(found), len(self.langs)))
-        forward[begins + np.arange(len(found))] = 1.0
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            goal, slot = np.unique(target[a:b], return_inverse=True)
-            value = forward[source[a:b]] * self.by_piece[pieces[a:b]]
-            for k in range(len(self.langs)):
-                forward[goal, k] = np.bincount(slot, value[:, k], len(goal))
-        return np.log(np.maximum(forward[begins + np.arange(len(found)) + sizes], 1e-300))
-
 
 def expected(word: str, pieces: dict[str, int], p: np.ndarray) -> tuple[dict[int, float], float]:
-    """Expected number of uses of each piece in a word, by forward and backward sums, and the word's probability."""
-    lattice = arcs(word, pieces)
-    forward = [1.0]
+    """Expected number of uses of each piece in one word of any length, and the word's probability; sums are kept as logarithms."""
+    lattice = arcs(word, pieces, max(map(len, pieces), default=1))
+    forward, backward = [0.0], [-math.inf] * len(lattice) + [0.0]
     for arc in lattice:
-        forward.append(sum(forward[start] * p[piece] for start, piece in arc))
-    backward = [0.0] * len(lattice) + [1.0]
+        ways = [forward[start] + math.log(p[piece]) for start, piece in arc if p[piece] > 0]
+        top = max(ways, default=-math.inf)
+        forward.append(top + math.log(sum(math.exp(x - top) for x in ways)) if top > -math.inf else top)
     for end in range(len(lattice), 0, -1):
         for start, piece in lattice[end - 1]:
-            backward[start] += backward[end] * p[piece]
+            if p[piece] > 0 and backward[end] > -math.inf:
+                x, y = sorted((backward[start], backward[end] + math.log(p[piece])))
+                backward[start] = y + math.log1p(math.exp(x - y)) if x > -math.inf else y
     out: dict[int, float] = {}
-    if (total := forward[-1]) > 0:
+    if (total := forward[-1]) > -math.inf:
         for end, arc in enumerate(lattice, 1):
             for start, piece in arc:
-                if (use := forward[start] * p[piece] * backward[end] / total) > 0:
+                if p[piece] > 0 and (use := math.exp(forward[start] + math.log(p[piece]) + backward[end] - total)) > 0:
                     out[piece] = out.get(piece, 0.0) + use
-    return out, total
+    return out, math.exp(total)
+
+
+def uses(found: list[str], lang: np.ndarray, times: np.ndarray, probability: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """Expected uses of each piece (a foreign character last) in each language, by forward and backward sums over words of one language each."""
+    langs, width = probability.shape
+    out = np.zeros(langs * width)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    for k in np.flatnonzero(sizes > TOGETHER):
+        for piece, value in expected(found[k], pieces.numbers, probability[lang[k]])[0].items():
+            out[lang[k] * width + piece % width] += times[k] * value
+    short = np.flatnonzero(sizes <= TOGETHER)
+    for start in range(0, len(short), SLICE):
+        part = short[start : start + SLICE]
+        lattice = Lattice([found[k] for k in part], pieces)
+        key = lang[part][lattice.word] * width + lattice.piece % width
+        weight = probability.ravel()[key]
+        forward, backward = lattice.sums(weight), lattice.sums(weight, backward=True)
+        share = times[part] / np.maximum(forward[lattice.last], 1e-300)
+        out += np.bincount(key, forward[lattice.source] * weight * backward[lattice.target] * share[lattice.word], len(out))
+    return out.reshape(langs, width)
+
+
+def uniform(langs: int, pieces: int) -> np.ndarray:
+    return np.hstack([np.full((langs, pieces), 1 / max(pieces, 1)), np.full((langs, 1), FOREIGN)])
+
+
+def fitted(use: np.ndarray) -> np.ndarray:
+    """Piece probabilities from expected uses, with some of the uniform distribution mixed in."""
+    langs, n = use.shape[0], use.shape[1] - 1
+    total = use[:, :n].sum(1, keepdims=True)
+    share = np.where(total > 0, use[:, :n] / np.maximum(total, 1e-300), 1 / max(n, 1))
+    return np.hstack([(1 - SMOOTH) * share + SMOOTH / max(n, 1), np.full((langs, 1), FOREIGN)])
 
 
 def fit(counts: dict[str, dict[str, int]], pieces: dict[str, int], passes: int = PASSES) -> Model:
-    """``counts``: language -> word -> count."""
-    langs, n = sorted(counts), len(pieces)
-    probability = np.zeros((len(langs), n + 1))
-    for k, lang in enumerate(langs):
-        p = np.append(np.full(n, 1 / n), FOREIGN).tolist()
-        for _ in range(passes):
-            use = np.zeros(n + 1)
-            for word, times in counts[lang].items():
-                if len(word) <= 40:
-                    for piece, value in expected(word, pieces, p)[0].items():
-                        use[piece] += times * value
-            total = use[:n].sum()
-            fitted = use[:n] / total if total else np.full(n, 1 / n)
-            p = np.append((1 - SMOOTH) * fitted + SMOOTH / n, FOREIGN).tolist()
-        probability[k] = p
+    """``train`` on counts at hand: language -> word -> count."""
+    langs, index = sorted(counts), Pieces(pieces)
+    rows = [(w, k, n) for k, lang in enumerate(langs) for w, n in counts[lang].items()]
+    probability = uniform(len(langs), len(pieces))
+    for _ in range(passes if rows else 0):
+        found, lang, times = zip(*rows)
+        probability = fitted(uses(list(found), np.array(lang), np.array(times, float), probability, index))
     return Model(langs, pieces, probability)
 
 
@@ -215,21 +271,42 @@ def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return slim.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", vocab: str | None = None, top: int = TRAIN_WORDS) -> Model:
-    """Fit on the ``top`` most frequent words of each language (of the ``TRAIN_LANGS`` with most words)."""
-    from pyspark.sql.window import Window
+@functools.lru_cache(maxsize=2)
+def _pieces(path: str) -> Pieces:
+    return Pieces(vocabulary(path))
 
-    counts = word_counts(docs, text_col, lang_col)
-    first = F.row_number().over(Window.partitionBy("lang", "salt").orderBy(F.desc("n"), "word"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    # At most top words of each salt reach the window of the whole language.
-    few = counts.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS))).withColumn("first", first).where(F.col("first") <= top)
-    best = few.withColumn("rank", rank).where(F.col("rank") <= top)
-    found: dict[str, dict[str, int]] = {}
-    # At most top words of each of TRAIN_LANGS languages.
-    for row in best.orderBy("rank", "lang").limit(top * TRAIN_LANGS).collect():
-        found.setdefault(row.lang, {})[row.word] = row.n
-    return fit(found, vocabulary(vocab or vocabulary_path()))
+
+def _uses(shared, path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, probability = shared.value
+        code, total = {x: k for k, x in enumerate(langs)}, np.zeros_like(probability)
+        for batch in batches:
+            lang = np.array([code[x] for x in batch.column("lang").to_pylist()], np.int64)
+            total += uses(batch.column("word").to_pylist(), lang, np.asarray(batch.column("n")).astype(float), probability, _pieces(path))
+        key = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total.ravel()[key])], ["key", "value"])
+
+    return run
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", vocab: str | None = None, passes: int = PASSES) -> Model:
+    """Fit on all words of all rows with a language."""
+    spark, path = docs.sparkSession, vocab or vocabulary_path()
+    counts = staged(word_counts(docs, text_col, lang_col), "word-counts")
+    langs = sorted(r.lang for r in counts.select("lang").distinct().limit(MOST_LANGS + 1).collect())
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} labels in {lang_col}: no language column")
+    pieces = vocabulary(path)
+    probability = uniform(len(langs), len(pieces))
+    for _ in range(passes if langs else 0):
+        shared = spark.sparkContext.broadcast((langs, probability))
+        # At most one number a language and piece.
+        found = counts.mapInArrow(_uses(shared, path), "key long, value double").groupBy("key").agg(F.sum("value").alias("value")).toArrow()
+        use = np.zeros(probability.size)
+        use[np.asarray(found.column("key"))] = np.asarray(found.column("value"))
+        probability = fitted(use.reshape(probability.shape))
+        shared.unpersist()
+    return Model(langs, pieces, probability)
 
 
 def _predict(shared):
@@ -260,7 +337,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", **carry: Colu
     """``carry`` columns, lang_pred and score (the language's share of the likelihood) for each row."""
     slim = docs.select(docs[text_col].cast("string").alias("text"), *[c.alias(name) for name, c in carry.items()])
     schema = T.StructType([f for f in slim.schema if f.name != "text"]).add("lang_pred", "string").add("score", "double")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: vocabulary x TRAIN_LANGS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: vocabulary x MOST_LANGS
     return slim.mapInArrow(_predict(shared), schema)
 
 
