@@ -15,11 +15,13 @@ empty result.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, exact_dedup, jaccard_join, lang_id, packing
-from plumbline.llm.shared import staged, table
+from plumbline.llm.shared import settled, staged, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +77,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages, each written before the next reads it; what a stage leaves goes when it is no longer read."""
+
+    def packed() -> DataFrame:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES[:-1]:
+            docs = settled(spark, name.replace(" ", "-"), functools.partial(stage, spark, docs, sf_dir))
+        return STAGES[-1][1](spark, docs, sf_dir)
+
+    return settled(spark, "pipeline", packed)

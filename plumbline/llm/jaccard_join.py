@@ -312,7 +312,8 @@ class Join:
         of = staged(of.select("*", band), "open-members")
         sizes = staged(of.groupBy("group", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "block-counts")
         salted = of.join(sizes, ["group", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        packed = salted.groupBy("group", "band", "block").agg(F.collect_list(F.struct("rep", "n", "bound")).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
+        # Dealt by block, or a large group would be packed in one task.
+        packed = salted.repartition("group", "band", "block").groupBy("group", "band", "block").agg(F.collect_list(F.struct("rep", "n", "bound")).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
         return staged(packed.drop("band", "block"), "blocks")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
