@@ -29,8 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = lang_id.trained(docs)
     if not model.langs:  # nothing to learn from says nothing about a text
         return docs.where(docs["text"].cast("string").rlike(r"\p{L}"))
-    judged = lang_id.predict(docs, model, row=F.struct(*[docs[c] for c in docs.columns]))
-    return judged.where(F.col("lang_pred") != lang_id.UNKNOWN).select("row.*")
+    return lang_id.known_rows(docs, model)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

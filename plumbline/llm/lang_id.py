@@ -72,7 +72,7 @@ def arcs(word: str, pieces: dict[str, int], longest: int) -> list[list[tuple[int
 #: Words up to this length are summed together; no product of their pieces is too small for a double.
 TOGETHER = 40
 #: Words in one such sum.
-SLICE = 20_000
+SLICE = 8_000
 HASH = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -124,8 +124,7 @@ class Lattice:
         self.word = of[at]
         self.source = at + self.word
         self.target = self.source + lengths
-        self.ahead = self._steps(inside[at] + lengths, self.target)
-        self.back = self._steps(-inside[at], self.source)
+        self.start, self.end = inside[at], inside[at] + lengths
 
     def _steps(self, step: np.ndarray, goal: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Arcs in order of ``step``, those of one goal side by side: (arcs, where each goal's begin among them, goals) of each step."""
@@ -143,7 +142,7 @@ class Lattice:
         out = np.zeros((self.places, *weight.shape[1:]))
         out[self.last if backward else self.first] = 1.0
         other = self.target if backward else self.source
-        for arc, heads, goal in self.back if backward else self.ahead:
+        for arc, heads, goal in self._steps(-self.start, self.source) if backward else self._steps(self.end, self.target):
             out[goal] = np.add.reduceat(out[other[arc]] * weight[arc], heads, axis=0)
         return out
 
@@ -309,23 +308,27 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", vocab
     return Model(langs, pieces, probability)
 
 
+def judged(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each text's language, that of none being the number of languages; its share of the likelihood)."""
+    numbers, at, distinct = _letters(texts)
+    pick, score = np.full(len(at) - 1, len(model.langs)), np.zeros(len(at) - 1)
+    if len(model.langs) and len(numbers):
+        each = model.words(words.strings(distinct))
+        full = np.flatnonzero(np.diff(at) > 0)
+        total = np.zeros((len(full), each.shape[1]))
+        for k in range(each.shape[1]):
+            total[:, k] = np.add.reduceat(each[numbers, k], at[:-1][full])
+        best = total.argmax(1)
+        pick[full] = best
+        score[full] = 1 / np.exp(np.minimum(total - total[np.arange(len(full)), best][:, None], 0)).sum(1)
+    return pick, score
+
+
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        langs = np.array([*model.langs, UNKNOWN], object)
+        langs = np.array([*shared.value.langs, UNKNOWN], object)
         for batch in words.batches(batches, "text", PREDICT_BYTES):
-            numbers, at, distinct = _letters(words.text_array(batch.column("text")))
-            n = len(at) - 1
-            pick, score = np.full(n, len(langs) - 1), np.zeros(n)
-            if len(model.langs) and len(numbers):
-                each = model.words(words.strings(distinct))
-                full = np.flatnonzero(np.diff(at) > 0)
-                total = np.zeros((len(full), each.shape[1]))
-                for k in range(each.shape[1]):
-                    total[:, k] = np.add.reduceat(each[numbers, k], at[:-1][full])
-                best = total.argmax(1)
-                pick[full] = best
-                score[full] = 1 / np.exp(np.minimum(total - total[np.arange(len(full)), best][:, None], 0)).sum(1)
+            pick, score = judged(words.text_array(batch.column("text")), shared.value)
             rest = {c: batch.column(c) for c in batch.schema.names if c != "text"}
             rest |= {"lang_pred": pa.array(langs[pick].tolist(), pa.string()), "score": pa.array(score)}
             yield pa.RecordBatch.from_arrays(list(rest.values()), list(rest))
@@ -333,6 +336,23 @@ def _predict(shared):
     return run
 
 
+def _known(shared, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in words.batches(batches, text, PREDICT_BYTES):
+            pick, _ = judged(words.text_array(batch.column(text)), shared.value)
+            yield batch.filter(pa.array(pick < len(shared.value.langs)))
+
+    return run
+
+
+def known_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text, a string, is in one of the model's languages; the text moves once, with its row."""
+    numbered = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: vocabulary x MOST_LANGS
+    out = numbered.mapInArrow(_known(shared, f"c{docs.columns.index(text_col)}"), numbered.schema)
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def predict(docs: DataFrame, model: Model, text_col: str = "text", **carry: Column) -> DataFrame:
     """``carry`` columns, lang_pred and score (the language's share of the likelihood) for each row."""
     slim = docs.select(docs[text_col].cast("string").alias("text"), *[c.alias(name) for name, c in carry.items()])
