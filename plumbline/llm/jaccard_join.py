@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import words
 from plumbline.llm.components import components
-from plumbline.llm.shared import settled, staged, table
+from plumbline.llm.shared import drop, settled, staged, table
 
 #: Buckets of the frequency sketch, its slices on the way to the driver, buckets of the overlap bound.
 SKETCH, SLICES, BOUND = 1 << 20, 64, 64
@@ -232,13 +232,21 @@ class Join:
         self.texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
         self.kind = self.texts.schema["id"].dataType.simpleString()
         self.level = self.spark.sparkContext.broadcast(commonness(self.texts, k))
-        self.sets = staged(self.texts.mapInArrow(_sets(self.level, None, k, percent), self.schema("prefix", "bound")), "sets")
-        same = self.sets.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2")
-        self.classes = staged(same.agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bound").alias("bound")), "classes")
+        full = staged(self.texts.mapInArrow(_sets(self.level, None, k, percent), self.schema("prefix", "bound")), "sets")
+        self.sets = staged(full.select("id", "n", "s1", "s2"), "set-keys")
+        same = full.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2")
+        classes = staged(same.agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bound").alias("bound")), "classes")
+        drop(full)
+        self.classes = staged(classes.select("n", "s1", "s2", "rep"), "class-keys")
         # With a smaller set no other set is near enough: s / (s + 1) is below the threshold.
-        self.reps = self.classes.where(100 * F.col("n") >= percent * (F.col("n") + 1))
-        self.reps = self.rare_first()
+        self.reps = classes.where(100 * F.col("n") >= percent * (F.col("n") + 1))
+        if (better := self.rare_first()) is not self.reps:
+            drop(classes)
+        self.reps = better
         self.columns = settled(self.spark, "columns", self.shared_tokens)
+        # Prefixes are no longer needed, once the tokens that several sets hold are known.
+        self.reps = staged(better.select("rep", "n", "bound"), "bounds")
+        drop(better)
 
     def schema(self, *more: str) -> str:
         kinds = {"prefix": "array<long>", "bound": "binary"}

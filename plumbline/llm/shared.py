@@ -67,6 +67,12 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the table that ``staged`` or ``settled`` wrote and ``df`` reads."""
+    if files := df.inputFiles():
+        discard(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The rows of ``build()`` as a written table; the tables staged on the way to it are deleted."""
     mark = _open.set(held := [])
