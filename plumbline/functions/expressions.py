@@ -50,7 +50,7 @@ def payload(columns: Iterable[str], width: int | None = None) -> Column:
     """One text for the columns' values, null distinct from every value; ``width`` compares leading characters only."""
     parts = [F.col(c).cast("string") for c in columns]
     parts = [F.substring(p, 1, width) if width else p for p in parts]
-    return F.concat_ws("|", *[F.coalesce(p, F.lit("<NULL>")) for p in parts])
+    return F.to_json(F.struct(*[p.alias(f"v{k}") for k, p in enumerate(parts)]), {"ignoreNullFields": "false"})
 
 
 def pct(part: Column, whole: Column) -> Column:

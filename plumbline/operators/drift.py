@@ -104,8 +104,9 @@ def dead_columns(df: DataFrame, name: str, columns: list[str] | None = None) ->
     return out.select(F.lit(name).alias("table_name"), "column_name", "rows_total")
 
 
-def dead_columns_of(tables: dict[str, DataFrame], counts: dict[str, int], max_rows: int, max_columns: int = 60) -> tuple[DataFrame | None, list[str]]:
-    """Dead columns of all tables up to ``max_rows``, and the names of those that were passed over."""
+def dead_columns_of(tables: dict[str, DataFrame], counts: dict[str, int], max_rows: int, max_columns: int | None = None) -> tuple[DataFrame | None, list[str]]:
+    """Dead columns of all tables up to ``max_rows``, and the names of what was passed over: tables, and columns beyond ``max_columns`` of one."""
     small = [t for t in sorted(tables) if 0 < counts.get(t, 0) <= max_rows]
     found = [dead_columns(tables[t], t, tables[t].columns[:max_columns]) for t in small]
-    return (reduce(DataFrame.unionByName, found) if found else None), [t for t in sorted(tables) if counts.get(t, 0) > max_rows]
+    beyond = [f"{t}.{c}" for t in small for c in tables[t].columns[max_columns:] if max_columns is not None]
+    return (reduce(DataFrame.unionByName, found) if found else None), [t for t in sorted(tables) if counts.get(t, 0) > max_rows] + beyond

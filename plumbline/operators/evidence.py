@@ -9,23 +9,23 @@ from pyspark.sql.window import Window
 from plumbline.functions.expressions import date_parts, fingerprint, numbers_in, variants
 
 # Phrases that claim an early finish is a fault.
-EARLY_PHRASES = ("ahead of schedule", "ahead of plan", "ahead of target", "earlier than planned", "earlier than expected", "finished early", "completed early", "started early", "before the planned date")
-
-
-def unsupported(statement: Column, source: Column) -> Column:
-    """Number tokens of the statement that the source does not hold, round or name as part of a date."""
-    used = numbers_in(statement)
-    known = numbers_in(source)
-    allowed = F.array_union(variants(known), date_parts(source))
-    bare = F.transform(allowed, lambda x: F.rtrim(x, F.lit("%")))
-    either = F.array_union(allowed, bare)
-    return F.filter(used, lambda x: ~F.array_contains(either, x) & ~F.array_contains(either, F.rtrim(x, F.lit("%"))))
+EARLY_PHRASES = ("earlier than", "ahead of schedule", "acceleration", "accelerat", "sooner than", "before its expected", "before the expected", "before its target", "before the target")
 
 
 def validate(df: DataFrame, statements: list[str], source: str) -> DataFrame:
-    """``df`` with unsupported (number tokens) and ok."""
-    text = F.concat_ws(" ", *statements)
-    return df.withColumn("unsupported", unsupported(text, F.col(source))).withColumn("ok", F.size("unsupported") == 0)
+    """``df`` with unsupported (number tokens of the statements that the source does not hold, round or name as part of a date) and ok.
+
+    Each step is a projection of its own and is read more than once by the
+    next, so that Spark works it out once a row and not once a token.
+    """
+    out = df.withColumns({"__used": numbers_in(F.concat_ws(" ", *statements)), "__known": numbers_in(F.col(source)), "__dates": date_parts(F.col(source))})
+    # Most tokens are in the source as they stand; only the others need its roundings.
+    out = out.withColumn("__odd", F.array_except("__used", F.array_union("__known", "__dates")))
+    either = F.array_union(variants(F.col("__known")), F.col("__dates"))
+    either = F.transform(F.array_union(either, F.col("__known")), lambda x: F.rtrim(x, F.lit("%")))
+    out = out.withColumn("__bare", F.when(F.size("__odd") > 0, either).otherwise(F.array().cast("array<string>")))
+    bad = F.filter("__odd", lambda x: ~F.array_contains(F.col("__bare"), F.rtrim(x, F.lit("%"))))
+    return out.withColumn("unsupported", bad).withColumn("ok", F.size("unsupported") == 0).drop("__used", "__known", "__dates", "__odd", "__bare")
 
 
 def validate_groups(groups: DataFrame, members: DataFrame, group: str, statement: str, source: str) -> DataFrame:

@@ -84,8 +84,8 @@ def conflicting_rows(df: DataFrame, rule: DedupRule) -> DataFrame:
     return df.join(conflicting_groups(df, rule).select(*rule.keys), list(rule.keys), "left_semi")
 
 
-def payload_columns(df: DataFrame, rule: DedupRule, authoritative: list[str], limit: int = 12) -> list[str]:
-    """The columns that must agree: those declared, else authoritative columns of plain types outside the key."""
+def payload_columns(df: DataFrame, rule: DedupRule, authoritative: list[str], limit: int | None = None) -> list[str]:
+    """The columns that must agree: those declared, else authoritative columns of plain types outside the key, all of them unless there is a limit."""
     if rule.compare:
         return list(rule.compare)
     plain = {f.name for f in df.schema if f.dataType.typeName() not in ("binary", "map", "array", "struct")}
@@ -115,7 +115,7 @@ def clean(df: DataFrame, rules: list[CleanupRule]) -> DataFrame:
     """All clean-ups in one projection; a blank goes before a sentinel, a sentinel before a placeholder; blank rules trim the rest."""
     out = {}
     for name in df.columns:
-        own = [r for kind in CLEANUPS for r in rules if r.kind == kind and name in r.columns]
+        own = [r for kind in CLEANUPS for r in rules if r.kind == kind and name.lower() in {c.lower() for c in r.columns}]
         if own:
             value = F.trim(F.col(name)) if any(r.kind == "blank" for r in own) else F.col(name)
             for rule in own:

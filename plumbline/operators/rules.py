@@ -48,10 +48,10 @@ def deadline_split(df: DataFrame, actual: Column, deadline: Column, as_of: Colum
     return df.select(b.alias("b")).agg(*[count_if(F.col("b") == x).alias(x) for x in ("late", "gap", "pending")], F.count("*").alias("total"))
 
 
-def interval_overlaps(df: DataFrame, resource: str, entity: str, start: str, end: str, bucket_days: int | None = None) -> DataFrame:
+def interval_overlaps(df: DataFrame, resource: str, entity: str, start: str, end: str, bucket_days: int | None = 31) -> DataFrame:
     """Pairs (resource, a, b) of entities a < b whose closed intervals on one resource meet; inverted intervals are left out.
 
-    With ``bucket_days`` intervals meet inside time buckets, so one busy
+    With ``bucket_days`` (31 unless said otherwise) intervals meet inside time buckets, so one busy
     resource is spread over many tasks; a pair is kept in the bucket where the
     later of the two starts.
     """

@@ -52,27 +52,44 @@ class Registry:
         return wrap
 
     def run(self, context: Context) -> tuple[DataFrame, DataFrame]:
-        """(findings, check results). A check returns rows of rows_scanned, violations and finding columns; None skips it."""
-        found, results = [], []
+        """(findings, check results).
+
+        A check returns None to be skipped, or rows: of figures (``violations``,
+        with rows_scanned, severity, title and other finding columns if it has
+        them), where each row with violations is a finding, or of findings as
+        they are (``affected_count``). A result without either is an error of
+        the check, never a pass.
+        """
+        found, results = [context.spark.createDataFrame([], FINDING)], []
         for check_id in sorted(self.checks):
             check = self.checks[check_id]
             try:
                 out = check.run(context)
-                # One row a check: its measured figures.
-                rows = out.limit(1).collect() if out is not None else None
+                if out is None:
+                    results.append((check_id, check.family, "skipped", None, None, "table not available"))
+                    continue
+                own = self._findings(check, out)
+                scanned = F.sum("rows_scanned").cast("bigint") if "rows_scanned" in out.columns else F.lit(None).cast("bigint")
+                bad = "violations" if "violations" in out.columns else "affected_count"
+                # One row a check: sums of what it measured.
+                figures = out.agg(scanned.alias("scanned"), F.coalesce(F.sum(bad), F.lit(0)).cast("bigint").alias("bad")).first()
             except Exception as error:
-                results.append((check_id, check.family, "error", None, None, type(error).__name__))
+                results.append((check_id, check.family, "error", None, None, f"{type(error).__name__}: {error}"[:200] if isinstance(error, ValueError) else type(error).__name__))
                 continue
-            if rows is None:
-                results.append((check_id, check.family, "skipped", None, None, "table not available"))
-                continue
-            figures = rows[0].asDict() if rows else {"rows_scanned": 0, "violations": 0}
-            bad = int(figures.get("violations") or 0)
-            results.append((check_id, check.family, "fail" if bad else "pass", int(figures.get("rows_scanned") or 0), bad, None))
-            if bad:
-                found.append((check_id, check.family, figures.get("severity") or "medium", figures.get("finding_class") or "violation", figures.get("title") or check_id, figures.get("entity_type"), figures.get("entity_id"), bad, str(check.grain), check.baseline, False, None))
-        spark = context.spark
-        return spark.createDataFrame(found, FINDING), spark.createDataFrame(results, CHECK_RESULT)
+            results.append((check_id, check.family, "fail" if figures.bad else "pass", figures.scanned, figures.bad, None))
+            found.append(own)
+        return union(found), context.spark.createDataFrame(results, CHECK_RESULT)
+
+    @staticmethod
+    def _findings(check: Check, out: DataFrame) -> DataFrame:
+        bad = next((c for c in ("violations", "affected_count") if c in out.columns), None)
+        if bad is None:
+            raise ValueError(f"{check.check_id}: neither violations nor affected_count among {', '.join(out.columns)}")
+        given = {"severity": "medium", "finding_class": "violation", "title": check.check_id, "grain": str(check.grain), "baseline": check.baseline}
+        cells = {name: F.coalesce(F.col(name).cast("string"), F.lit(value)) if name in out.columns else F.lit(value) for name, value in given.items()}
+        cells |= {"check_id": F.lit(check.check_id), "family": F.lit(check.family), "affected_count": F.col(bad), "sampled": F.coalesce("sampled", F.lit(False)) if "sampled" in out.columns else F.lit(False)}
+        cells |= {c: F.col(c) if c in out.columns else F.lit(None) for c in ("entity_type", "entity_id", "evidence")}
+        return out.where(F.col(bad) > 0).select(*[cells[f.name].cast(f.dataType).alias(f.name) for f in FINDING])
 
 
 def invariant_findings(measured: DataFrame, *, severity: str, grain: Grain, baseline: str, sampled: bool = False) -> DataFrame:

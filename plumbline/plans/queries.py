@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import expressions as X
-from plumbline.operators import drift, evidence, extended, findings, grain, invariants, normalise, profile, rules
+from plumbline.operators import drift, evidence, extended, findings, grain, invariants, normalise, profile, reports, rules
 from plumbline.plans import checks
 from plumbline.plans.model import ROW, CleanupRule, ColumnRule, DateOrderRule, DedupRule, PhantomKeyRule, SnapshotRule, TableRules, actionable, latest_per, severity_rank
 from plumbline.sources import registry, results
@@ -728,10 +728,10 @@ def fingerprint_reuse(spark, sf):
     return evidence.reuse(docs.select("doc_id", "key"), earlier, "key", "narration", "doc_id").select("doc_id", "reused_text", "reused")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'ahead of plan' WHEN o_orderkey % 9 = 1 THEN 'finished early' END AS first_hit, o_orderkey % 9 IN (0, 1, 2) AS rejected FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'ahead of schedule' WHEN o_orderkey % 9 = 1 THEN 'sooner than' END AS first_hit, o_orderkey % 9 IN (0, 1, 2) AS rejected FROM orders")
 def keyword_screen(spark, sf):
     key = F.col("o_orderkey")
-    title = F.when(key % 9 == 0, "Tasks Ahead of Plan").when(key % 9 == 1, "Work finished early").when(key % 9 == 2, "  ").otherwise("Tasks late")
+    title = F.when(key % 9 == 0, "Tasks Ahead of Schedule").when(key % 9 == 1, "Work done sooner than planned").when(key % 9 == 2, "  ").otherwise("Tasks late")
     df = read(spark, sf, "orders").select("o_orderkey", title.alias("title"), F.lit("a hypothesis").alias("hypothesis"))
     return evidence.screen(df, ["title", "hypothesis"]).select("o_orderkey", "first_hit", "rejected")
 
@@ -906,3 +906,96 @@ def counter_query(spark, sf):
 @query("SELECT finding_class, finding_class IN ('violation', 'defect', 'gap') AS actionable, count(*) AS findings FROM " + FOUND(NOW) + " GROUP BY 1")
 def actionable_classes(spark, sf):
     return run_findings(spark, sf, NOW).groupBy("finding_class").agg(F.count("*").alias("findings")).withColumn("actionable", actionable(F.col("finding_class")))
+
+
+# Findings from measurements.
+SHOWN = ["check_id", "severity", "finding_class", "entity_id", "affected_count"]
+
+
+@query("SELECT 'PIP-001' AS check_id, 'info' AS severity, 'design' AS finding_class, 'events' AS entity_id, count(*) - count(*) FILTER (WHERE ts = m) AS affected_count FROM events e JOIN (SELECT user_id, max(ts) AS m FROM events GROUP BY user_id) g ON e.user_id = g.user_id HAVING count(*) > 0")
+def finding_pinned(spark, sf):
+    return reports.pinned(normalise.pin_report(read(spark, sf, "events"), PIN), "events", PIN).select(*SHOWN)
+
+
+@query(f"""
+SELECT 'DUP-001' AS check_id, CASE WHEN e > 0 THEN 'critical' ELSE 'info' END AS severity, CASE WHEN e > 0 THEN 'defect' ELSE 'design' END AS finding_class, 'lineitem' AS entity_id, e AS affected_count FROM (SELECT CAST(coalesce(sum(n - 1) FILTER (WHERE n > 1), 0) AS BIGINT) AS e FROM ({GROUPS}))
+UNION ALL SELECT 'CON-011', 'high', 'defect', 'lineitem', count(*) FROM ({GROUPS}) WHERE n > 1 AND d > 1 HAVING count(*) > 0""")
+def finding_duplicates(spark, sf):
+    return reports.duplicates(normalise.measure_duplicates(read(spark, sf, "lineitem"), LINE_RULE), "lineitem", LINE_RULE, "DUP-001", "critical").select(*SHOWN)
+
+
+@query("SELECT 'VAL-018' AS check_id, 'medium' AS severity, 'defect' AS finding_class, 'events.user_id' AS entity_id, count(*) AS affected_count FROM events WHERE user_id IN (0, 1, 2) HAVING count(*) > 0")
+def finding_phantom(spark, sf):
+    rule = PhantomKeyRule("user_id", (0, 1, 2), "exclude")
+    return reports.phantom(normalise.measure_phantom(read(spark, sf, "events"), rule), "events", rule).select(*SHOWN)
+
+
+@query(f"""
+SELECT * FROM (SELECT 'BLK-001' AS check_id, 'medium' AS severity, 'defect' AS finding_class, 'orders' AS entity_id, count(*) FILTER (WHERE trim(st) = '') AS affected_count FROM {DIRTY}
+UNION ALL SELECT 'SNT-001', 'medium', 'defect', 'orders', count(*) FILTER (WHERE upper(trim(st)) IN ('N/A', 'UNKNOWN')) FROM {DIRTY}
+UNION ALL SELECT 'PLC-001', 'critical', 'defect', 'orders', count(*) FILTER (WHERE d IN (DATE '1900-01-01', DATE '1899-12-30')) FROM {DIRTY}) WHERE affected_count > 0""")
+def finding_cleanups(spark, sf):
+    return reports.cleanups(normalise.measure_cleanups(dirty_orders(spark, sf), CLEANUPS), "orders", {"placeholder": "critical"}).select(*SHOWN)
+
+
+@query(f"SELECT o_orderkey, d, st FROM {CLEAN}")
+def cleanup_apply_any_case(spark, sf):
+    """Rules that spell columns in another case rewrite what they count."""
+    shouted = [CleanupRule(r.kind, tuple(c.upper() for c in r.columns), r.values) for r in CLEANUPS]
+    return normalise.build(dirty_orders(spark, sf), TableRules("orders", cleanups=tuple(shouted))).df.select("o_orderkey", "d", "st")
+
+
+@query("SELECT 'CFG-001' AS check_id, 'high' AS severity, 'risk' AS finding_class, 'orders' AS entity_id, CAST(2 AS BIGINT) AS affected_count WHERE EXISTS (SELECT 1 FROM orders)")
+def finding_missing_columns(spark, sf):
+    live = registry.row_counts({"orders": read(spark, sf, "orders")}).where("row_count > 0")
+    have = registry.inventory(spark, {"orders": read(spark, sf, "orders")})
+    found = normalise.missing_columns(spark, have, [("orders", c, "clean-up") for c in ("O_ORDERKEY", "nope", "gone")])
+    return reports.missing_columns(found.join(live.select("table_name"), "table_name", "left_semi")).select(*SHOWN)
+
+
+@query("SELECT 'CFG-002' AS check_id, 'high' AS severity, 'risk' AS finding_class, 'events' AS entity_id, CAST(0 AS BIGINT) AS affected_count WHERE EXISTS (SELECT 1 FROM events)")
+def finding_failed_table(spark, sf):
+    """A table whose order column is missing cannot be normalised; the others are."""
+    tables = {t: read(spark, sf, t) for t in ("events", "orders")}
+    broken = TableRules("events", dedup=DedupRule(("user_id",), ("no_such desc",)))
+    _, failed = normalise.build_all(tables, [broken, TableRules("orders")])
+    live = registry.row_counts({"events": tables["events"]}).where("row_count > 0").select(F.col("table_name").alias("entity_id"))
+    return reports.failed_tables(spark, failed).join(live, "entity_id", "left_semi").select(*SHOWN)
+
+
+@query(f"""
+SELECT 'BIZ-201' AS check_id, severity, finding_class, 'orders' AS entity_id, n AS affected_count FROM (
+  SELECT 'high' AS severity, 'violation' AS finding_class, count(*) FILTER (WHERE {LATE}) AS n FROM {FINISHED}
+  UNION ALL SELECT 'high', 'gap', count(*) FILTER (WHERE {GAP}) FROM {FINISHED}
+  UNION ALL SELECT 'info', 'pending', count(*) FILTER (WHERE {PENDING}) FROM {FINISHED}) WHERE n > 0""")
+def finding_deadlines(spark, sf):
+    return reports.deadlines(deadline_split(spark, sf), "BIZ-201", "orders", "Shipment").select(*SHOWN)
+
+
+@query("SELECT 'PIP-010' AS check_id, 'medium' AS severity, 'gap' AS finding_class, 'no_events' AS entity_id, CAST(1 AS BIGINT) AS affected_count WHERE (SELECT count(*) FROM events WHERE user_id < 0) = 0")
+def finding_empty_tables(spark, sf):
+    return reports.empty_tables(empty_tables(spark, sf)).select(*SHOWN)
+
+
+@query(f"SELECT 'PIP-011' AS check_id, 'info' AS severity, 'design' AS finding_class, max_by(table_name, (row_count, table_name)) AS entity_id, count(*) AS affected_count FROM ({COUNTS}) WHERE row_count > 0 AND table_name NOT IN ('lineitem', 'orders', 'events') HAVING count(*) > 0")
+def finding_unexamined(spark, sf):
+    declared = spark.createDataFrame([("LineItem",), ("orders",), ("events",)], "table_name string")
+    return reports.unexamined(registry.row_counts(registry.parquet(spark, sf)), declared).select(*SHOWN)
+
+
+@query("SELECT 'PIP-012' AS check_id, 'low' AS severity, 'gap' AS finding_class, 'orders' AS entity_id, CAST(2 AS BIGINT) AS affected_count FROM orders HAVING count(*) > 0")
+def finding_dead_columns(spark, sf):
+    o = read(spark, sf, "orders").withColumns({c: F.when(F.col("o_orderkey") < 0, F.lit("x")) for c in ("note", "remark")})
+    found, passed = drift.dead_columns_of({"orders": o}, {"orders": 1}, 10)
+    return reports.dead_columns(found, passed).select(*SHOWN)
+
+
+@query("""
+SELECT 'WGT-001' AS check_id, 'medium' AS severity, 'violation' AS finding_class, l_returnflag AS entity_id, CAST(1 AS BIGINT) AS affected_count
+FROM (SELECT DISTINCT l_returnflag, l_linenumber, CAST(l_discount AS DECIMAL(14,4)) AS w FROM lineitem) GROUP BY l_returnflag HAVING sum(w) IS NULL OR abs(sum(w) - 100) > 0.5""")
+def finding_bad_groups(spark, sf):
+    """A check that names several bad groups, run by the registry."""
+    registry_ = checks.Registry()
+    registry_.add("WGT-001", lambda c: reports.bad_groups(rules.weight_groups(c.table("lineitem"), "l_returnflag", "l_linenumber", "l_discount"), "WGT-001", "lineitem", "group_key"), grain=ROW, baseline="NONE")
+    found, _ = registry_.run(checks.Context(spark, {"lineitem": normalise.build(read(spark, sf, "lineitem"), TableRules("lineitem"))}, "2001-01-01"))
+    return found.select(*SHOWN)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import expressions as X
-from plumbline.operators import drift, evidence, extended, findings, grain, invariants, normalise, profile, rules
+from plumbline.operators import drift, evidence, extended, findings, grain, invariants, normalise, profile, reports, rules
 from plumbline.plans import checks
 from plumbline.plans.model import ROW, CleanupRule, DateOrderRule, DedupRule, Grain, PhantomKeyRule, SnapshotRule, TableRules, actionable, latest_per, severity_rank
 from plumbline.sources import registry, results
@@ -301,3 +301,45 @@ def test_clean_ups_on_a_stream(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("violations").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.rows_scanned, r.violations) for r in spark.table("violations").collect()) == [(1, 0), (2, 1)]
+
+
+def test_registry_takes_several_findings_and_never_passes_what_it_cannot_read(spark):
+    groups = spark.createDataFrame([("a",), ("b",), (None,)], "group_key string")
+    figures = spark.createDataFrame([(10, 2, "x"), (5, 0, "y"), (5, 1, "z")], "rows_scanned int, violations int, entity_id string")
+    r = checks.Registry()
+    r.add("WGT-1", lambda c: groups, grain=ROW, baseline="NONE")
+    r.add("WGT-2", lambda c: reports.bad_groups(groups, "WGT-2", "t", "group_key"), grain=ROW, baseline="NONE")
+    r.add("WGT-3", lambda c: figures, grain=ROW, baseline="NONE")
+    found, results_ = r.run(checks.Context(spark, {}, "2020-01-01"))
+    assert {x.check_id: (x.status, x.violations) for x in results_.collect()} == {"WGT-1": ("error", None), "WGT-2": ("fail", 3), "WGT-3": ("fail", 3)}
+    assert sorted((x.check_id, str(x.entity_id)) for x in found.collect()) == [("WGT-2", "None"), ("WGT-2", "a"), ("WGT-2", "b"), ("WGT-3", "x"), ("WGT-3", "z")]
+
+
+def test_cleanups_count_what_they_rewrite_in_any_case(spark):
+    df = spark.createDataFrame([(" n/a ",), ("ok",)], "status string")
+    rules_ = TableRules("t", cleanups=(CleanupRule("sentinel", ("Status",), ("N/A",)),))
+    assert [x.status for x in normalise.build(df, rules_).df.collect()] == [None, "ok"]
+    assert normalise.measure_cleanups(df, list(rules_.cleanups)).first().hits == 1
+
+
+def test_payloads_do_not_collide(spark):
+    rows = [(1, "a|b", "c"), (1, "a", "b|c"), (2, "<NULL>", None), (2, None, "<NULL>"), (3, None, "x"), (3, None, "x")]
+    df = spark.createDataFrame(rows, "k int, u string, v string")
+    rule = DedupRule(("k",), mode="collapse_identical")
+    m = normalise.measure_duplicates(df, rule).first()
+    assert (m.groups_disagreeing, m.groups_identical) == (2, 1) and normalise.dedup(df, rule).count() == 5
+    assert normalise.payload_columns(df, rule, ["u", "v"]) == ["u", "v"] and normalise.payload_columns(df, rule, ["u", "v"], 1) == ["u"]
+
+
+def test_early_phrases(spark):
+    texts = ["this well finished ahead of schedule", "results show an acceleration of the timeline", "completed sooner than planned", "the actual date is before its target date", "a date after the expected date, a real delay"]
+    df = spark.createDataFrame([("x", t) for t in texts], "title string, hypothesis string")
+    assert [r.rejected for r in evidence.screen(df, ["title", "hypothesis"]).collect()] == [True] * 4 + [False]
+
+
+def test_findings_of_a_clean_table_are_none(spark):
+    none = spark.createDataFrame([], "table_name string, row_count bigint")
+    assert reports.empty_tables(none).count() == reports.unexamined(none, none).count() == 0
+    split = spark.createDataFrame([(0, 0, 2, 5)], "late int, gap int, pending int, total int")
+    assert [(r.finding_class, r.affected_count) for r in reports.deadlines(split, "BIZ-1", "t", "x").collect()] == [("pending", 2)]
+    assert reports.failed_tables(spark, []).count() == 0
