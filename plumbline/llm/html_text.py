@@ -1,8 +1,9 @@
 """Main text of web pages by composite text density.
 
 Every DOM node has characters per tag, adjusted for the share of characters
-and tags inside links. Parts that are no article text by their element, role
-or class are cut first. Among the rest, the container whose children's
+and tags inside links. Parts that are no article text by their element or role
+are cut first, and those named so as a whole (a class or id, not a word in
+it), unless they hold most of the page's text. Among the rest, the container whose children's
 densities sum highest is the article's core, and the least density on its path
 to the body is the threshold. Beside the path each child is judged by itself:
 one that reaches the threshold is taken whole, and of the others each block of
@@ -12,7 +13,9 @@ alone.
 
 Defined cases: a null or empty page gives an empty text; repeated rows are
 extracted each for itself; an unclosed comment or script runs to the end of
-the page; ties go to the earlier node; other columns pass through by name.
+the page; of quotes and tags that are never closed the text is kept; ties go
+to the earlier node; other columns pass through by name. The work is linear in
+the page but for unclosed elements nested thousands deep.
 """
 
 from __future__ import annotations
@@ -28,13 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm import words
 from plumbline.llm.shared import table
 
-TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
+TAG = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+DELIMITER = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 # Element names by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea iframe svg math object".split())
-INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = set("script style noscript template textarea iframe svg object".split())
+INLINE = set("math mi mn mo mrow mtext msub msup mfrac msqrt a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 CUT = set("nav footer aside form button select option input fieldset dialog head title menu".split()) | RAW
 LEAF = set("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption td th".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
@@ -43,88 +47,164 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = set("html body table ul ol dl article section main div".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert".split())
 NAMES = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe share sharing social related recommended comment comments respond disqus widget toolbar pagination pager login signup search copyright skip".split())
+#: Words that say nothing of a part's role: a name is one of the above if all its words are from either set.
+GLUE = set("site page main top bottom left right side block box area section list bar wrap wrapper container inner outer slot unit group item items links panel form the js u col row 1 2 3".split())
 OWN = set("article post entry content story".split())
 ALWAYS = set("ad ads advert adverts sponsored promo related comment comments".split())
+#: A part cut by its name alone comes back if it holds more than this share of the text.
+SHARE = 0.5
 
 
-def _cut(tag: str, attributes: str, inside_article: bool) -> bool:
+def _cut(tag: str, attributes: str, inside_article: bool) -> int:
+    """0: stays; 1: cut for its name, which its text may outweigh; 2: cut for its element or role."""
     if tag in CUT:
-        return True
+        return 2
     if tag == "header":
-        return not inside_article
+        return 0 if inside_article else 2
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return 0
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
     if found.get("role") in ROLES or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
-    names = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}"))
-    if tag == "article":
-        return bool(names & ALWAYS)
-    hit = names & NAMES
-    return bool(hit) and not (hit == {"header"} and (inside_article or names & OWN))
+        return 2
+    names, own = set(), False
+    for token in f"{found.get('class', '')} {found.get('id', '')}".split():
+        parts = set(re.split(r"[^a-z0-9]+", token)) - {""}
+        own = own or bool(parts & OWN)
+        if parts <= NAMES | GLUE:
+            names |= parts & NAMES
+    if names & ALWAYS:
+        return 2
+    if tag == "article" or tag in LEAF:
+        return 0
+    return int(bool(names) and not (names == {"header"} and (inside_article or own)))
 
 
 class Page:
     """Nodes in page order (a child after its parent) and the pieces of text in them."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.cut = ["body"], [-1], [False]
+        self.tag, self.parent, self.cut, self.inside, self.named = ["body"], [-1], [False], [False], []
         self.pieces: list[tuple[int, int, str]] = []  # node, block, text
         self._parse(source)
+        self._weigh()
         self._measure()
 
-    def _open(self, tag: str, attributes: str, stack: list[int]) -> None:
-        top = stack[-1]
-        inside = any(self.tag[n] in ("article", "main") for n in stack)
+    def _open(self, tag: str, attributes: str, top: int) -> None:
+        how = _cut(tag, attributes, self.inside[top])
         self.tag.append(tag)
         self.parent.append(top)
-        self.cut.append(self.cut[top] or _cut(tag, attributes, inside))
+        self.inside.append(self.inside[top] or tag in ("article", "main"))
+        self.cut.append(how == 2)
+        if how == 1:
+            self.named.append(len(self.tag) - 1)
+
+    def _weigh(self) -> None:
+        """Cut what is named as no text, unless most of the page's text is in it; then hand all cuts down."""
+        n = len(self.tag)
+        if self.named:
+            chars, gone = [0] * n, self._inherited()
+            for node, _, text in self.pieces:
+                if not gone[node]:
+                    chars[node] += len(text) - text.count(" ")
+            for k in range(n - 1, 0, -1):
+                chars[self.parent[k]] += chars[k]
+            # An article or main beside it is the text, however short.
+            marked = any(chars[k] and not gone[k] and not self.inside[k] for k in range(n) if self.tag[k] in ("article", "main"))
+            for k in self.named:
+                self.cut[k] = self.cut[k] or marked or chars[k] <= SHARE * chars[0]
+        self.cut = self._inherited()
+
+    def _inherited(self) -> list[bool]:
+        out = list(self.cut)
+        for k in range(1, len(out)):
+            out[k] = out[k] or out[self.parent[k]]
+        return out
 
     def _parse(self, source: str) -> None:
-        stack, block, at = [0], 0, 0
+        stack, block, at, begun = [0], 0, 0, 0
+        open_: dict[str, int] = {}
+        unpaired, plain = set(), False  # quotes that are not closed any more; whether quotes hide no > any more
+
+        def pop(depth: int) -> None:
+            for node in stack[depth:]:
+                open_[self.tag[node]] -= 1
+            del stack[depth:]
+
+        def text(end: int) -> None:
+            if end > begun:
+                self.pieces.append((stack[-1], block, html.unescape(source[begun:end])))
+
         while True:
-            found = TOKEN.search(source, at)
-            end = found.start() if found else len(source)
-            if end > at:
-                self.pieces.append((stack[-1], block, html.unescape(source[at:end])))
+            found = TAG.search(source, at)
             if not found:
+                text(len(source))
                 return
-            at = found.end()
             if found[0] == "<!--":
-                close = source.find("-->", at)
-                at = len(source) if close < 0 else close + 3
+                text(found.start())
+                close = source.find("-->", found.end())
+                at = begun = len(source) if close < 0 else close + 3
                 continue
+            end = found.end()
+            while True:  # the tag's end, not one inside quotes
+                mark = DELIMITER.search(source, end)
+                if not mark:
+                    break
+                end = mark.end()
+                if mark[0] == ">":
+                    break
+                if plain or not found[2] or mark[0] in unpaired:
+                    continue
+                close = source.find(mark[0], end)
+                if close < 0:
+                    unpaired.add(mark[0])
+                else:
+                    end = close + 1
+            if not mark:
+                if not plain and source.find(">", found.end()) >= 0:
+                    plain = True  # every > left is in quotes: they are taken as text from here on
+                    continue
+                text(len(source))
+                return
+            text(found.start())
+            begun = at = end
             if not found[2]:
                 continue
-            tag = found[2].lower()
+            tag, attributes = found[2].lower(), source[found.end() : end - 1]
+            if tag == "br":
+                self.pieces.append((stack[-1], block, " "))
+                continue
             if tag not in INLINE:
                 block += 1
             if found[1]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] == tag:
-                        del stack[depth:]
-                        break
-                    if self.tag[stack[depth]] in SCOPE and tag in (LEAF | INLINE):
-                        break
+                if open_.get(tag):
+                    for depth in range(len(stack) - 1, 0, -1):
+                        if self.tag[stack[depth]] == tag:
+                            pop(depth)
+                            break
+                        if self.tag[stack[depth]] in SCOPE and tag in (LEAF | INLINE):
+                            break
                 continue
             if tag in ("html", "body"):
-                del stack[1:]
+                pop(1)
                 continue
             if self.tag[stack[-1]] == "head" and tag not in RAW and tag not in ("meta", "link", "title", "base"):
-                stack.pop()
+                pop(len(stack) - 1)
             ends = CLOSES.get(tag) or (() if tag in INLINE else {"p", "h1", "h2", "h3", "h4", "h5", "h6"} if tag in LEAF else {"p"})
-            for depth in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[depth]] in ends:
-                    del stack[depth:]
-                    break
-                if self.tag[stack[depth]] in SCOPE:
-                    break
-            self._open(tag, found[3], stack)
+            if any(open_.get(x) for x in ends):
+                for depth in range(len(stack) - 1, 0, -1):
+                    if self.tag[stack[depth]] in ends:
+                        pop(depth)
+                        break
+                    if self.tag[stack[depth]] in SCOPE:
+                        break
+            self._open(tag, attributes, stack[-1])
             if tag in RAW:
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                at = close.end() if close else len(source)
-            elif tag not in VOID and not found[3].endswith("/"):
+                close = re.compile(rf"</{tag}\b", re.I).search(source, at)
+                at = source.find(">", close.end()) + 1 if close else 0
+                at = begun = at or len(source)
+            elif tag not in VOID and not attributes.endswith("/"):
                 stack.append(len(self.tag) - 1)
+                open_[tag] = open_.get(tag, 0) + 1
 
     def _measure(self) -> None:
         n = len(self.tag)
@@ -206,7 +286,7 @@ class Page:
 
 
 def main_text(source: str | None) -> str:
-    return Page(re.sub(r"(?i)<br\b[^>]*>", " ", source)).text() if source else ""
+    return Page(source).text() if source else ""
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -110,6 +110,23 @@ def test_extract_table(spark, small):
     assert html_text.extract(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["class='search-theory'", "id='copyright-law'", "class='search'", "class='social-history menu-of-the-day'"])
+def test_no_article_is_lost_to_a_name(name):
+    body = "<p>" + "Words of the article go on. " * 20 + "</p><p class='social'>A last line.</p>"
+    page = f"<body><div class='nav menu'>Some links</div><div {name}>{body}</div><div class='cookie-notice'>We use them.</div></body>"
+    assert html_text.main_text(page).split("\n") == [("Words of the article go on. " * 20).strip(), "A last line."]
+    assert html_text.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>") == "So x=1 holds."
+
+
+@pytest.mark.parametrize("page", ["<a " * 20_000, '<a "b>"' * 20_000, "<br" * 30_000, "</script" * 20_000, "<a '>" * 20_001, "<" * 100_000, "<div>" * 10_000 + "</foo>" * 10_000, "<span>" * 10_000 + "<p>x</p>" * 10_000, "<p>" + "long text " * 500_000])
+def test_hostile_and_large_pages_take_linear_time(page):
+    import time
+
+    began = time.time()
+    assert isinstance(html_text.main_text(page), str)
+    assert time.time() - began < 5
+
+
 URLS = [
     ("https://A.Example.COM/fr/1?x#y", "a.example.com", "/fr/1", "com/", "allow"),
     ("http://example.com/en/2", "example.com", "/en/2", "example.com/en/", "block"),
