@@ -122,16 +122,21 @@ def commonness(texts: DataFrame, k: int) -> np.ndarray:
     return np.floor(np.log2(np.maximum(counts - mean - 4 * np.sqrt(mean), 1))).astype(np.uint8)
 
 
+def marked(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bits at some places of a packed bitmap, as 0 and 1."""
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(np.uint64)
+
+
 def _sets(shared, marks, k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value.astype(np.uint64)
-        marked = np.unpackbits(np.frombuffer(zlib.decompress(marks.value), np.uint8)).astype(bool) if marks else None
+        bits = np.frombuffer(zlib.decompress(marks.value), np.uint8) if marks else None
         for batch in words.batches(batches, "text"):
             hashes, at = shingles(words.text_array(batch.column("text")), k)
             # Level first, then the hash: the global order of tokens.
             place = level[(hashes >> np.uint64(64 - 20)).astype(np.int64)]
-            if marked is not None:
-                place += np.where(marked[(hashes >> np.uint64(7) & np.uint64(MARKS - 1)).astype(np.int64)], np.uint64(LATE), np.uint64(0))
+            if bits is not None:
+                place += marked(bits, (hashes >> np.uint64(7) & np.uint64(MARKS - 1)).astype(np.int64)) * np.uint64(LATE)
             keys = place << np.uint64(57) | hashes >> np.uint64(7)
             rows = []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
@@ -151,11 +156,11 @@ def _late(marks):
     """Ids of sets with a marked token in their prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(np.frombuffer(zlib.decompress(marks.value), np.uint8)).astype(bool)
+        bits = np.frombuffer(zlib.decompress(marks.value), np.uint8)
         for batch in batches:
             prefix = batch.column("prefix")
             size = np.asarray(pc.list_value_length(prefix)).astype(np.int64)
-            hit = marked[np.asarray(prefix.flatten()) & (MARKS - 1)]
+            hit = marked(bits, np.asarray(prefix.flatten()) & (MARKS - 1))
             found = np.bincount(np.repeat(np.arange(batch.num_rows), size), hit, batch.num_rows) > 0
             yield batch.filter(pa.array(found)).select(["rep"])
 

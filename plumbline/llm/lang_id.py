@@ -39,7 +39,7 @@ MOST_LANGS, PASSES = 1_000, 3
 #: Weight of the uniform distribution mixed into each language's pieces, and of a character no piece covers.
 SMOOTH, FOREIGN = 0.02, 1e-7
 #: Text whose distinct words are scored together.
-PREDICT_BYTES = 6 << 20
+PREDICT_BYTES = 3 << 20
 
 
 def vocabulary_path() -> str:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled together; a longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def byte_table(lower: bool, keep) -> np.ndarray:
@@ -92,6 +92,7 @@ def batches(source: Iterable[pa.RecordBatch], text: str, limit: int = BATCH_BYTE
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker may idle beside the next stage
 
 
 def strings(distinct: pa.Array) -> list[str]:
