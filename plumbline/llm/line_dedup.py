@@ -148,27 +148,30 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), *columns, batch.column("gone")], ["id", "n_lines", "n_sentences", "n_removed", "removed_chars", "removed_spans", "kept_text", "kept_sha256", "units"])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, *, keep_text: bool = True) -> DataFrame:
     """One row per row of ``docs``: id, n_lines, n_sentences, n_removed (sentences), removed_chars, removed_spans, kept_text, kept_sha256, units.
 
     ``removed_spans`` lists start-end of the removed runs in characters of the
-    original text, ``units`` the removed units with the document that keeps each.
+    original text, ``units`` the removed units with the document that keeps each;
+    without ``keep_text`` kept_text and units are left out.
     """
     spark = docs.sparkSession
 
     def build() -> DataFrame:
         slim = numbered(docs, id_col, text_col)
         kind = slim.schema["id"].dataType.simpleString()
-        gone = repeated_units(slim, block_words).groupBy("row").agg(F.collect_list(F.struct("first", "end", "line", "first_id")).alias("gone"))
+        # A table of its own, so that all units and their shuffles are gone before the texts move.
+        gone = settled(spark, "gone", lambda: repeated_units(slim, block_words).groupBy("row").agg(F.collect_list(F.struct("first", "end", "line", "first_id")).alias("gone")))
         joined = slim.join(gone, "row", "left").select("id", "text", "gone")
         schema = f"id {kind}, n_lines long, n_sentences long, n_removed long, removed_chars long, removed_spans string, kept_text string, kept_sha256 string, units array<struct<first: int, end: int, line: boolean, first_id: {kind}>>"
-        return joined.mapInArrow(_without, schema)
+        out = joined.mapInArrow(_without, schema)
+        return out if keep_text else out.drop("kept_text", "units")
 
     return settled(spark, "line-dedup", build).withColumnRenamed("id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents")).drop("kept_text", "units")
+    return line_dedup(table(spark, sf_dir, "documents"), keep_text=False)
 
 
 SQL = rf"""
