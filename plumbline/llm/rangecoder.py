@@ -19,8 +19,9 @@ import zlib
 import numpy as np
 
 MAGIC = b"PLT1"
-BLOCK = 2048
-SLOTS = 512
+#: Ids of a block. Shorter blocks put more of them side by side: on sf0.1's ids 512 take 2 % more bytes than 2,048, in half the time.
+BLOCK = 512
+SLOTS = 256
 #: Bits of the whole interval, and of the order-0 distribution inside it.
 TOTAL, BASE = 22, 18
 FLOOR = np.int64(1 << 32)
@@ -47,12 +48,17 @@ def frequencies(level: np.ndarray) -> np.ndarray:
     return f
 
 
+def nearer(p: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Weights moved towards what happened, within their limits."""
+    return np.minimum(np.maximum(p + (((hit.astype(np.int32) << 16) - p) >> RATE), LOW), TOP)
+
+
 class Lanes:
     """The models of the blocks that are coded side by side."""
 
     def __init__(self, lanes: int, freq: np.ndarray):
-        self.freq = freq
-        self.cum = np.concatenate([[0], np.cumsum(freq)])[:-1]
+        self.freq = freq.astype(np.int32)
+        self.cum = np.concatenate([[0], np.cumsum(freq)])[:-1].astype(np.int32)
         self.inverse = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
         self.at = np.arange(lanes, dtype=np.int32) * SLOTS
         self.at4 = np.arange(lanes, dtype=np.int32) * 4
@@ -80,8 +86,8 @@ class Lanes:
         hit1, hit2 = ids == self.c1, ids == self.c2
         self.one[self.s1] = ids | (NEXT[self.k1] * hit1 << 16)
         self.two[self.s2] = ids | (NEXT[self.k2] * hit2 << 16)
-        self.p2[self.i2] = np.clip(self.q2 + (((hit2.astype(np.int32) << 16) - self.q2) >> RATE), LOW, TOP)
-        self.p1[self.i1] = np.where(hit2, self.q1, np.clip(self.q1 + (((hit1.astype(np.int32) << 16) - self.q1) >> RATE), LOW, TOP))
+        self.p2[self.i2] = nearer(self.q2, hit2)
+        self.p1[self.i1] = np.where(hit2, self.q1, nearer(self.q1, hit1))
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
