@@ -450,6 +450,17 @@ def sampled_counts(spark, sf):
     return out[0].union(out[1])
 
 
+@query("""SELECT table_name, rows > 50000 AS sampled, true AS within FROM (
+SELECT 'lineitem' AS table_name, count(*) AS rows FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders) n""")
+def sample_bounds(spark, sf):
+    """Whether a sample's rows lie within five standard deviations of 2 %, and a table that is not sampled is whole."""
+    counts = registry.row_counts({name: read(spark, sf, name) for name in ("lineitem", "orders")})
+    got = sampled_counts(spark, sf).join(counts, "table_name")
+    off = F.abs(F.col("rows_read") - 0.02 * F.col("row_count"))
+    within = F.when(F.col("sampled"), off <= 5 * F.sqrt(0.02 * 0.98 * F.col("row_count"))).otherwise(F.col("rows_read") == F.col("row_count"))
+    return got.select("table_name", "sampled", within.alias("within"))
+
+
 def measured_inventory(spark, sf):
     """The inventory of all tables that hold rows."""
     tables = registry.parquet(spark, sf)
@@ -457,12 +468,18 @@ def measured_inventory(spark, sf):
     return registry.inventory(spark, tables).join(live, "table_name", "left_semi")
 
 
-@query()
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "FLOAT[]": "array<float>", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz"}
+INVENTORY = f"""SELECT table_name, column_name, CASE data_type {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in TYPES.items())} END AS data_type, ordinal_position AS ordinal
+FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{t}'" for t in registry.TABLES)})"""
+
+
+@query(INVENTORY)
 def schema_inventory(spark, sf):
     return measured_inventory(spark, sf).select("table_name", "column_name", "data_type", "ordinal")
 
 
-@query()
+@query(f"""SELECT table_name, count(*) AS columns, sha1(string_agg(col, '|' ORDER BY col)) AS fp
+FROM (SELECT table_name, concat(column_name, ':', substr(sha1(concat(data_type, '|true|')), 1, 12)) AS col FROM ({INVENTORY}) i) c GROUP BY table_name""")
 def schema_fingerprints(spark, sf):
     return drift.table_fingerprints(measured_inventory(spark, sf))
 
