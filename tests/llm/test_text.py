@@ -151,6 +151,7 @@ def test_url_rules_and_model(spark):
     assert [(r.host, r.path, r.rule, r.verdict) for r in out] == [u[1:] for u in URLS]
     assert all((r.p_block is None) == (r.rule is not None) for r in out)
     assert url_filter.judge(pages.where("false"), url_filter.RULES, labelled).count() == 0
+    assert {r.verdict for r in url_filter.judge(pages, [], []).collect()} == {"allow"}
 
 
 def test_url_model_on_urls_it_never_saw(spark, small):
@@ -161,6 +162,17 @@ def test_url_model_on_urls_it_never_saw(spark, small):
     assert all((r.verdict == "block") == bool(spam.search(r.host)) for r in out)
 
 
+def test_url_model_held_out_by_host():
+    """Words that recur across hosts are learned; a word that only one host has is not."""
+    hosts = ["one", "two", "three", "four", "five", "six", "seven", "eight"]
+    labelled = [(f"http://{kind}-{h}.example/{k}", int(kind == "casino")) for kind in ("casino", "garden") for h in hosts for k in range(3)]
+    found = url_filter.held_out(labelled, threshold=0.5)
+    assert found == {"blocked": 24, "missed": 0, "blocked_wrongly": 0, "allowed": 24}
+    # One host alone is all that a fold may learn from, and it is held out.
+    alone = url_filter.held_out([("http://casino.example/1", 1), ("http://casino.example/2", 1), ("http://garden.example/", 0)])
+    assert sum(alone.values()) == 3 and alone["blocked"] == 0
+
+
 def test_forward_sums_all_segmentations():
     pieces = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4}
     p = np.array([[0.3, 0.2, 0.1, 0.25, 0.15, 1e-7]])
