@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import conversations, decontaminate, exact_dedup, html_text, jaccard_join, lang_id, line_dedup, packing, substring_dedup, token_output, url_filter
+from plumbline.llm import conversations, decontaminate, exact_dedup, html_text, jaccard_join, lang_id, line_dedup, packing, substring_dedup, token_output, url_filter, whitening
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_output": token_output.query,
     "op10_substring_dedup": line_dedup.query,
     "op12_conversation_repair": conversations.query,
+    "op13_embedding_whitening": whitening.query,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
