@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import conversations, decontaminate, exact_dedup, html_text, jaccard_join, lang_id, line_dedup, packing, substring_dedup, token_output, url_filter, whitening
+from plumbline.llm import conversations, decontaminate, exact_dedup, html_text, jaccard_join, lang_id, line_dedup, packing, substring_dedup, token_output, url_filter, warc, whitening
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": lang_id.query,
     "op9_token_output": token_output.query,
     "op10_substring_dedup": line_dedup.query,
+    "op11_warc": warc.query,
     "op12_conversation_repair": conversations.query,
     "op13_embedding_whitening": whitening.query,
 }
@@ -22,4 +23,5 @@ ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op4_decontamination": decontaminate.SQL,
     "op10_substring_dedup": line_dedup.SQL,
+    "op11_warc": warc.SQL,
 }
