@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.expressions import count_if, key_prefix, normal_key
+from plumbline.operators.quantiles import exact_medians, exact_quantiles
 
 
 def spelling_variants(df: DataFrame, column: str) -> DataFrame:
@@ -103,7 +104,8 @@ def coverage_against(df: DataFrame, declared: dict[str, float], tolerance: float
 
 
 def iqr_bounds(df: DataFrame, group: str, value: str, k: float = 1.5) -> DataFrame:
-    q = df.groupBy(group).agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"))
+    """(group, q1, q3, low, high); groups of any size, see ``quantiles``."""
+    q = exact_quantiles(df, group, value, {"q1": 0.25, "q3": 0.75})
     return q.withColumns({"low": F.col("q1") - k * (F.col("q3") - F.col("q1")), "high": F.col("q3") + k * (F.col("q3") - F.col("q1"))})
 
 
@@ -114,9 +116,9 @@ def iqr_outliers(df: DataFrame, group: str, value: str, k: float = 1.5) -> DataF
 
 def mad(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, median, mad): the median and the median distance from it."""
-    middle = df.groupBy(group).agg(F.median(value).alias("median"))
-    far = df.join(middle, group).withColumn("__d", F.abs(F.col(value) - F.col("median")))
-    return far.groupBy(group, "median").agg(F.median("__d").alias("mad"))
+    middle = exact_medians(df, group, value)
+    far = df.join(middle, group).select(group, F.abs(F.col(value) - F.col("median")).alias("__d"))
+    return middle.join(exact_medians(far, group, "__d", "mad"), group)
 
 
 def mad_outliers(df: DataFrame, group: str, value: str, k: float = 3.0) -> DataFrame:

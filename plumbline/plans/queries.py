@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import expressions as X
-from plumbline.operators import drift, evidence, extended, findings, grain, invariants, normalise, profile, reports, rules
+from plumbline.operators import drift, evidence, extended, findings, grain, invariants, normalise, profile, quantiles, reports, rules
 from plumbline.plans import checks
 from plumbline.plans.model import ROW, CleanupRule, ColumnRule, DateOrderRule, DedupRule, PhantomKeyRule, SnapshotRule, TableRules, actionable, latest_per, severity_rank
 from plumbline.sources import registry, results
@@ -900,6 +900,23 @@ def outlier_mad(spark, sf):
     return extended.mad_outliers(read(spark, sf, "events"), "event_type", "value").select("event_id", "event_type", "value")
 
 
+@query("SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1")
+def grouped_quartiles(spark, sf):
+    """Every group by rank refinement, whatever its size."""
+    return quantiles.exact_quantiles(read(spark, sf, "events"), "event_type", "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, whole_group=0)
+
+
+@query("SELECT event_type, count(value) AS rows, true AS within FROM events GROUP BY 1")
+def sketched_medians(spark, sf):
+    """Daily sketches merged: the estimate's rank is within twice the stated error of the middle."""
+    e = read(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    daily = quantiles.sketches(e.withColumn("k", F.struct("event_type", "day")), "k", "value").withColumn("event_type", F.col("k.event_type"))
+    found = quantiles.estimates(quantiles.merged(daily, "event_type"), {"median": 0.5}).drop("sketch")
+    below = e.join(found, "event_type").groupBy("event_type", "rows").agg(F.count_if(F.col("value") < F.col("median")).alias("below"), F.count_if(F.col("value") <= F.col("median")).alias("upto"))
+    room = 2 * quantiles.rank_error(quantiles.K) * F.col("rows") + 1
+    return below.select("event_type", "rows", ((F.col("below") <= F.col("rows") / 2 + room) & (F.col("upto") >= F.col("rows") / 2 - room)).alias("within"))
+
+
 @query("SELECT 'orders' AS table_name, CAST(count(*) AS DOUBLE) AS now, CAST(count(*) FILTER (WHERE o_orderkey % 2 = 0) AS DOUBLE) AS \"then\" FROM orders")
 def metric_drift(spark, sf):
     def metric(df, name):
