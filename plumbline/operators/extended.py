@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.expressions import count_if, key_prefix, normal_key
+from plumbline.operators import ranges
 from plumbline.operators.quantiles import exact_medians, exact_quantiles
 
 
@@ -90,10 +91,17 @@ def inconsistent_duration(df: DataFrame, duration: Column, start: Column, end: C
     return df.agg(count_if(both).alias("rows_scanned"), count_if(both & (duration != F.date_diff(end, start) + 1)).alias("violations"))
 
 
-def reversals(df: DataFrame, key: str, order_by: list[str], value: str) -> DataFrame:
-    """Rows whose cumulative value is below the one before it, with ``previous``."""
-    previous = F.lag(value).over(Window.partitionBy(key).orderBy(*order_by))
-    return df.withColumn("previous", previous).where(F.col(value) < F.col("previous"))
+def reversals(df: DataFrame, key: str, order_by: list[str], value: str, hot_rows: int = ranges.HOT_ROWS) -> DataFrame:
+    """Rows whose cumulative value is below the one before it, with ``previous``; rows of equal order go by value.
+
+    A key of more than ``hot_rows`` rows is compared range by range, in as many tasks as it fills.
+    """
+    hot, cold = ranges.hot_and_cold(df, key, hot_rows)
+    window = Window.partitionBy(key).orderBy(*[F.asc_nulls_first(c) for c in (*order_by, value)])
+    out = cold.withColumn("previous", F.lag(value).over(window))
+    if hot is not None:
+        out = out.unionByName(ranges.previous(hot, key, order_by, value, "previous"))
+    return out.where(F.col(value) < F.col("previous"))
 
 
 def coverage_against(df: DataFrame, declared: dict[str, float], tolerance: float = 0.01) -> DataFrame:

@@ -367,7 +367,15 @@ def supplier_intervals(spark, sf):
 WITH i AS (SELECT l_suppkey, l_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(max(l_shipdate) AS DATE) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL HAVING t <= s + 30)
 SELECT count(*) AS pairs, count(DISTINCT a.l_suppkey) AS resources FROM i a JOIN i b ON a.l_suppkey = b.l_suppkey AND a.l_orderkey < b.l_orderkey AND a.s <= b.t AND b.s <= a.t WHERE a.s <= a.t AND b.s <= b.t""")
 def interval_overlap(spark, sf):
-    return rules.overlap_summary(rules.interval_overlaps(supplier_intervals(spark, sf), "l_suppkey", "l_orderkey", "s", "t", bucket_days=31))
+    return rules.overlap_totals(rules.overlap_counts(supplier_intervals(spark, sf), "l_suppkey", "l_orderkey", "s", "t"))
+
+
+@query("""
+WITH i AS (SELECT l_suppkey, l_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(max(l_shipdate) AS DATE) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL HAVING t <= s + 30)
+SELECT a.l_suppkey AS resource, a.l_orderkey AS a, b.l_orderkey AS b FROM i a JOIN i b ON a.l_suppkey = b.l_suppkey AND a.l_orderkey < b.l_orderkey AND a.s <= b.t AND b.s <= a.t WHERE a.s <= a.t AND b.s <= b.t""")
+def interval_overlap_pairs(spark, sf):
+    """The pairs themselves, for a resource's report."""
+    return rules.interval_overlaps(supplier_intervals(spark, sf), "l_suppkey", "l_orderkey", "s", "t", bucket_days=31)
 
 
 @query("""
