@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.functions.expressions import count_if, number
 from plumbline.operators import ranges
+from plumbline.sources import scratch
 
 
 def missing_prerequisite(df: DataFrame, later: str, earlier: str) -> DataFrame:
@@ -70,26 +72,36 @@ def interval_overlaps(df: DataFrame, resource: str, entity: str, start: str, end
     return pairs.select(F.col("a.resource").alias("resource"), F.col("a.e").alias("a"), F.col("b.e").alias("b"))
 
 
-def overlap_counts(df: DataFrame, resource: str, entity: str, start: str, end: str, bucket_days: int = 31) -> DataFrame:
+def overlap_counts(df: DataFrame, resource: str, entity: str, start: str, end: str, bucket_days: int = 31, unit: str = "date") -> DataFrame:
     """(resource, pairs): pairs of entities whose closed intervals on one resource meet, counted by a sweep.
 
     Of n intervals, those pairs do not meet in which one ends before the other
-    starts: a running sum over the days, in ranges, counts them, and no pair is
-    listed. That holds for entities with one interval on the resource; pairs
+    starts: a running sum of ends counts them, and no pair is listed. With
+    ``unit`` date, ends are summed by day first, so a resource has no more rows
+    than days; with timestamp it may have as many as intervals, and the running
+    sum goes over ranges. That holds for entities with one interval on the resource; pairs
     with an entity that has several are listed once each, as intervals of one
     pair may meet more than once. Resources without a pair are left out.
     """
-    good = df.where(F.col(start) <= F.col(end)).select(F.col(resource).alias("resource"), F.col(entity).alias("e"), F.col(start).cast("date").alias("s"), F.col(end).cast("date").alias("t"))
-    good = good.where("resource IS NOT NULL AND e IS NOT NULL")
-    each = good.groupBy("resource", "e").agg(F.count("*").alias("n"), F.min("s").alias("s"), F.max("t").alias("t"))
+    good = df.where(F.col(start) <= F.col(end)).select(F.col(resource).alias("resource"), F.col(entity).alias("e"), F.col(start).cast(unit).alias("s"), F.col(end).cast(unit).alias("t"))
+    good = good.where("s <= t AND resource IS NOT NULL AND e IS NOT NULL")
+    # Written once: the sweep's ranges and the search for entities with several intervals read it.
+    each = scratch.written(good.groupBy("resource", "e").agg(F.count("*").alias("n"), F.min("s").alias("s"), F.max("t").alias("t")), "intervals")
     single, several = each.where("n = 1"), each.where("n > 1")
 
-    both = single.select("resource", F.inline(F.array(F.struct(F.col("s").alias("day"), F.lit(1).alias("starts"), F.lit(0).alias("ends")), F.struct(F.col("t").alias("day"), F.lit(0).alias("starts"), F.lit(1).alias("ends")))))
-    days = both.groupBy("resource", "day").agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
-    swept = ranges.running_before(days, "resource", "day", "ends", "ended").groupBy("resource").agg(F.sum("starts").alias("n"), F.sum(F.col("starts") * F.col("ended")).alias("apart"))
+    both = single.select("resource", F.inline(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("starts"), F.lit(0).alias("ends")), F.struct(F.col("t").alias("at"), F.lit(0).alias("starts"), F.lit(1).alias("ends")))))
+    events = both.groupBy("resource", "at").agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
+    if unit == "date":
+        earlier = Window.partitionBy("resource").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        events = events.withColumn("ended", F.coalesce(F.sum("ends").over(earlier), F.lit(0)))
+    else:
+        events = ranges.running_before(events, "resource", "at", "ends", "ended")
+    swept = events.groupBy("resource").agg(F.sum("starts").alias("n"), F.sum(F.col("starts") * F.col("ended")).alias("apart"))
     swept = swept.select("resource", (F.expr("n * (n - 1) div 2") - F.col("apart")).alias("pairs"))
 
-    day = lambda c: F.floor(F.unix_date(c) / bucket_days)
+    if several.isEmpty():
+        return swept.where("pairs > 0")
+    day = lambda c: F.floor(F.unix_date(c.cast("date")) / bucket_days)
     cut = good.withColumn("bucket", F.explode(F.sequence(day(F.col("s")), day(F.col("t")))))
     a, b = cut.join(several.select("resource", "e"), ["resource", "e"], "left_semi").alias("a"), cut.alias("b")
     meet = (F.col("a.e") != F.col("b.e")) & (F.col("a.s") <= F.col("b.t")) & (F.col("b.s") <= F.col("a.t")) & (day(F.greatest("a.s", "b.s")) == F.col("a.bucket"))

@@ -67,6 +67,15 @@ def test_overlaps_counted_as_listed(spark, several):
     assert tuple(rules.overlap_totals(rules.overlap_counts(df.where("false"), "r", "e", "s", "t")).first()) == (0, 0)
 
 
+@pytest.mark.parametrize("several", [False, True])
+def test_overlaps_by_the_second(spark, several):
+    df = intervals(spark, 9, several).selectExpr("r", "e", "CAST(s AS TIMESTAMP) + make_dt_interval(0, e % 24, e % 60, 7) AS s", "CAST(t AS TIMESTAMP) + make_dt_interval(0, e % 13) AS t")
+    rows = [r for r in df.collect() if r.r is not None and r.e is not None and r.s <= r.t]
+    pairs = {(a.r, a.e, b.e) for a in rows for b in rows if a.r == b.r and a.e < b.e and a.s <= b.t and b.s <= a.t}
+    want = {r: sum(p[0] == r for p in pairs) for r in {p[0] for p in pairs}}
+    assert {r.resource: r.pairs for r in rules.overlap_counts(df, "r", "e", "s", "t", unit="timestamp").collect()} == want
+
+
 def test_a_resource_with_a_million_intervals(spark):
     """Half a million million pairs, none of them listed: all meet but those a year apart."""
     n = 1_000_000
