@@ -7,9 +7,10 @@ rewrites is the one that is counted.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,13 +22,17 @@ from plumbline.plans.model import ACTION, CleanupRule, DedupRule, Grain, Phantom
 CLEANUPS = {"blank": "BLK-001", "sentinel": "SNT-001", "placeholder": "PLC-001"}
 
 
-def pin_snapshot(df: DataFrame, rule: SnapshotRule) -> DataFrame:
-    """Rows whose timestamp is the greatest of their partition; a null partition key or timestamp falls out."""
+def pin_snapshot(df: DataFrame, rule: SnapshotRule, source: DataFrame | None = None) -> DataFrame:
+    """Rows whose timestamp is the greatest of their partition; a null partition key or timestamp falls out.
+
+    ``source`` is the same table, where the greatest timestamps are read if ``df`` observes its rows.
+    """
+    source = df if source is None else source
     if not rule.partition_by:
-        top = df.agg(F.max(rule.timestamp).alias("__pin"))  # one row
+        top = source.agg(F.max(rule.timestamp).alias("__pin"))  # one row
         return df.join(F.broadcast(top), F.col(rule.timestamp) == F.col("__pin")).drop("__pin")
     keys = list(rule.partition_by)
-    top = df.groupBy(*keys).agg(F.max(rule.timestamp).alias("__pin"))
+    top = source.groupBy(*keys).agg(F.max(rule.timestamp).alias("__pin"))
     return df.join(top, keys).where(F.col(rule.timestamp) == F.col("__pin")).select(*df.columns)
 
 
@@ -124,18 +129,29 @@ def clean(df: DataFrame, rules: list[CleanupRule]) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def measure_cleanups(df: DataFrame, rules: list[CleanupRule]) -> DataFrame:
-    """(check_id, kind, column_name, hits, rows_any, rows_total) of every rule and column, from one scan."""
-    sums, cells = [F.count("*").alias("__n")], []
+def _cleanup_sums(rules: list[CleanupRule]) -> tuple[dict[str, Column], list[Column]]:
+    """The named sums that count every rule's hits, and the rows they become."""
+    sums, cells = {"__n": F.count("*")}, []
     for k, rule in enumerate(rules):
         any_ = F.lit(False)
         for column in rule.columns:
             any_ = any_ | hit(rule, column)
-        sums.append(count_if(any_).alias(f"__any{k}"))
+        sums[f"__any{k}"] = count_if(any_)
         for j, column in enumerate(rule.columns):
-            sums.append(count_if(hit(rule, column)).alias(f"__h{k}_{j}"))
+            sums[f"__h{k}_{j}"] = count_if(hit(rule, column))
             cells.append(F.struct(F.lit(CLEANUPS[rule.kind]).alias("check_id"), F.lit(rule.kind).alias("kind"), F.lit(column).alias("column_name"), F.col(f"__h{k}_{j}").alias("hits"), F.col(f"__any{k}").alias("rows_any"), F.col("__n").alias("rows_total")))
-    return df.agg(*sums).select(F.inline(F.array(*cells)))
+    return sums, cells
+
+
+def _cleanup_rows(sums: DataFrame, cells: list[Column]) -> DataFrame:
+    kind = "array<struct<check_id:string,kind:string,column_name:string,hits:bigint,rows_any:bigint,rows_total:bigint>>"
+    return sums.select(F.inline(F.array(*cells) if cells else F.array().cast(kind)))
+
+
+def measure_cleanups(df: DataFrame, rules: list[CleanupRule]) -> DataFrame:
+    """(check_id, kind, column_name, hits, rows_any, rows_total) of every rule and column, from one scan."""
+    sums, cells = _cleanup_sums(rules)
+    return _cleanup_rows(df.agg(*[c.alias(n) for n, c in sums.items()]), cells)
 
 
 def missing_columns(spark, inventory: DataFrame, required: list[tuple[str, str, str]]) -> DataFrame:
@@ -154,7 +170,7 @@ def resolve(df: DataFrame, names: tuple[str, ...]) -> list[str] | None:
 
 @dataclass
 class Normalised:
-    """A lazy cleaned table with what was done to it."""
+    """A lazy cleaned table with what was done to it, and what its rules name in vain."""
 
     name: str
     df: DataFrame
@@ -162,6 +178,8 @@ class Normalised:
     raw: DataFrame
     transforms: list[str]
     sampled: bool = False
+    missing: list[tuple[str, list[str]]] = field(default_factory=list)
+    rules: TableRules | None = None
 
     def at_grain(self) -> DataFrame:
         return at_grain(self.df, self.grain)
@@ -172,24 +190,101 @@ class Normalised:
         return raw.crossJoin(self.df.agg(F.count("*").alias("rows_effective"))).select(F.lit(self.name).alias("table_name"), "rows_raw", "rows_effective")  # one row each
 
 
-def build(df: DataFrame, rules: TableRules, sampled: bool = False) -> Normalised:
-    """Apply the table's rules in their order; a rule that names a missing column does not run."""
+def live_rules(df: DataFrame, rules: TableRules) -> tuple[TableRules, list[tuple[str, list[str]]]]:
+    """The rules as far as the table has their columns, in its own spelling, and (context, missing columns) of the rest.
+
+    A clean-up keeps the columns that are there; a snapshot keeps its
+    timestamp with those of its partition columns that are there; a dedup needs
+    all its keys and keeps the compared columns that are there; a phantom rule
+    needs its column.
+    """
+    have, missing = {c.lower(): c for c in df.columns}, []
+
+    def there(names: tuple[str, ...], context: str) -> tuple[str, ...]:
+        if gone := [n for n in names if n.lower() not in have]:
+            missing.append((context, gone))
+        return tuple(have[n.lower()] for n in names if n.lower() in have)
+
+    snapshot, dedup_rule = rules.snapshot, rules.dedup
+    if snapshot:
+        stamp, parts = there((snapshot.timestamp,), "snapshot"), there(snapshot.partition_by, "snapshot")
+        snapshot = replace(snapshot, timestamp=stamp[0], partition_by=parts) if stamp else None
+    phantoms = [replace(r, column=c) for r in rules.phantom for c in there((r.column,), "phantom key")]
+    if dedup_rule:
+        keys, compare = there(dedup_rule.keys, "dedup"), there(dedup_rule.compare, "dedup compare")
+        dedup_rule = replace(dedup_rule, keys=keys, compare=compare) if len(keys) == len(dedup_rule.keys) else None
+    cleanups = [replace(r, columns=kept) for r in rules.cleanups if (kept := there(r.columns, r.kind))]
+    return replace(rules, snapshot=snapshot, phantom=tuple(phantoms), dedup=dedup_rule, cleanups=tuple(cleanups)), missing
+
+
+def _rewritten(df: DataFrame, source: DataFrame, live: TableRules) -> tuple[DataFrame, list[str]]:
+    """``df`` after the rules, and what they did; ``source`` is the same table for side reads."""
     out, done = df, []
-    if rules.snapshot and resolve(df, (rules.snapshot.timestamp, *rules.snapshot.partition_by)):
-        out = pin_snapshot(out, rules.snapshot)
+    if live.snapshot:
+        out = pin_snapshot(out, live.snapshot, source)
         done.append("snapshot pin")
-    for phantom in rules.phantom:
-        if resolve(df, (phantom.column,)) and phantom.mode == "exclude":
-            out = apply_phantom(out, phantom)
-            done.append(f"phantom {phantom.column}")
-    if rules.dedup and resolve(df, rules.dedup.keys) and rules.dedup.mode != "exact_only":
-        out = dedup(out, rules.dedup)
-        done.append(f"dedup {rules.dedup.mode}")
-    live = [r for r in rules.cleanups if resolve(df, r.columns)]
-    if live:
-        out = clean(out, live)
-        done += [f"clean {r.kind}" for r in live]
-    return Normalised(rules.name, out, rules.grain, df, done, sampled)
+    for rule in live.phantom:
+        if rule.mode == "exclude":
+            out = apply_phantom(out, rule)
+            done.append(f"phantom {rule.column}")
+    if live.dedup and live.dedup.mode != "exact_only":
+        out = dedup(out, live.dedup)
+        done.append(f"dedup {live.dedup.mode}")
+    if live.cleanups:
+        out = clean(out, list(live.cleanups))
+        done += [f"clean {r.kind}" for r in live.cleanups]
+    return out, done
+
+
+def build(df: DataFrame, rules: TableRules, sampled: bool = False) -> Normalised:
+    """Apply the table's rules in their order, as far as it has their columns; ``missing`` says what they lack."""
+    live, missing = live_rules(df, rules)
+    out, done = _rewritten(df, df, live)
+    return Normalised(rules.name, out, rules.grain, df, done, sampled, missing, live)
+
+
+def missing_of(spark, built: dict[str, Normalised]) -> DataFrame:
+    """CFG-001: (table_name, context, missing, rows_read) of all built tables' rules; ``rows_read`` rows were read without the rule."""
+    rows = [(b.name, context, names) for b in built.values() for context, names in b.missing]
+    asked = spark.createDataFrame(rows, "table_name string, context string, missing array<string>")
+    counts = [b.raw.agg(F.count("*").alias("rows_read")).select(F.lit(b.name).alias("of"), "rows_read") for b in built.values() if b.missing]
+    if not counts:
+        return asked.withColumn("rows_read", F.lit(0).cast("bigint"))
+    found = reduce(DataFrame.union, counts)
+    return asked.join(F.broadcast(found), F.col("table_name") == F.col("of")).drop("of")  # one row a declared table
+
+
+@dataclass
+class Written:
+    """A cleaned table as written, with the figures of the write."""
+
+    df: DataFrame
+    counts: dict[str, int]
+    cleanups: DataFrame
+    observed: bool
+
+
+def write_measured(built: Normalised, path: str) -> Written:
+    """Write the cleaned table; its counts and its clean-ups' hits come out of the same pass.
+
+    The figures are observed where the raw rows enter and where the cleaned
+    ones leave. A stage that runs again after a lost executor may count its
+    rows twice, so the two row counts are held against the files' own (footers
+    only); if they differ, the clean-ups are measured by a scan of their own.
+    """
+    spark, live = built.raw.sparkSession, built.rules
+    sums, cells = _cleanup_sums(list(live.cleanups))
+    raw, effective = Observation("raw"), Observation("effective")
+    seen = built.raw.observe(raw, *[c.alias(n) for n, c in sums.items()])
+    out, _ = _rewritten(seen, built.raw, live)
+    out.observe(effective, F.count("*").alias("rows_effective")).write.mode("overwrite").parquet(path)
+    written = spark.read.schema(out.schema).parquet(path)
+    figures = {"rows_raw": int(raw.get["__n"]), "rows_effective": int(effective.get["rows_effective"])}
+    files = {"rows_raw": built.raw.count(), "rows_effective": written.count()}
+    if figures != files:
+        return Written(written, files, measure_cleanups(built.raw, list(live.cleanups)), False)
+    one = spark.createDataFrame([tuple(int(raw.get[n]) for n in sums)], ", ".join(f"`{n}` bigint" for n in sums))
+    return Written(written, figures, _cleanup_rows(one, cells), True)
 
 
 def build_all(tables: dict[str, DataFrame], rules: list[TableRules], allowed=lambda name: True) -> tuple[dict[str, Normalised], list[tuple[str, str]]]:

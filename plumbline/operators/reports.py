@@ -62,8 +62,9 @@ def cleanups(measured: DataFrame, table: str, severity: dict[str, str] | None =
 
 
 def missing_columns(found: DataFrame) -> DataFrame:
-    """From ``normalise.missing_columns``: CFG-001 for each rule that names columns its table lacks."""
-    return finding(found, "CFG-001", "high", "risk", text(F.col("table_name"), ": the ", F.col("context"), " rule names columns that are not there and did not run"), F.col("table_name"), F.size("missing"), evidence=F.to_json(F.struct("context", "missing")))
+    """From ``normalise.missing_columns`` or ``missing_of``: CFG-001 for each rule that names columns its table lacks."""
+    told = F.struct(*[c for c in ("context", "missing", "rows_read") if c in found.columns])
+    return finding(found, "CFG-001", "high", "risk", text(F.col("table_name"), ": the ", F.col("context"), " rule names columns that are not there and did not run on them"), F.col("table_name"), F.size("missing"), evidence=F.to_json(told))
 
 
 def failed_tables(spark: SparkSession, failed: list[tuple[str, str]]) -> DataFrame:

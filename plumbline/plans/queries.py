@@ -6,6 +6,7 @@ derives the same.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from plumbline.functions import expressions as X
 from plumbline.operators import drift, evidence, extended, findings, grain, invariants, normalise, profile, quantiles, reports, rules
 from plumbline.plans import checks
-from plumbline.plans.model import ROW, CleanupRule, ColumnRule, DateOrderRule, DedupRule, PhantomKeyRule, SnapshotRule, TableRules, actionable, latest_per, severity_rank
-from plumbline.sources import registry, results
+from plumbline.plans.model import FINDING, ROW, CleanupRule, ColumnRule, DateOrderRule, DedupRule, PhantomKeyRule, SnapshotRule, TableRules, actionable, latest_per, severity_rank
+from plumbline.sources import registry, results, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -195,13 +196,47 @@ def normalisation_summary(spark, sf):
     return normalise.action_summary(reduce(DataFrame.union, [b.counts() for b in built]))
 
 
-@query("SELECT * FROM (VALUES ('orders', 'clean-up', 'no_such_column'), ('events', 'dedup', 'gone')) t(table_name, context, missing) WHERE EXISTS (SELECT 1 FROM orders)")
+def misdeclared(spark, sf):
+    """Rules of two tables, some of which name columns that are not there."""
+    orders = TableRules("orders", cleanups=(CleanupRule("blank", ("ST", "no_such_column")), CleanupRule("sentinel", ("gone",), ("N/A",))), phantom=(PhantomKeyRule("o_orderkey", (-1,), "exclude"),))
+    events = TableRules("events", dedup=DedupRule(("User_Id", "event_type"), ("ts desc", "event_id desc"), compare=("value", "lost")), snapshot=SnapshotRule("TS", ("event_type", "region")))
+    return normalise.build_all({"orders": dirty_orders(spark, sf), "events": read(spark, sf, "events")}, [orders, events])[0]
+
+
+MISDECLARED = """(
+  SELECT 'orders' AS table_name, 'blank' AS context, 'no_such_column' AS missing, count(*) AS rows_read FROM orders UNION ALL SELECT 'orders', 'sentinel', 'gone', count(*) FROM orders
+  UNION ALL SELECT 'events', 'snapshot', 'region', count(*) FROM events UNION ALL SELECT 'events', 'dedup compare', 'lost', count(*) FROM events)"""
+
+
+@query(f"SELECT * FROM {MISDECLARED}")
 def config_missing_columns(spark, sf):
-    have = registry.inventory(spark, {t: read(spark, sf, t) for t in ("orders", "events")})
-    asked = [("orders", "O_ORDERKEY", "clean-up"), ("orders", "no_such_column", "clean-up"), ("events", "TS", "dedup"), ("events", "gone", "dedup")]
-    # Only tables that hold rows are reported.
-    live = registry.row_counts({t: read(spark, sf, t) for t in ("orders", "events")}).where("row_count > 0")
-    return normalise.missing_columns(spark, have, asked).join(live.select("table_name"), "table_name", "left_semi").withColumn("missing", F.array_join("missing", ", "))
+    """What building the tables found their rules to name in vain, with the rows read without them."""
+    return normalise.missing_of(spark, misdeclared(spark, sf)).withColumn("missing", F.array_join("missing", ", "))
+
+
+@query("""
+WITH pinned AS (SELECT * FROM events JOIN (SELECT event_type, max(ts) AS m FROM events GROUP BY 1) USING (event_type) WHERE ts = m)
+SELECT 'events' AS table_name, (SELECT count(*) FROM events) AS rows_raw, (SELECT count(DISTINCT (user_id, event_type)) FROM pinned) AS rows_effective
+UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders)""")
+def misdeclared_counts(spark, sf):
+    """The rules do what they can: the snapshot is pinned by the column that is there, blanks go where a column is."""
+    return reduce(DataFrame.union, [b.counts() for b in misdeclared(spark, sf).values()])
+
+
+@query(f"""
+SELECT 'rows_raw' AS figure, count(*) AS n FROM {DIRTY} UNION ALL SELECT 'rows_effective', count(*) FROM {DIRTY} WHERE o_orderkey % 5 <> 0
+UNION ALL SELECT 'blank st', count(*) FILTER (WHERE trim(st) = '') FROM {DIRTY}
+UNION ALL SELECT 'sentinel st', count(*) FILTER (WHERE upper(trim(st)) IN ('N/A', 'UNKNOWN')) FROM {DIRTY}
+UNION ALL SELECT 'placeholder d', count(*) FILTER (WHERE d IN (DATE '1900-01-01', DATE '1899-12-30')) FROM {DIRTY}
+UNION ALL SELECT 'null st written', count(*) FILTER (WHERE st IS NULL) FROM {CLEAN} WHERE o_orderkey % 5 <> 0""")
+def measured_write(spark, sf):
+    """One pass writes the cleaned table and yields its counts and hits."""
+    dirty = dirty_orders(spark, sf).withColumn("junk", F.when(F.col("o_orderkey") % 5 == 0, 0))
+    built = normalise.build(dirty, TableRules("orders", phantom=(PhantomKeyRule("junk", (0,), "exclude"),), cleanups=tuple(CLEANUPS)))
+    out = normalise.write_measured(built, f"{scratch.folder(spark)}/measured-write-{uuid.uuid4().hex}")
+    rows = spark.createDataFrame(list(out.counts.items()), "figure string, n bigint")
+    hits = out.cleanups.select(F.concat_ws(" ", "kind", "column_name").alias("figure"), F.col("hits").alias("n"))
+    return rows.union(hits).union(out.df.agg(F.count_if(F.col("st").isNull()).alias("n")).select(F.lit("null st written"), "n"))
 
 
 # Invariants.
@@ -987,12 +1022,15 @@ def cleanup_apply_any_case(spark, sf):
     return normalise.build(dirty_orders(spark, sf), TableRules("orders", cleanups=tuple(shouted))).df.select("o_orderkey", "d", "st")
 
 
-@query("SELECT 'CFG-001' AS check_id, 'high' AS severity, 'risk' AS finding_class, 'orders' AS entity_id, CAST(2 AS BIGINT) AS affected_count WHERE EXISTS (SELECT 1 FROM orders)")
+ALL_COLUMNS = [f.name for f in FINDING]
+
+
+@query(f"""
+SELECT 'CFG-001' AS check_id, 'CFG' AS family, 'high' AS severity, 'risk' AS finding_class, table_name || ': the ' || context || ' rule names columns that are not there and did not run on them' AS title,
+       'table' AS entity_type, table_name AS entity_id, CAST(1 AS BIGINT) AS affected_count, 'aggregate' AS grain, 'NONE' AS baseline, false AS sampled,
+       '{{"context":"' || context || '","missing":["' || missing || '"],"rows_read":' || rows_read || '}}' AS evidence FROM {MISDECLARED}""")
 def finding_missing_columns(spark, sf):
-    live = registry.row_counts({"orders": read(spark, sf, "orders")}).where("row_count > 0")
-    have = registry.inventory(spark, {"orders": read(spark, sf, "orders")})
-    found = normalise.missing_columns(spark, have, [("orders", c, "clean-up") for c in ("O_ORDERKEY", "nope", "gone")])
-    return reports.missing_columns(found.join(live.select("table_name"), "table_name", "left_semi")).select(*SHOWN)
+    return reports.missing_columns(normalise.missing_of(spark, misdeclared(spark, sf))).select(*ALL_COLUMNS)
 
 
 @query("SELECT 'CFG-002' AS check_id, 'high' AS severity, 'risk' AS finding_class, 'events' AS entity_id, CAST(0 AS BIGINT) AS affected_count WHERE EXISTS (SELECT 1 FROM events)")
