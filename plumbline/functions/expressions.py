@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -102,16 +103,72 @@ def _plain(value: Column) -> Column:
 
 def variants(numbers: Column) -> Column:
     """Each number token with its roundings to 0 .. 6 places."""
-    plain = F.filter(F.transform(numbers, lambda x: F.rtrim(x, F.lit("%")).try_cast("decimal(32,10)")), lambda x: x.isNotNull())
-    rounded = F.transform(plain, lambda x: F.array(*[_plain(F.bround(x, d)) for d in range(7)]))
+    plain = F.filter(F.transform(numbers, number_of), lambda x: x.isNotNull())
+    rounded = F.transform(plain, lambda x: F.array(*[_plain(F.bround(x, d)) for d in range(MOST_PLACES + 1)]))
     return F.array_distinct(F.concat(numbers, F.flatten(rounded)))
 
 
+#: Places after the decimal point up to which a rounding is recognised.
+MOST_PLACES = 6
+
+
+def bare(token: Column) -> Column:
+    return F.rtrim(token, F.lit("%"))
+
+
+def number_of(token: Column) -> Column:
+    """A number token's value; null beyond 22 digits before the point."""
+    return bare(token).try_cast("decimal(32,10)")
+
+
+def places(token: Column) -> Column:
+    """Digits after the decimal point of a number token."""
+    point = F.instr(bare(token), ".")
+    return F.when(point > 0, F.length(bare(token)) - point).otherwise(0)
+
+
+def is_rounding(token: Column) -> Column:
+    """Whether a token is written as a rounding is: at most six places, no zeros that say nothing."""
+    plain, d = bare(token), places(token)
+    text = plain.try_cast(f"decimal(38,{MOST_PLACES})").cast("string")  # always with six places
+    kept = F.substring(text, F.lit(1), F.length(text) - F.when(d == 0, MOST_PLACES + 1).otherwise(MOST_PLACES - d))
+    return F.coalesce((d <= MOST_PLACES) & (kept == plain) & ((d == 0) | (F.right(plain, F.lit(1)) != "0")), F.lit(False))
+
+
+def rounding_interval(token: Column) -> tuple[Column, Column, Column]:
+    """(low, high, closed): the values that round half-even to the token at its own places; the ends belong to it if its last digit is even."""
+    half = reduce(lambda out, d: F.when(places(token) == d, F.lit(f"0.{'0' * d}5").cast("decimal(32,10)")).otherwise(out), range(MOST_PLACES + 1), F.lit(None).cast("decimal(32,10)"))
+    value = number_of(token)
+    return (value - half).cast("decimal(32,10)"), (value + half).cast("decimal(32,10)"), F.right(bare(token), F.lit(1)).isin("0", "2", "4", "6", "8")
+
+
+#: Values up to which a sorted array is looked through one by one.
+FEW = 16
+
+
+def any_between(values: Column, low: Column, high: Column, closed: Column) -> Column:
+    """Whether a sorted array has a value from ``low`` to ``high`` (ends only if ``closed``): one by one in a short array, else by binary search."""
+    inside = lambda x: F.when(closed, (x >= low) & (x <= high)).otherwise((x > low) & (x < high))
+    # The number of values below the interval is narrowed to [a, b] with b - a halved each step.
+    start = F.struct(F.lit(0).alias("a"), F.size(values).alias("b"))
+
+    def step(span: Column, _: Column) -> Column:
+        a, b = span["a"], span["b"]
+        middle = F.floor((a + b) / 2).cast("int")
+        x = F.get(values, middle)
+        below = F.when(closed, x < low).otherwise(x <= low)
+        return F.when(a >= b, span).when(below, F.struct((middle + 1).alias("a"), b.alias("b"))).otherwise(F.struct(a.alias("a"), middle.alias("b")))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(values) + 1)).cast("int") + 1)
+    found = F.get(values, F.reduce(steps, start, step)["a"])
+    return F.when(F.size(values) <= FEW, F.exists(values, inside)).otherwise(F.coalesce(inside(found), F.lit(False)))
+
+
 def date_parts(text: Column) -> Column:
     """Year, month and day of each ISO date in a text, with and without leading zeros."""
     dates = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ISO_DATE), F.lit(0))
-    parts = F.flatten(F.transform(dates, lambda d: F.split(d, "-")))
-    return F.array_distinct(F.concat(parts, F.transform(parts, lambda x: F.regexp_replace(x, r"^0+(?=\d)", ""))))
+    parts = F.flatten(F.transform(dates, lambda d: F.array(F.substring(d, 1, 4), F.substring(d, 6, 2), F.substring(d, 9, 2))))
+    return F.array_distinct(F.concat(parts, F.transform(parts, lambda x: x.cast("int").cast("string"))))
 
 
 def fingerprint(*columns: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.expressions import date_parts, fingerprint, numbers_in, variants
+from plumbline.functions.expressions import MOST_PLACES, any_between, bare, date_parts, fingerprint, is_rounding, number_of, numbers_in, places, rounding_interval
 
 # Phrases that claim an early finish is a fault.
 EARLY_PHRASES = ("earlier than", "ahead of schedule", "acceleration", "accelerat", "sooner than", "before its expected", "before the expected", "before its target", "before the target")
@@ -15,25 +17,50 @@ EARLY_PHRASES = ("earlier than", "ahead of schedule", "acceleration", "accelerat
 def validate(df: DataFrame, statements: list[str], source: str) -> DataFrame:
     """``df`` with unsupported (number tokens of the statements that the source does not hold, round or name as part of a date) and ok.
 
-    Each step is a projection of its own and is read more than once by the
-    next, so that Spark works it out once a row and not once a token.
+    A token with d places is a rounding of every source value in its rounding
+    interval (half-even), so the source's sorted values are searched and no
+    rounding is ever written out. Each step is a projection of its own and is
+    read more than once by the next, so that Spark works it out once a row and
+    not once a token.
     """
     out = df.withColumns({"__used": numbers_in(F.concat_ws(" ", *statements)), "__known": numbers_in(F.col(source)), "__dates": date_parts(F.col(source))})
-    # Most tokens are in the source as they stand; only the others need its roundings.
+    # Most tokens are in the source as they stand; only the others are looked at as numbers.
     out = out.withColumn("__odd", F.array_except("__used", F.array_union("__known", "__dates")))
-    either = F.array_union(variants(F.col("__known")), F.col("__dates"))
-    either = F.transform(F.array_union(either, F.col("__known")), lambda x: F.rtrim(x, F.lit("%")))
-    out = out.withColumn("__bare", F.when(F.size("__odd") > 0, either).otherwise(F.array().cast("array<string>")))
-    bad = F.filter("__odd", lambda x: ~F.array_contains(F.col("__bare"), F.rtrim(x, F.lit("%"))))
-    return out.withColumn("unsupported", bad).withColumn("ok", F.size("unsupported") == 0).drop("__used", "__known", "__dates", "__odd", "__bare")
+    some = F.size("__odd") > 0
+    texts = F.transform(F.array_union("__known", "__dates"), bare)
+    values = F.array_sort(F.filter(F.transform("__known", number_of), lambda x: x.isNotNull()))
+
+    def token(x: Column) -> Column:
+        low, high, closed = rounding_interval(x)
+        return F.struct(x.alias("text"), bare(x).alias("bare"), is_rounding(x).alias("rounding"), low.alias("low"), high.alias("high"), closed.alias("closed"))
+
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+    out = out.withColumns({"__bare": F.when(some, texts).otherwise(empty("string")), "__values": F.when(some, values).otherwise(empty("decimal(32,10)")), "__tokens": F.transform("__odd", token)})
+
+    def supported(t: Column) -> Column:
+        return F.array_contains("__bare", t["bare"]) | (t["rounding"] & F.coalesce(any_between(F.col("__values"), t["low"], t["high"], t["closed"]), F.lit(False)))
+
+    # Named again in the last step, so that the arrays are made once a row.
+    bad = F.when(F.size("__bare") + F.size("__tokens") == 0, empty("string")).otherwise(F.transform(F.filter("__tokens", lambda t: ~supported(t)), lambda t: t["text"]))
+    return out.withColumn("unsupported", bad).withColumn("ok", F.size("unsupported") == 0).drop("__used", "__known", "__dates", "__odd", "__bare", "__values", "__tokens")
 
 
 def validate_groups(groups: DataFrame, members: DataFrame, group: str, statement: str, source: str) -> DataFrame:
-    """Each group's statement against the numbers of all its members' sources."""
-    numbers = members.select(group, F.explode(F.array_union(variants(numbers_in(F.col(source))), date_parts(F.col(source)))).alias("x")).distinct()
+    """Each group's statement against the numbers of all its members' sources.
+
+    Tokens meet the sources' tokens by their text, then the values by equality
+    at the token's own places: a source value is rounded only to the places
+    that its group's tokens have.
+    """
     used = groups.select(group, F.explode(numbers_in(F.col(statement))).alias("token"))
-    bare = numbers.select(group, F.rtrim("x", F.lit("%")).alias("bare")).distinct()
-    missing = used.withColumn("bare", F.rtrim("token", F.lit("%"))).join(bare, [group, "bare"], "left_anti")
+    sources = members.select(group, F.explode(F.array_union(numbers_in(F.col(source)), date_parts(F.col(source)))).alias("x")).distinct()
+    left = used.withColumn("bare", bare(F.col("token"))).join(sources.select(group, bare(F.col("x")).alias("bare")).distinct(), [group, "bare"], "left_anti")
+    asked = left.where(is_rounding(F.col("token"))).select(group, "token", places(F.col("token")).alias("d"), number_of(F.col("token")).alias("v"))
+    known = members.select(group, F.explode(numbers_in(F.col(source))).alias("x")).select(group, number_of(F.col("x")).alias("v")).where("v IS NOT NULL").distinct()
+    at = reduce(lambda out, d: F.when(F.col("d") == d, F.bround("v", d).cast("decimal(32,10)")).otherwise(out), range(MOST_PLACES + 1), F.lit(None).cast("decimal(32,10)"))
+    rounded = known.join(asked.select(group, "d").distinct(), group).select(group, "d", at.alias("v")).distinct()
+    held = asked.join(rounded, [group, "d", "v"], "left_semi").select(group, "token")
+    missing = left.select(group, "token").join(held, [group, "token"], "left_anti")
     found = missing.groupBy(group).agg(F.array_sort(F.collect_set("token")).alias("unsupported"))
     out = groups.join(found, group, "left")
     return out.withColumn("ok", F.col("unsupported").isNull())
