@@ -98,7 +98,7 @@ def coverage(row_counts: DataFrame, declared: DataFrame) -> DataFrame:
 def dead_columns(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
     """(table_name, column_name, rows_total) of columns that are null on every row, from one full scan; none for an empty table."""
     names = columns or df.columns
-    counted = df.agg(F.count("*").alias("__n"), *[F.count(F.col(c)).alias(f"__c{k}") for k, c in enumerate(names)])
+    counted = df.agg(F.count("*").alias("__n"), *[F.count(F.col(f"`{c}`")).alias(f"__c{k}") for k, c in enumerate(names)])
     cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"__c{k}").alias("filled"), F.col("__n").alias("rows_total")) for k, c in enumerate(names)]
     out = counted.select(F.inline(F.array(*cells))).where("filled = 0 AND rows_total > 0")
     return out.select(F.lit(name).alias("table_name"), "column_name", "rows_total")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,11 @@ MEASURE = "check_id string, kind string, rows_scanned bigint, violations bigint,
 
 @dataclass(frozen=True)
 class Invariant:
-    """One rule as the condition that rows are in scope and the condition that they break it."""
+    """One rule as the condition that rows are in scope and the condition that they break it.
+
+    A rule on one stored column states it with its bounds as numbers
+    (microseconds for dates), for measuring by statistics.
+    """
 
     check_id: str
     kind: str
@@ -25,6 +30,9 @@ class Invariant:
     non_numeric: Column | None = None
     lowest: Column | None = None
     highest: Column | None = None
+    column: str | None = None
+    low: float | None = None
+    high: float | None = None
 
 
 def date_order(rule: DateOrderRule) -> Invariant:
@@ -37,7 +45,7 @@ def date_order(rule: DateOrderRule) -> Invariant:
 def future_date(check_id: str, column: str, as_of: str) -> Invariant:
     """A date later than midnight of the as-of day."""
     c = F.col(column)
-    return Invariant(check_id, "future_date", c.isNotNull(), c > F.lit(as_of).cast("timestamp_ntz"), highest=c.cast("date"))
+    return Invariant(check_id, "future_date", c.isNotNull(), c > F.lit(as_of).cast("timestamp_ntz"), highest=c.cast("date"), column=column, high=(dt.datetime.fromisoformat(as_of) - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1))
 
 
 def in_range(check_id: str, column: str, low: float | None, high: float | None, numeric: bool) -> Invariant:
@@ -51,7 +59,8 @@ def in_range(check_id: str, column: str, low: float | None, high: float | None,
         bad = bad | (v > high)
     text = F.lit(False) if numeric else c.isNotNull() & v.isNull()
     kind = "range" if high is not None else "minimum"
-    return Invariant(check_id, kind, c.isNotNull(), F.coalesce(bad, F.lit(False)) | text, text, v, v)
+    stored = {"column": column, "low": low, "high": high} if numeric else {}
+    return Invariant(check_id, kind, c.isNotNull(), F.coalesce(bad, F.lit(False)) | text, text, v, v, **stored)
 
 
 def generate(df: DataFrame, columns: list[ColumnRule], orders: list[DateOrderRule], as_of: str, prefix: str = "") -> list[Invariant]:

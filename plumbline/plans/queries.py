@@ -17,7 +17,7 @@ from plumbline.functions import expressions as X
 from plumbline.operators import drift, evidence, extended, findings, grain, invariants, normalise, profile, quantiles, reports, rules
 from plumbline.plans import checks
 from plumbline.plans.model import FINDING, ROW, CleanupRule, ColumnRule, DateOrderRule, DedupRule, PhantomKeyRule, SnapshotRule, TableRules, actionable, latest_per, severity_rank
-from plumbline.sources import registry, results, scratch
+from plumbline.sources import footers, registry, results, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -574,6 +574,25 @@ def table_coverage(spark, sf):
     return drift.coverage(registry.row_counts(registry.parquet(spark, sf)), declared)
 
 
+@query("SELECT 'orders' AS table_name, 'note' AS column_name, count(*) AS rows_total FROM orders HAVING count(*) > 0")
+def dead_columns_by_footers(spark, sf):
+    """The same from the statistics in the files' footers."""
+    path = f"{scratch.folder(spark)}/footers-{uuid.uuid4().hex}"
+    read(spark, sf, "orders").withColumn("note", F.when(F.col("o_orderkey") < 0, F.lit("x"))).write.parquet(path)
+    return footers.dead_columns(spark, path, "orders")
+
+
+@query("""
+SELECT 'RNG-q' AS check_id, count(*) AS rows_scanned, count(*) FILTER (WHERE l_linenumber > 5) AS violations FROM lineitem
+UNION ALL SELECT 'MIN-k', count(*), count(*) FILTER (WHERE l_orderkey < 0) FROM lineitem
+UNION ALL SELECT 'FUT-s', count(*), count(*) FILTER (WHERE l_shipdate > TIMESTAMP '2001-08-01') FROM lineitem
+UNION ALL SELECT 'RNG-d', count(*), count(*) FILTER (WHERE l_discount > 0.08) FROM lineitem""")
+def bounds_by_footers(spark, sf):
+    """Bounds held against statistics first; only files beyond them are read, and floats are scanned."""
+    rules_ = [invariants.in_range("RNG-q", "l_linenumber", 0, 5, True), invariants.in_range("MIN-k", "l_orderkey", 0, None, True), invariants.future_date("FUT-s", "l_shipdate", "2001-08-01"), invariants.in_range("RNG-d", "l_discount", 0, 0.08, True)]
+    return footers.measure(spark, f"{sf}/lineitem.parquet", rules_).select("check_id", "rows_scanned", "violations")
+
+
 @query("SELECT 'orders' AS table_name, 'note' AS column_name, count(*) AS rows_total FROM orders HAVING count(*) > 0")
 def dead_columns(spark, sf):
     o = read(spark, sf, "orders").withColumn("note", F.when(F.col("o_orderkey") < 0, F.lit("x")))
