@@ -574,6 +574,41 @@ def table_coverage(spark, sf):
     return drift.coverage(registry.row_counts(registry.parquet(spark, sf)), declared)
 
 
+@query("SELECT count(*) AS rows_total, count(*) FILTER (WHERE l_returnflag = 'R') AS hits_total, true AS within, true AS files_unread FROM lineitem")
+def block_sampled_count(spark, sf):
+    """A count estimated from some of a table's files, with the bound it states."""
+    path, lines = f"{scratch.folder(spark)}/blocks-{uuid.uuid4().hex}", read(spark, sf, "lineitem")
+    lines.select("l_orderkey", "l_linenumber", "l_returnflag").repartition(40, "l_orderkey").write.parquet(path)
+    sample = registry.block_sample(spark, path, percent=25, seed=3)
+    hit = F.col("l_returnflag") == "R"
+    truth = lines.agg(F.count("*").alias("rows_total"), F.count_if(hit).alias("hits_total"))
+    both = truth.crossJoin(F.broadcast(sample.estimate(hit, z=4.0)))  # one row each
+    return both.select("rows_total", "hits_total", F.col("hits_total").between(F.col("low"), F.col("high")).alias("within"), F.lit(sample.files_read < sample.files_total).alias("files_unread"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS rows, count({c}) AS filled, true AS within FROM documents" for c in ("doc_id", "text", "lang", "source")))
+def kept_profile(spark, sf):
+    """Profiles kept by part and merged: the last part costs its own scan only; distinct counts are within three standard errors."""
+    docs, path = read(spark, sf, "documents").select("doc_id", "text", "lang", "source"), f"{scratch.folder(spark)}/profile-{uuid.uuid4().hex}"
+    for part in range(3):
+        profile.keep_profile(docs.where(F.col("doc_id") % 3 == part), path, str(part))
+    found = profile.merged_profile(spark.read.parquet(path))
+    exact = profile.describe_table(docs).select("column_name", F.col("distinct_values").alias("exact"))
+    room = 3 * profile.distinct_error()
+    return found.join(exact, "column_name").select("column_name", "rows", "filled", (F.abs(F.col("distinct_values") - F.col("exact")) <= F.greatest(F.lit(1.0), room * F.col("exact"))).alias("within"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 97 = 0 THEN 'new' ELSE c_mktsegment END AS segment FROM customer UNION ALL SELECT -1 - c_custkey, 'added' FROM customer WHERE c_custkey % 97 = 1")
+def keyed_upsert(spark, sf):
+    """A table laid out by key; an upsert rewrites the buckets it touches."""
+    path, old = f"{scratch.folder(spark)}/keyed-{uuid.uuid4().hex}", read(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    results.write_keyed(old, path, ["c_custkey"], 16)
+    key = F.col("c_custkey")
+    new = old.where(key % 97 == 0).withColumn("segment", F.lit("new")).union(old.where(key % 97 == 1).select(-1 - key, F.lit("added")))
+    results.upsert_keyed(new, path, ["c_custkey"], 16)
+    return results.read_keyed(spark, path)
+
+
 @query("SELECT 'orders' AS table_name, 'note' AS column_name, count(*) AS rows_total FROM orders HAVING count(*) > 0")
 def dead_columns_by_footers(spark, sf):
     """The same from the statistics in the files' footers."""

@@ -21,6 +21,40 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.where("__rn = 1").drop("__rn", "__new")
 
 
+#: Buckets of a keyed result table.
+BUCKETS = 64
+
+
+def _bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int"))
+
+
+def write_keyed(df: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
+    """Write a result table laid out by a hash of its keys, one folder a bucket."""
+    rows = upsert(df.where("false"), df, keys)
+    _bucketed(rows, keys, buckets).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
+
+
+def upsert_keyed(new: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> list[int]:
+    """Upsert into a table that ``write_keyed`` wrote; only the buckets that ``new`` touches are read and rewritten, and returned.
+
+    ``buckets`` is the number the table was written with.
+    """
+    spark = new.sparkSession
+    marked = _bucketed(new, keys, buckets)
+    touched = sorted(r.bucket for r in marked.select("bucket").distinct().collect())  # no more than there are buckets
+    if not touched:
+        return []
+    old = spark.read.schema(marked.schema).parquet(path).where(F.col("bucket").isin(touched))
+    rows = upsert(old, marked, ["bucket", *keys])
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return touched
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
 def replace_run(df: DataFrame, path: str, run_id: str) -> None:
     """Write a run's rows, replacing what that run wrote before and nothing else."""
     out = df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
