@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators.reports import finding, text
+
 
 def column_fingerprints(inventory: DataFrame) -> DataFrame:
     """The inventory with ``fp``: type, nullability and length; the position does not count."""
@@ -58,17 +60,31 @@ def table_diff(changes: DataFrame, current: DataFrame, earlier: DataFrame) -> Da
     return gone.union(new)
 
 
-# Severity and class of each kind of change.
-DRIFT = {"added": ("info", "design"), "removed": ("medium", "risk"), "changed": ("high", "risk")}
-
-
-def drift_findings(changes: DataFrame, shown: int = 8) -> DataFrame:
-    """One PIP-007 finding for each table and kind of change, naming the first columns."""
-    out = changes.groupBy("table_name", "change").agg(F.count("*").alias("affected_count"), F.array_sort(F.collect_list("column_name")).alias("cols"))
-    severity, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for change, (s, k) in DRIFT.items():
-        severity, kind = F.when(F.col("change") == change, s).otherwise(severity), F.when(F.col("change") == change, k).otherwise(kind)
-    return out.select(F.lit("PIP-007").alias("check_id"), "table_name", "change", severity.alias("severity"), kind.alias("finding_class"), "affected_count", F.array_join(F.slice("cols", 1, shown), ", ").alias("columns_shown"))
+# Severity and class of each kind of change, and what it means.
+DRIFT = {
+    "added": ("info", "design", "new columns are read from now on, under no rule until one is declared"),
+    "removed": ("medium", "risk", "rules and reports that name them no longer run"),
+    "changed": ("high", "risk", "a rule that relied on the old type or nullability may no longer hold"),
+    "table added": ("info", "design", "it is read from now on, under no rule until one is declared"),
+    "table removed": ("medium", "risk", "it was dropped, renamed or is out of reach; what reads it must be looked at"),
+}
+
+
+def drift_findings(current: DataFrame, earlier: DataFrame, shown: int = 8) -> DataFrame:
+    """PIP-007 in the schema of findings: one for each table that came or went, and one for each other table and kind of column change.
+
+    ``current`` and ``earlier`` are column fingerprints; without an earlier run there is nothing to tell.
+    The title names the first columns, the evidence all of them.
+    """
+    changes = diff(current, earlier)
+    whole = table_diff(changes, current, earlier).select("table_name", F.concat(F.lit("table "), "change").alias("change"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<string>").alias("columns"))
+    rest = changes.join(whole.select("table_name"), "table_name", "left_anti")
+    columns = rest.groupBy("table_name", "change").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("column_name")).alias("columns"))
+    pick = lambda k: reduce(lambda out, x: F.when(F.col("change") == x[0], x[1][k]).otherwise(out), DRIFT.items(), F.lit(None).cast("string"))
+    names = F.concat(F.array_join(F.slice("columns", 1, shown), ", "), F.when(F.col("n") > shown, " ...").otherwise(""))
+    title = F.when(F.col("n") == 0, text(F.col("change"), ": ", F.col("table_name"))).otherwise(text(F.col("n"), " columns of ", F.col("table_name"), " ", F.col("change"), ": ", names))
+    evidence = F.when(F.col("n") > 0, F.to_json(F.struct("change", "columns", pick(2).alias("meaning")))).otherwise(F.to_json(F.struct("change", pick(2).alias("meaning"))))
+    return finding(whole.unionByName(columns), "PIP-007", pick(0), pick(1), title, F.col("table_name"), "n", evidence=evidence)
 
 
 def empty_tables(row_counts: DataFrame) -> DataFrame:

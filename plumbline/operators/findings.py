@@ -151,10 +151,26 @@ def labelled_actions(actions: DataFrame) -> DataFrame:
     return actions.withColumn("label", label)
 
 
-# The register's columns in order.
-REGISTER = ("finding_id", "check_id", "family", "severity", "finding_class", "title", "entity_type", "entity_id", "affected_count", "grain", "baseline", "sampled", "evidence", "lifecycle", "first_seen", "rule_ref", "run_id")
+# The register's columns in order, with the finding's column that each shows.
+REGISTER = {
+    "check_id": "check_id", "family": "family", "severity": "severity", "class": "finding_class", "title": "title", "affected_count": "affected_count", "business_rule_ref": "business_rule_ref", "owner": "owner", "grain": "grain", "baseline": "baseline", "status": "status",
+    "why_it_matters": "why_it_matters", "llm_explanation": "llm_explanation", "llm_root_cause": "llm_root_cause", "llm_remediation": "llm_remediation", "entity_id": "entity_id", "well_id": "well_id",
+}
 
 
-def register_sheet(findings: DataFrame) -> DataFrame:
-    """The report's register: its columns in order, absent ones as null."""
-    return findings.select(*[F.col(c) if c in findings.columns else F.lit(None).cast("string").alias(c) for c in REGISTER])
+def register_sheet(findings: DataFrame, narration: DataFrame | None = None, rules: DataFrame | None = None, by: str = "finding_id") -> DataFrame:
+    """The report's register: one row a finding, its columns in order, absent ones as null, with its ``rank``.
+
+    ``narration`` (``by``, llm_explanation, llm_root_cause, llm_remediation) and
+    ``rules`` (check_id, business_rule_ref, owner, why_it_matters) are looked
+    up; a finding's own value goes before a looked-up one. Sort by rank, then
+    by falling affected_count.
+    """
+    out = findings
+    for other, key in ((narration, by), (rules, "check_id")):
+        if other is not None:
+            told = [c for c in other.columns if c != key]
+            out = out.join(other.select(key, *[F.col(c).alias(f"__{c}") for c in told]), key, "left")
+            out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) if c in findings.columns else F.col(f"__{c}") for c in told}).drop(*[f"__{c}" for c in told])
+    cells = [F.col(own).alias(name) if own in out.columns else F.lit(None).cast("bigint" if name in ("affected_count", "well_id") else "string").alias(name) for name, own in REGISTER.items()]
+    return out.select(*cells, severity_rank(F.col("severity")).alias("rank"))

@@ -528,22 +528,49 @@ def schema_fingerprints(spark, sf):
 
 
 def drifted(spark, sf):
-    """An earlier inventory: one column was missing, one is gone now, one had another type."""
-    now = drift.column_fingerprints(measured_inventory(spark, sf))
-    before = now.where("NOT (table_name = 'orders' AND column_name = 'o_orderpriority')")
-    before = before.withColumn("fp", F.when((F.col("table_name") == "customer") & (F.col("column_name") == "c_acctbal"), "other").otherwise(F.col("fp")))
-    gone = now.where("table_name = 'events' AND column_name = 'value'").withColumn("column_name", F.lit("old_value"))
-    return now, before.union(gone)
-
-
-@query("SELECT * FROM (VALUES ('orders', 'o_orderpriority', 'added'), ('events', 'old_value', 'removed'), ('customer', 'c_acctbal', 'changed')) t(table_name, column_name, change) WHERE (SELECT count(*) FROM orders) > 0")
+    """Column fingerprints now and earlier, as the data had them: earlier runs saw a third of the orders and half of the customers."""
+    o, e, c = (read(spark, sf, t) for t in ("orders", "events", "customer"))
+    third = o.where("o_orderkey % 3 = 0")
+    note = lambda df: df.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 1, F.lit("n")).alias("note"), F.when(F.col("o_orderkey") % 3 == 2, F.lit("m")).alias("mark"), F.expr("repeat('a', CAST(o_orderkey % 3 + 1 AS INT))").alias("tag"))
+    earlier = {"orders": note(third).withColumn("old", F.lit("x")), "events": e.where("user_id < 0"), "customers_old": c.where("c_custkey % 2 = 0").select("c_custkey")}
+    now = {"orders": note(o).withColumn("old", F.lit(None).cast("string")), "events": e.select("event_id", "user_id"), "customers_old": c.where("c_custkey < 0").select("c_custkey")}
+    return drift.column_fingerprints(registry.live_inventory(now)), drift.column_fingerprints(registry.live_inventory(earlier))
+
+
+# Keys by their remainder decide which columns had values and how long texts were.
+DRIFTED = """(
+  SELECT 'orders' AS t, 'note' AS c, 'added' AS change FROM orders HAVING count(*) FILTER (WHERE o_orderkey % 3 = 1) > 0
+  UNION ALL SELECT 'orders', 'mark', 'added' FROM orders HAVING count(*) FILTER (WHERE o_orderkey % 3 = 2) > 0
+  UNION ALL SELECT 'orders', 'old', 'removed' FROM orders HAVING count(*) FILTER (WHERE o_orderkey % 3 = 0) > 0
+  UNION ALL SELECT 'orders', 'tag', 'changed' FROM orders HAVING max(o_orderkey % 3) > 0 AND count(*) FILTER (WHERE o_orderkey % 3 = 0) > 0
+  UNION ALL SELECT 'events', unnest(['event_id', 'user_id']), 'added' FROM events HAVING count(*) > 0
+  UNION ALL SELECT 'customers_old', 'c_custkey', 'removed' FROM customer HAVING count(*) FILTER (WHERE c_custkey % 2 = 0) > 0)"""
+
+
+@query(f"SELECT t AS table_name, c AS column_name, change FROM {DRIFTED}")
 def schema_drift(spark, sf):
     return drift.diff(*drifted(spark, sf))
 
 
-@query("SELECT * FROM (VALUES ('PIP-007', 'orders', 'added', 'info', 'design', 1::BIGINT, 'o_orderpriority'), ('PIP-007', 'events', 'removed', 'medium', 'risk', 1, 'old_value'), ('PIP-007', 'customer', 'changed', 'high', 'risk', 1, 'c_acctbal')) t(check_id, table_name, change, severity, finding_class, affected_count, columns_shown) WHERE (SELECT count(*) FROM orders) > 0")
+@query(f"SELECT DISTINCT t AS table_name, change FROM {DRIFTED} WHERE t IN ('events', 'customers_old')")
+def table_drift(spark, sf):
+    """Whole tables that came or went."""
+    current, earlier = drifted(spark, sf)
+    return drift.table_diff(drift.diff(current, earlier), current, earlier)
+
+
+@query(f"""
+WITH k AS (SELECT * FROM (VALUES ('added', 'info', 'design', 'new columns are read from now on, under no rule until one is declared'), ('removed', 'medium', 'risk', 'rules and reports that name them no longer run'),
+  ('changed', 'high', 'risk', 'a rule that relied on the old type or nullability may no longer hold'), ('table added', 'info', 'design', 'it is read from now on, under no rule until one is declared'),
+  ('table removed', 'medium', 'risk', 'it was dropped, renamed or is out of reach; what reads it must be looked at')) v(change, severity, kind, meaning)),
+g AS (SELECT t, change, count(*) AS n, string_agg(c, ', ' ORDER BY c) AS names, string_agg('"' || c || '"', ',' ORDER BY c) AS quoted FROM {DRIFTED} WHERE t = 'orders' GROUP BY t, change
+  UNION ALL SELECT DISTINCT t, 'table ' || change, 0, NULL, NULL FROM {DRIFTED} WHERE t <> 'orders')
+SELECT 'PIP-007' AS check_id, 'PIP' AS family, severity, kind AS finding_class, CASE WHEN n = 0 THEN change || ': ' || t ELSE n || ' columns of ' || t || ' ' || change || ': ' || names END AS title, 'table' AS entity_type, t AS entity_id,
+  CAST(n AS BIGINT) AS affected_count, 'aggregate' AS grain, 'NONE' AS baseline, false AS sampled,
+  CASE WHEN n = 0 THEN '{{"change":"' || change || '","meaning":"' || meaning || '"}}' ELSE '{{"change":"' || change || '","columns":[' || quoted || '],"meaning":"' || meaning || '"}}' END AS evidence FROM g JOIN k USING (change)""")
 def drift_findings(spark, sf):
-    return drift.drift_findings(drift.diff(*drifted(spark, sf)))
+    """Drift in the schema of findings, so that it goes where all findings go."""
+    return drift.drift_findings(*drifted(spark, sf))
 
 
 @query("SELECT 'run2' AS run_id, t AS table_name, m AS metric, CAST(v AS VARCHAR) AS value FROM (SELECT 'lineitem' AS t, 'row_count' AS m, count(*) AS v FROM lineitem UNION ALL SELECT 'orders', 'row_count', count(*) FROM orders)")
@@ -796,9 +823,19 @@ def incident_references(spark, sf):
     return findings.unknown_references(incidents, found)
 
 
-@query(f"SELECT check_id, severity, finding_class, title, entity_id, affected_count FROM {FOUND(NOW)}")
+@query(f"""
+SELECT check_id, 'BIZ' AS family, severity, finding_class AS class, title, affected_count, CASE WHEN check_id <> 'BIZ-5' THEN 'rule ' || right(check_id, 1) END AS business_rule_ref, CASE WHEN check_id = 'BIZ-1' THEN 'planning' ELSE 'sales' END AS owner,
+  'row' AS grain, 'TARGET' AS baseline, CASE WHEN entity_id IN (SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01') THEN 'recurring' ELSE 'new' END AS status,
+  CASE WHEN check_id <> 'BIZ-5' THEN 'late orders of priority ' || right(check_id, 1) END AS why_it_matters, CASE WHEN affected_count > 1 THEN 'seen ' || affected_count || ' times' END AS llm_explanation, CAST(NULL AS VARCHAR) AS llm_root_cause,
+  CASE WHEN affected_count > 1 THEN 'call customer ' || entity_id END AS llm_remediation, entity_id, CAST(entity_id AS BIGINT) AS well_id, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS rank FROM {FOUND(NOW)}""")
 def register_sheet(spark, sf):
-    return findings.register_sheet(run_findings(spark, sf, NOW)).select("check_id", "severity", "finding_class", "title", "entity_id", "affected_count")
+    """The register with narrations and rules looked up."""
+    old = read(spark, sf, "orders").where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")).select(F.col("o_custkey").cast("string").alias("entity_id"), F.lit("recurring").alias("seen")).distinct()
+    f = run_findings(spark, sf, NOW).join(old, "entity_id", "left")
+    f = f.select("*", F.lit("BIZ").alias("family"), F.lit("row").alias("grain"), F.lit("TARGET").alias("baseline"), F.coalesce("seen", F.lit("new")).alias("status"), F.col("entity_id").cast("bigint").alias("well_id"), F.when(F.col("check_id") == "BIZ-1", "planning").alias("owner"), F.concat_ws("|", "check_id", "entity_id", "finding_class").alias("finding_id"))
+    told = f.where("affected_count > 1").select("finding_id", F.concat(F.lit("seen "), F.col("affected_count"), F.lit(" times")).alias("llm_explanation"), F.concat(F.lit("call customer "), "entity_id").alias("llm_remediation"))
+    known = spark.createDataFrame([(f"BIZ-{k}", f"rule {k}" if k < 5 else None, "sales", f"late orders of priority {k}" if k < 5 else None) for k in range(1, 6)], "check_id string, business_rule_ref string, owner string, why_it_matters string")
+    return findings.register_sheet(f, told, known)
 
 
 # Text against evidence.

@@ -114,6 +114,17 @@ def inventory(spark: SparkSession, tables: dict[str, DataFrame], schema: str = "
     return spark.createDataFrame(rows, "schema_name string, table_name string, column_name string, data_type string, nullable boolean, length int, ordinal int")
 
 
+def live_inventory(tables: dict[str, DataFrame], schema: str = "main") -> DataFrame:
+    """The inventory as the data have it: tables with rows, columns with a value, whether nulls occur, and the longest text; one scan a table."""
+    out = []
+    for name, df in sorted(tables.items()):
+        text = {f.name for f in df.schema if f.dataType.typeName() == "string"}
+        sums = [x for k, f in enumerate(df.schema) for x in (F.count(F.col(f"`{f.name}`")).alias(f"c{k}"), (F.max(F.length(F.col(f"`{f.name}`"))) if f.name in text else F.lit(None)).cast("int").alias(f"l{k}"))]
+        cells = [F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"), (F.col(f"c{k}") < F.col("n")).alias("nullable"), F.col(f"l{k}").alias("length"), F.lit(k + 1).alias("ordinal"), F.col(f"c{k}").alias("filled")) for k, f in enumerate(df.schema)]
+        out.append(df.agg(F.count("*").alias("n"), *sums).select(F.lit(schema).alias("schema_name"), F.lit(name).alias("table_name"), F.inline(F.array(*cells))).where("filled > 0").drop("filled"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, row_count) of each table."""
     each = [df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count") for name, df in sorted(tables.items())]

@@ -160,7 +160,7 @@ def test_register_orders_by_severity_then_rows(spark):
     assert [r.check_id for r in findings.register(f, limit=10, actionable_only=True).collect()] == ["B", "A"]
     card = findings.top_scorecard(f, 5).collect()[0]
     assert (card.findings, card.critical, card.actionable) == (3, 2, 2)
-    assert findings.register_sheet(f).columns == list(findings.REGISTER)
+    assert findings.register_sheet(f).columns == [*findings.REGISTER, "rank"]
 
 
 def test_previous_run_ignores_failures(spark):
