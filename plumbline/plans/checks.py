@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.normalise import Normalised
 from plumbline.plans.model import BASELINES, CHECK_RESULT, DISABLED_BASELINES, FINDING, Check, Grain
+from plumbline.sources import scratch
 
 
 @dataclass
@@ -68,6 +69,8 @@ class Registry:
                 if out is None:
                     results.append((check_id, check.family, "skipped", None, None, "table not available"))
                     continue
+                # Written once: the figures and the findings read the small result, not the tables again.
+                out = scratch.written(out.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in out.dtypes if kind == "void"}), "check")
                 own = self._findings(check, out)
                 scanned = F.sum("rows_scanned").cast("bigint") if "rows_scanned" in out.columns else F.lit(None).cast("bigint")
                 bad = "violations" if "violations" in out.columns else "affected_count"
