@@ -8,7 +8,9 @@ each sweep's columns come from a knapsack dynamic program on the weights,
 bounded by the pieces there are. The fractional solution is rounded to whole
 sequences that use no length more often than it occurs, the rest is solved
 and rounded again, and what remains at last (a few pieces in a thousand) is
-packed best-fit on its own histogram.
+packed best-fit on its own histogram. Where large pieces leave the program a
+gap to its own bound, it is solved again in smaller steps, and leaves to
+best-fit as much as gives the fewest sequences.
 
 Pieces then take their places without meeting in one task: a piece's rank
 among the pieces of its length comes from counts per (length, salt), and its
@@ -42,9 +44,11 @@ ROUNDS = 12
 REST = 0.004
 #: Columns of a sweep are worth so much less than the best at most.
 SLACK = 0.02
-#: For up to so many lengths, and for more: the cover a length may gain in a sweep, eta, the cover to reach, and sweeps at most.
+#: For up to so many lengths, for more, and for more where that left a gap: the cover a length may gain in a sweep, eta, the cover to reach, and sweeps at most.
 FEW_LENGTHS = 24
-FINE, COARSE = (0.02, 5.0, 30.0, 3000), (1.0, 0.3, 1.0, 40)
+FINE, COARSE, CLOSE = (0.02, 5.0, 30.0, 3000), (1.0, 0.3, 1.0, 40), (0.25, 1.0, 3.0, 120)
+#: A plan this near its bound is not solved again in smaller steps.
+GAP = 0.003
 
 
 class Knapsack:
@@ -94,7 +98,7 @@ def columns(price: np.ndarray, stock: np.ndarray, capacity: int, slack: float =
     return sorted(value, key=lambda c: (-value[c], c)), float(shelf.best[capacity])
 
 
-def fractional(left: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], float]], float]:
+def fractional(left: np.ndarray, capacity: int, many: tuple[float, float, float, int] = COARSE) -> tuple[list[tuple[dict[int, int], float]], float]:
     """(configurations with fractional counts that cover ``left`` on the whole, a lower bound of the counts' sum).
 
     A length's price falls exponentially with its cover. Each sweep prices
@@ -105,7 +109,7 @@ def fractional(left: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, in
     """
     lengths = np.flatnonzero(left)
     few = len(lengths) <= FEW_LENGTHS
-    step, eta, full, sweeps = FINE if few else COARSE
+    step, eta, full, sweeps = FINE if few else many
     n, cover, bound = left.astype(float), np.zeros(capacity + 1), 0.0
     used: dict[tuple[tuple[int, int], ...], float] = {}
     tokens = float((n * np.arange(capacity + 1)).sum())
@@ -221,26 +225,49 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]
     return [(items, n) for found in open_.values() for items, n in found]
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """A plan that places every piece of the histogram (length -> count)."""
-    left = np.zeros(capacity + 1, np.int64)
-    for k, n in histogram.items():
-        left[int(k)] = n
-    plan = [({capacity: 1}, int(left[capacity]))] if left[capacity] else []
-    left[capacity] = 0
-    at = np.arange(capacity + 1)
+def attempt(whole: np.ndarray, capacity: int, many: tuple[float, float, float, int]) -> Plan:
+    """Solve, round and solve the rest again; of the plans that leave the rest to best-fit after each round, the one with the fewest sequences.
+
+    Best-fit alone is the plan before the first round, so no plan is worse than it.
+    """
+    left, at = whole.copy(), np.arange(capacity + 1)
     short = first = int((left * at).sum())
-    bound = 0.0
+    placed: list[tuple[dict[int, int], int]] = []
+    best, bound = Plan(best_fit(left, capacity), 1.0), 0.0
     for seed in range(ROUNDS):
         if not left.any():
             break
-        found, least = fractional(left, capacity)
+        found, least = fractional(left, capacity, many)
         bound = bound or least
-        plan += rounded(found, left, capacity, seed)
+        placed += rounded(found, left, capacity, seed)
         before, short = short, int((left * at).sum())
+        plan = Plan(placed + best_fit(left, capacity), short / first if first else 0.0)
+        if plan.sequences() <= best.sequences():
+            best = plan
         if short > 0.9 * before or short <= REST * first:
             break
-    return Plan(plan + best_fit(left, capacity), short / first if first else 0.0, plan[0][1] + bound if plan and plan[0][0] == {capacity: 1} else bound)
+    best.bound = bound
+    return best
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """A plan that places every piece of the histogram (length -> count)."""
+    left = np.zeros(capacity + 1, np.int64)
+    for k, n in histogram.items():
+        left[int(k)] = n
+    full, left[capacity] = int(left[capacity]), 0
+    best = attempt(left, capacity, COARSE)
+    if best.sequences() > (1 + GAP) * best.bound + 1 and np.count_nonzero(left) > FEW_LENGTHS:
+        closer = attempt(left, capacity, CLOSE)
+        bound = max(best.bound, closer.bound)
+        best = min(best, closer, key=Plan.sequences)
+        best.bound = bound
+    if full:
+        best.configs.insert(0, ({capacity: 1}, full))
+        best.bound += full
+    if not left.any():
+        best.left_over = 0.0
+    return best
 
 
 def _pieces(path: str, separator: int, capacity: int):

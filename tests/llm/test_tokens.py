@@ -147,6 +147,39 @@ def test_the_program_places_the_pieces(times):
     assert plan.left_over <= 0.1 and plan.bound <= plan.sequences() <= 1.001 * plan.bound + 1
 
 
+def two_at_most(lengths):
+    """The optimum where no three pieces fit: two pointers."""
+    lengths, used, low = sorted(lengths), 0, 0
+    high = len(lengths) - 1
+    while low <= high:
+        low += low < high and lengths[low] + lengths[high] <= 2048
+        used, high = used + 1, high - 1
+    return used
+
+
+@pytest.mark.parametrize(("draw", "n"), [("uniform", 1_000), ("uniform", 20_000), ("two", 30_000), ("normal", 1_000), ("normal", 20_000), ("narrow", 20_000)])
+def test_many_large_pieces(draw, n):
+    """Never more sequences than best-fit; near the bound where pieces of all sizes are there; the optimum where two fit at most."""
+    rng = np.random.default_rng(5)
+    lengths = {"uniform": lambda: rng.integers(1, 2048, n), "two": lambda: rng.integers(700, 1400, n), "normal": lambda: np.clip(rng.normal(1000, 200, n), 1, 2047).astype(int), "narrow": lambda: rng.integers(500, 1001, n)}[draw]()
+    counts = np.bincount(lengths, minlength=2049)
+    plan = packing.solve({k: int(m) for k, m in enumerate(counts) if m})
+    used = np.zeros(2049, int)
+    for items, m in plan.configs:
+        assert sum(k * c for k, c in items.items()) <= 2048
+        for k, c in items.items():
+            used[k] += c * m
+    assert (used == counts).all()
+    greedy = sum(m for _, m in packing.best_fit(counts.copy(), 2048))
+    assert plan.bound - 1e-6 <= plan.sequences() <= greedy
+    if draw == "uniform":
+        assert plan.sequences() <= 1.005 * plan.bound + 3
+    if draw == "two":
+        assert plan.sequences() == two_at_most(lengths.tolist())
+    if draw == "narrow":
+        assert plan.sequences() <= 0.97 * greedy
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_few_lengths_reach_the_fractional_optimum(seed):
     rng = np.random.default_rng(seed)
