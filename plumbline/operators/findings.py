@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.expressions import count_if
-from plumbline.plans.model import actionable, severity_name, severity_rank
+from plumbline.plans.model import BASELINES, DISABLED_BASELINES, SEVERITIES, actionable, severity_name, severity_rank
 
 
 def register(findings: DataFrame, *, limit: int | None = None, offset: int = 0, actionable_only: bool = False, **equal) -> DataFrame:
@@ -151,6 +151,44 @@ def labelled_actions(actions: DataFrame) -> DataFrame:
     return actions.withColumn("label", label)
 
 
+#: What a finding must pass, in the order in which reasons are given.
+GATES = ("grain", "baseline", "materiality", "counter-query")
+
+
+def verified(findings: DataFrame, counters: DataFrame, *, keys: list[str], least: int = 1, tolerance: float = 0.0) -> DataFrame:
+    """``findings`` with counter_query_count, verified_by (gates passed), rejected_for and severity as it then stands.
+
+    A finding must state its grain and an enabled baseline, affect at least
+    ``least`` rows, and agree with an independent count of the same thing in
+    ``counters`` (keys, counter_query_count) to a share of ``tolerance``. The
+    first gate it fails is the reason to drop it (``rejected_for``); one that
+    has no counter-query stays, a step less severe, as it is not verified.
+    """
+    known = counters.select(*keys, F.col("counter_query_count").cast("bigint").alias("counter_query_count"))
+    out = findings.join(known, keys, "left")
+    counted, n = F.col("counter_query_count"), F.col("affected_count")
+    stated = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    passed = {
+        "grain": stated("grain"), "baseline": F.coalesce(F.upper("baseline").isin(*[b for b in BASELINES if b not in DISABLED_BASELINES]), F.lit(False)),
+        "materiality": F.coalesce(n >= least, F.lit(False)), "counter-query": F.coalesce(F.abs(n - counted) <= tolerance * F.greatest(n, counted), F.lit(False)),
+    }
+    failed = {g: ~passed[g] & counted.isNotNull() if g == "counter-query" else ~passed[g] for g in GATES}
+    reason = F.coalesce(*[F.when(failed[g], g) for g in GATES])
+    milder = severity_name(F.least(severity_rank(F.col("severity")) + 1, F.lit(SEVERITIES.index("low"))))
+    lowered = counted.isNull() & (severity_rank(F.col("severity")) < SEVERITIES.index("low"))
+    return out.withColumns({"verified_by": F.filter(F.array(*[F.when(passed[g], g) for g in GATES]), lambda x: x.isNotNull()), "rejected_for": reason, "severity": F.when(lowered, milder).otherwise(F.col("severity"))})
+
+
+def kept(checked: DataFrame) -> DataFrame:
+    """Verified findings that stay."""
+    return checked.where("rejected_for IS NULL").drop("rejected_for")
+
+
+def rejections(checked: DataFrame) -> DataFrame:
+    """(check_id, rejected_for, findings): why findings were dropped, for the run's record."""
+    return checked.where("rejected_for IS NOT NULL").groupBy("check_id", "rejected_for").agg(F.count("*").alias("findings"))
+
+
 # The register's columns in order, with the finding's column that each shows.
 REGISTER = {
     "check_id": "check_id", "family": "family", "severity": "severity", "class": "finding_class", "title": "title", "affected_count": "affected_count", "business_rule_ref": "business_rule_ref", "owner": "owner", "grain": "grain", "baseline": "baseline", "status": "status",

@@ -838,6 +838,39 @@ def register_sheet(spark, sf):
     return findings.register_sheet(f, told, known)
 
 
+CHECKED = f"""(SELECT *, CASE WHEN e % 13 = 0 THEN NULL ELSE 'row' END AS grain, CASE WHEN e % 17 = 0 THEN 'COMMITTED' ELSE 'ACTUAL' END AS baseline, CASE WHEN e % 11 <> 0 THEN affected_count + CASE WHEN e % 7 = 0 THEN 1 ELSE 0 END END AS counter
+  FROM (SELECT *, CAST(entity_id AS BIGINT) AS e FROM {FOUND(NOW)}))"""
+
+
+def checked_findings(spark, sf):
+    """Findings held against counts of the same orders found the other way round: all of the customer's less those of other classes."""
+    f, e = run_findings(spark, sf, NOW), F.col("entity_id").cast("bigint")
+    f = f.withColumns({"grain": F.when(e % 13 != 0, "row"), "baseline": F.when(e % 17 == 0, "COMMITTED").otherwise("ACTUAL")})
+    whole = f.groupBy("check_id", "entity_id").agg(F.sum("affected_count").alias("whole"), F.collect_list(F.struct("finding_class", "affected_count")).alias("each"))
+    others = F.aggregate(F.filter("each", lambda x: x["finding_class"] != F.col("finding_class")), F.lit(0).cast("bigint"), lambda total, x: total + x["affected_count"])
+    counters = f.select("check_id", "entity_id", "finding_class").join(whole, ["check_id", "entity_id"]).where(e % 11 != 0)
+    counters = counters.select("check_id", "entity_id", "finding_class", (F.col("whole") - others + F.when(e % 7 == 0, 1).otherwise(0)).alias("counter_query_count"))
+    return findings.verified(f, counters, keys=["check_id", "entity_id", "finding_class"], least=2)
+
+
+@query(f"""
+SELECT check_id, entity_id, finding_class, affected_count, counter AS counter_query_count,
+  CASE WHEN counter IS NULL THEN CASE severity WHEN 'critical' THEN 'high' WHEN 'high' THEN 'medium' ELSE 'low' END ELSE severity END AS severity,
+  array_to_string(['grain', 'baseline', 'materiality'] || CASE WHEN counter = affected_count THEN ['counter-query'] ELSE [] END, ',') AS verified_by
+FROM {CHECKED} WHERE grain IS NOT NULL AND baseline = 'ACTUAL' AND affected_count >= 2 AND coalesce(counter = affected_count, true)""")
+def verified_findings(spark, sf):
+    """Findings that pass every gate; one without a counter-query stays, a step less severe."""
+    return findings.kept(checked_findings(spark, sf)).select("check_id", "entity_id", "finding_class", "affected_count", "counter_query_count", "severity", F.array_join("verified_by", ",").alias("verified_by"))
+
+
+@query(f"""
+SELECT check_id, reason AS rejected_for, count(*) AS findings FROM (SELECT check_id, CASE WHEN grain IS NULL THEN 'grain' WHEN baseline <> 'ACTUAL' THEN 'baseline' WHEN affected_count < 2 THEN 'materiality' WHEN counter <> affected_count THEN 'counter-query' END AS reason FROM {CHECKED})
+WHERE reason IS NOT NULL GROUP BY ALL""")
+def rejected_findings(spark, sf):
+    """What was dropped, and why."""
+    return findings.rejections(checked_findings(spark, sf))
+
+
 # Text against evidence.
 @query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '-?\d[\d,]*(?:\.\d+)?%?'), lambda x: replace(x, ',', '')))), ' ') AS numbers FROM documents")
 def numbers_in_text(spark, sf):
