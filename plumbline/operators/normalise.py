@@ -61,9 +61,16 @@ def dedup(df: DataFrame, rule: DedupRule) -> DataFrame:
 
 
 def _groups(df: DataFrame, rule: DedupRule) -> DataFrame:
-    text = payload(rule.compare or [c for c in df.columns if c not in rule.keys])
-    keyed = df.select(*rule.keys, text.alias("__p"))
-    return keyed.groupBy(*rule.keys).agg(F.count("*").alias("n"), (F.min("__p") != F.max("__p")).alias("disagree"))
+    """Keys with their rows and whether these disagree: in some column the least and the greatest value differ, or only some are null."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    names = list(rule.compare) or [c for c in df.columns if c not in rule.keys]
+    comparable = lambda c: F.col(c) if kinds.get(c) not in ("map", "variant", "array", "struct") else payload([c])
+    keyed = df.select(*rule.keys, *[comparable(c).alias(f"__v{k}") for k, c in enumerate(names)])
+    differ = F.lit(False)
+    for k in range(len(names)):
+        v = F.col(f"__v{k}")
+        differ = differ | F.coalesce(F.min(v) != F.max(v), F.lit(False)) | F.count(v).between(1, F.count("*") - 1)
+    return keyed.groupBy(*rule.keys).agg(F.count("*").alias("n"), differ.alias("disagree"))
 
 
 def measure_duplicates(df: DataFrame, rule: DedupRule) -> DataFrame:
