@@ -15,9 +15,9 @@ empty result.
 
 from __future__ import annotations
 
-from plumbline.llm.stages import STAGES, run
+from plumbline.llm.stages import STAGES, clean, exact, language, near, pack, run
 
-__all__ = ["ORACLE_SQL", "STAGES", "run"]
+__all__ = ["ORACLE_SQL", "STAGES", "clean", "exact", "language", "near", "pack", "run"]
 
 #: Language ID, the near-duplicate groups, token ids and the packing plan are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
