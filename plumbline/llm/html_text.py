@@ -9,7 +9,7 @@ to the body is the threshold. Beside the path each child is judged by itself:
 one that reaches the threshold is taken whole, and of the others each block of
 text stays unless most of it is in links; a linked heading stays if the block
 after it does. An ``article`` or ``main`` around the core is taken whole and
-alone.
+alone, but for lists and containers in it that are short links only.
 
 Defined cases: a null or empty page gives an empty text; repeated rows are
 extracted each for itself; an unclosed comment or script runs to the end of
@@ -53,10 +53,14 @@ OWN = set("article post entry content story".split())
 ALWAYS = set("ad ads advert adverts sponsored promo related comment comments".split())
 #: A part cut by its name alone comes back if it holds more than this share of the text.
 SHARE = 0.5
+#: And one cut by a name of ALWAYS if it holds more than this share.
+ALL = 0.95
+#: A list or container inside the core is a menu if so much of its text is in links, so many at least, and none has a sentence's length.
+MENU_SHARE, MENU_LINKS, MENU_CHARS = 0.9, 2, 60
 
 
 def _cut(tag: str, attributes: str, inside_article: bool) -> int:
-    """0: stays; 1: cut for its name, which its text may outweigh; 2: cut for its element or role."""
+    """0: stays; 1: cut for its name, which its text may outweigh; 2: cut for its element or role; 3: cut for a name that only a page without other text outweighs."""
     if tag in CUT:
         return 2
     if tag == "header":
@@ -73,7 +77,7 @@ def _cut(tag: str, attributes: str, inside_article: bool) -> int:
         if parts <= NAMES | GLUE:
             names |= parts & NAMES
     if names & ALWAYS:
-        return 2
+        return 3
     if tag == "article" or tag in LEAF:
         return 0
     return int(bool(names) and not (names == {"header"} and (inside_article or own)))
@@ -95,11 +99,11 @@ class Page:
         self.parent.append(top)
         self.inside.append(self.inside[top] or tag in ("article", "main"))
         self.cut.append(how == 2)
-        if how == 1:
-            self.named.append(len(self.tag) - 1)
+        if how in (1, 3):
+            self.named.append((len(self.tag) - 1, how == 3))
 
     def _weigh(self) -> None:
-        """Cut what is named as no text, unless most of the page's text is in it; then hand all cuts down."""
+        """Cut what is named as no text, unless most of the page's text is in it (nearly all, for some names); then hand all cuts down."""
         n = len(self.tag)
         if self.named:
             chars, gone = [0] * n, self._inherited()
@@ -108,10 +112,14 @@ class Page:
                     chars[node] += len(text) - text.count(" ")
             for k in range(n - 1, 0, -1):
                 chars[self.parent[k]] += chars[k]
-            # An article or main beside it is the text, however short.
-            marked = any(chars[k] and not gone[k] and not self.inside[k] for k in range(n) if self.tag[k] in ("article", "main"))
-            for k in self.named:
-                self.cut[k] = self.cut[k] or marked or chars[k] <= SHARE * chars[0]
+            # An article or main beside it is the text, however short; nodes below one another follow it.
+            end = list(range(1, n + 1))
+            for k in range(n - 1, 0, -1):
+                end[self.parent[k]] = max(end[self.parent[k]], end[k])
+            articles = [k for k in range(n) if self.tag[k] in ("article", "main") and chars[k] and not gone[k]]
+            earliest, latest = min((end[k] for k in articles), default=n + 1), max(articles, default=-1)
+            for k, always in self.named:
+                self.cut[k] = self.cut[k] or earliest <= k or latest >= end[k] or chars[k] <= (ALL if always else SHARE) * chars[0]
         self.cut = self._inherited()
 
     def _inherited(self) -> list[bool]:
@@ -225,6 +233,7 @@ class Page:
                 tags[up] += tags[k] + 1
                 link_tags[up] += link_tags[k] + (self.tag[k] == "a")
         self.link = link
+        self.menu = [0 < chars[k] and link_tags[k] >= MENU_LINKS and link_chars[k] >= MENU_SHARE * chars[k] and chars[k] <= MENU_CHARS * link_tags[k] and self.tag[k] not in INLINE | LEAF for k in range(n)]
         share = link_chars[0] / chars[0] if chars[0] else 0.0
         self.density, self.sum, self.chars = [0.0] * n, [0.0] * n, chars
         for k in range(n - 1, -1, -1):
@@ -252,10 +261,12 @@ class Page:
                 self.alone, best = True, k
                 break
         threshold, on_path = min(self.density[k] for k in path), set(path)
+        for k in range(1, n):  # menus inside what is taken whole, and all that is in them
+            self.menu[k] = k not in on_path and (self.menu[k] or self.menu[self.parent[k]])
         for k in range(n):
             up = self.parent[k]
             dense = not self.alone and up in on_path and k not in on_path and self.tag[k] not in INLINE and self.density[k] >= threshold
-            whole[k] = k == best or dense or (k > 0 and whole[up])
+            whole[k] = not self.menu[k] and (k == best or dense or (k > 0 and whole[up]))
         return whole
 
     def text(self) -> str:
