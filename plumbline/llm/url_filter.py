@@ -27,6 +27,8 @@ from plumbline.llm.shared import table
 BUCKETS, SIZES = 1 << 16, (3, 4, 5)
 #: A URL whose n-grams were never seen scores about 0.5 and is allowed: it takes evidence to block.
 THRESHOLD = 0.56
+#: Labelled URLs that a model is trained on at most.
+LABELLED = 50_000
 
 # The rules of the registered query, as (host, path start, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -81,6 +83,8 @@ def features(host: str, path: str) -> np.ndarray:
 
 
 def split_url(url: str) -> tuple[str, str]:
+    if "://" not in url:
+        return "", ""
     rest = url.split("://", 1)[1]
     cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
     path = rest[cut:].split("?", 1)[0].split("#", 1)[0]
@@ -111,19 +115,42 @@ def score(host: str, path: str, w: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-(w[at].sum() / np.sqrt(max(len(at), 1)) + w[-1]))))
 
 
-def held_out(labelled: list[tuple[str, int]], threshold: float = THRESHOLD, folds: int = 5) -> dict[str, int]:
-    """Counts of blocked and allowed URLs by label, each judged by a model that saw no URL of its host."""
+def held_out_scores(labelled: list[tuple[str, int]], folds: int = 5) -> list[tuple[float, int]]:
+    """(score, label) of each URL by a model that saw no URL of its host."""
     fold = [zlib.crc32(split_url(url)[0].encode()) % folds for url, _ in labelled]
-    found = dict.fromkeys(("blocked", "missed", "blocked_wrongly", "allowed"), 0)
+    found = []
     for k in sorted(set(fold)):
         w = train([row for row, f in zip(labelled, fold) if f != k])
-        for (url, label), f in zip(labelled, fold):
-            if f == k:
-                blocks = score(*split_url(url), w) >= threshold
-                found[("blocked" if blocks else "missed") if label else ("blocked_wrongly" if blocks else "allowed")] += 1
+        found += [(score(*split_url(url), w), label) for (url, label), f in zip(labelled, fold) if f == k]
     return found
 
 
+def held_out(labelled: list[tuple[str, int]], threshold: float = THRESHOLD, folds: int = 5) -> dict[str, int]:
+    """Counts of blocked and allowed URLs by label, each judged by a model that saw no URL of its host."""
+    found = dict.fromkeys(("blocked", "missed", "blocked_wrongly", "allowed"), 0)
+    for p, label in held_out_scores(labelled, folds):
+        found[("blocked" if p >= threshold else "missed") if label else ("blocked_wrongly" if p >= threshold else "allowed")] += 1
+    return found
+
+
+def best_threshold(labelled: list[tuple[str, int]], precision: float = 0.95, folds: int = 5) -> tuple[float, float, float]:
+    """(threshold, precision, recall) held out by host: the lowest threshold that reaches ``precision``; (1.01, 1, 0), which blocks nothing, if none does."""
+    scores = sorted(held_out_scores(labelled, folds), reverse=True)
+    total, right, best = sum(label for _, label in scores), 0, (1.01, 1.0, 0.0)
+    for n, (p, label) in enumerate(scores, 1):
+        right += label
+        # URLs of one score stand or fall together.
+        if (n == len(scores) or scores[n][0] < p) and right and right >= precision * n:
+            best = (p, right / n, right / total)
+    return best
+
+
+def labelled_rows(df: DataFrame, url_col: str = "url", label_col: str = "label", limit: int = LABELLED) -> list[tuple[str, int]]:
+    """The (URL, 1 to block) rows of a labelled table that train a model: all with a URL and a label of 0 or 1, each once; beyond ``limit`` those of the smallest hash."""
+    rows = df.select(df[url_col].cast("string").alias("url"), df[label_col].cast("int").alias("label")).where("url IS NOT NULL AND label IN (0, 1)").distinct()
+    return [(r.url, r.label) for r in rows.orderBy(F.xxhash64("url"), "url", "label").limit(limit).collect()]
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value

@@ -1,5 +1,10 @@
 """Each stage of the pipeline on its own input."""
 
+import functools
+import hashlib
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -54,6 +59,89 @@ def test_near_stage_judges_rows_not_ids(spark, small):
     assert len(got) == 5
 
 
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def one_of_equal(rows):
+    """The row with the largest id of each text; a null text is empty, a null id loses."""
+    best = {}
+    for i, text in rows:
+        at = best.get(text or "")
+        if at is None or (i is not None and (at[0] is None or i > at[0])):
+            best[text or ""] = (i, text)
+    return best.values()
+
+
+def one_of_near(rows, k=5, percent=80):
+    """One row of each group linked by shared shingles, that with the smallest id."""
+    def shingled(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        return {tuple(w[p : p + k]) for p in range(max(len(w) - k, 0) + 1)} if w else set()
+
+    sets, group = [shingled(t) for _, t in rows], list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            common = len(sets[x] & sets[y])
+            if common and 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                old, new = group[x], group[y]
+                group = [new if g == old else g for g in group]
+    best = {}
+    for g, row in zip(group, rows):
+        if g not in best or (row[0] is None, row[0] or 0) < (best[g][0] is None, best[g][0] or 0):
+            best[g] = row
+    return best.values()
+
+
+def uncontaminated(rows, items):
+    wins = set()
+    for text in items:
+        w = WORD.findall((text or "").translate(LOWER))
+        wins.update(tuple(w[p : p + 13]) for p in range(max(len(w) - 13, 0) + 1 if w else 0))
+    sizes = {len(w) for w in wins}
+    for i, text in rows:
+        w, hit = WORD.findall((text or "").translate(LOWER)), set()
+        for n in sizes:
+            for p in range(len(w) - n + 1):
+                if tuple(w[p : p + n]) in wins:
+                    hit.update(range(p, p + n))
+        if not (hit and 20 * len(hit) >= len(w)):
+            yield i, text
+
+
+def with_letter(rows):
+    return [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
+
+
+def shown(rows):
+    return sorted((str(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+
+
+@pytest.mark.parametrize("source", ["small", "messy"])
+def test_stages_equal_brute_force(spark, messy, small, source):
+    """Each stage on what its predecessor kept, row for row."""
+    docs = table(spark, small, "documents") if source == "small" else messy
+    items = [r.text for r in table(spark, small, "benchmark").collect()]
+    plain = [with_letter, one_of_equal, one_of_near, functools.partial(uncontaminated, items=items)]
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    for (name, stage), brute in zip(corpus_pipeline.STAGES[:-1], plain):
+        docs = staged(stage(spark, docs, small), "test-stage")
+        got = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        assert shown(got) == shown(brute(rows)), name
+        rows = got
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
+    assert sorted({str(p.doc_id) for p in pieces}) == sorted({str(i) for i, _ in rows})
+    by = {}
+    for p in pieces:
+        by.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for places in by.values():
+        ends = 0
+        for offset, length in sorted(places):
+            assert offset == ends
+            ends += length
+        assert ends <= 2048
+
+
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
     assert shared_folder(spark)

@@ -118,6 +118,24 @@ def test_no_article_is_lost_to_a_name(name):
     assert html_text.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>") == "So x=1 holds."
 
 
+PARAGRAPH = "Some words of a paragraph that go on and on for a while here."
+
+
+@pytest.mark.parametrize("core", ["article", "div", "main"])
+def test_menus_inside_the_core_go(core):
+    menu = "<ul><li><a href='/1'>Menu one</a></li><li><a href='/2'>Menu two</a></li></ul><div><a href='/3'>Next</a> <a href='/4'>Last</a></div>"
+    links = "<ul><li><a href='/5'>One link</a> with words of its own beside it.</li><li>And a point without any.</li></ul>"
+    page = f"<body><{core}>{f'<p>{PARAGRAPH}</p>' * 3}{menu}{links}<p><a href='/6'>{PARAGRAPH}</a></p></{core}></body>"
+    assert html_text.main_text(page).split("\n") == [PARAGRAPH] * 3 + ["One link with words of its own beside it.", "And a point without any.", PARAGRAPH]
+
+
+def test_a_name_empties_no_page():
+    body = f"<p>{PARAGRAPH}</p>" * 3
+    assert html_text.main_text(f"<body><div class='related'>{body}</div></body>").split("\n") == [PARAGRAPH] * 3
+    assert html_text.main_text(f"<body><div><p>A short article.</p></div><div class='comments'>{body}</div></body>") == "A short article."
+    assert html_text.main_text(f"<body><article><p>A.</p></article><div class='related'>{body}</div></body>") == "A."
+
+
 @pytest.mark.parametrize("page", ["<a " * 20_000, '<a "b>"' * 20_000, "<br" * 30_000, "</script" * 20_000, "<a '>" * 20_001, "<" * 100_000, "<div>" * 10_000 + "</foo>" * 10_000, "<span>" * 10_000 + "<p>x</p>" * 10_000, "<p>" + "long text " * 500_000])
 def test_hostile_and_large_pages_take_linear_time(page):
     import time
@@ -162,6 +180,24 @@ def test_url_model_on_urls_it_never_saw(spark, small):
     assert all((r.verdict == "block") == bool(spam.search(r.host)) for r in out)
 
 
+def test_url_model_from_a_labelled_table(spark):
+    """Labels from a table; its threshold, precision and recall come from hosts that no model saw."""
+    rng = np.random.default_rng(6)
+    bad, good, places = ["casino", "pills", "bets", "loans"], ["garden", "museum", "library", "school"], ["play", "news", "shop", "read"]
+    rows = [(f"http://{rng.choice(bad if n % 2 else good)}-{n}.example/{rng.choice(places)}/{n % 9}", n % 2) for n in range(240)]
+    odd = [(None, 1), ("http://x.example/", None), ("http://y.example/", 7), ("no scheme", 0), rows[0], rows[0]]
+    df = spark.createDataFrame(rows + odd, "link string, block int").repartition(3)
+    labelled = url_filter.labelled_rows(df, "link", "block")
+    assert sorted(labelled) == sorted([*set(rows), ("no scheme", 0)])
+    assert url_filter.labelled_rows(df, "link", "block", limit=50) == labelled[:50]
+    threshold, precision, recall = url_filter.best_threshold(labelled, precision=0.99)
+    assert precision >= 0.99 and recall >= 0.9
+    pages = spark.createDataFrame([(1, "http://new-casino.example/news/3"), (2, "http://new-museum.example/news/3")], "page_id int, url string")
+    assert {r.page_id: r.verdict for r in url_filter.judge(pages, [], labelled, threshold=threshold).collect()} == {1: "block", 2: "allow"}
+    chance = [(f"http://{n * 7919 % 1000}.example/", n % 2) for n in range(60)]
+    assert url_filter.best_threshold(chance, precision=1.01)[0] > 1  # nothing is blocked where nothing was learned
+
+
 def test_url_model_held_out_by_host():
     """Words that recur across hosts are learned; a word that only one host has is not."""
     hosts = ["one", "two", "three", "four", "five", "six", "seven", "eight"]
