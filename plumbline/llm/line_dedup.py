@@ -38,13 +38,9 @@ from plumbline.llm.shared import settled, staged, table
 #: Words that the sentences of a block have together at least.
 BLOCK_WORDS = 8
 SENTENCE = re.compile(r"[^.!?]*[.!?]+[ \t\v\f\r]*|[^.!?]+")
-LOWER = {b: b + 32 for b in range(0x41, 0x5B)}
-#: ASCII white space, as bytes are split at; other white space of Unicode is text.
-BLANK = re.compile(r"[ \t\n\v\f\r]+")
-
-
-def normal(text: str) -> str:
-    return BLANK.sub(" ", text.translate(LOWER)).strip(" ")
+#: The same in bytes, where white space of ``split`` is ASCII's and A-Z alone change in ``LOWER``.
+SENTENCE_BYTES = re.compile(rb"[^.!?]*[.!?]+[ \t\v\f\r]*|[^.!?]+")
+LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -52,25 +48,27 @@ def sentences(text: str) -> list[list[str]]:
     return [SENTENCE.findall(line) or [""] for line in text.split("\n")]
 
 
-def units(text: str, block_words: int = BLOCK_WORDS) -> Iterator[tuple[bool, int, int, str]]:
+def units(text: str, block_words: int = BLOCK_WORDS) -> Iterator[tuple[bool, int, int, bytes]]:
     """(whether it is a line, first sentence, sentence after the last, normalised text) of each unit."""
-    lines = sentences(text)
-    flat = [normal(s) for line in lines for s in line]
-    at = 0
-    for line in lines:
-        if own := " ".join(filter(None, flat[at : at + len(line)])) if len(line) > 1 else flat[at]:
+    at, full, sizes, texts = 0, [], [0], []
+    for line in text.encode().translate(LOWER).split(b"\n"):
+        pieces = SENTENCE_BYTES.findall(line)
+        if own := line.split():
             # A line is normalised as a whole: its sentences may join without white space.
-            yield True, at, at + len(line), normal("".join(line)) if len(line) > 1 else own
-        at += len(line)
-    full = [k for k, s in enumerate(flat) if s]
-    size = list(accumulate((flat[k].count(" ") + 1 for k in full), initial=0))
+            yield True, at, at + len(pieces), b" ".join(own)
+            for k, piece in enumerate(pieces, at):
+                if found := piece.split():
+                    full.append(k)
+                    sizes.append(sizes[-1] + len(found))
+                    texts.append(b" ".join(found))
+        at += len(pieces) or 1
     last = 0
     for n, k in enumerate(full):
-        while last < len(full) and size[last] - size[n] < block_words:
+        while last < len(full) and sizes[last] - sizes[n] < block_words:
             last += 1
-        if size[last] - size[n] < block_words:
+        if sizes[last] - sizes[n] < block_words:
             return
-        yield False, k, full[last - 1] + 1, " ".join(flat[j] for j in full[n:last])
+        yield False, k, full[last - 1] + 1, b" ".join(texts[n:last])
 
 
 def _hashed(block_words: int):
@@ -83,7 +81,7 @@ def _hashed(block_words: int):
                     firsts.append(first)
                     ends.append(end)
                     lines.append(line)
-                    digests.append(hashlib.blake2b(own.encode(), digest_size=16, person=b"line" if line else b"block").digest())
+                    digests.append(hashlib.blake2b(own, digest_size=16, person=b"line" if line else b"block").digest())
             if rows:
                 at = pa.array(rows)
                 columns = [batch.column("id").take(at), batch.column("row").take(at), pa.array(lines), pa.array(firsts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())]
@@ -112,6 +110,8 @@ def judged(text: str, gone: list) -> tuple:
     """(lines, sentences, sentences removed, characters removed, removed spans, kept text) of a text and its removed units."""
     lines = sentences(text)
     total = sum(map(len, lines))
+    if not gone:
+        return len(lines), total, 0, 0, [], text
     turns = [0] * (total + 1)
     for x in gone:
         turns[x["first"]] += 1
