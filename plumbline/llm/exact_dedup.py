@@ -31,7 +31,7 @@ SPLITTER_CHARS = 24
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the runs of equal neighbours; only ids and digests of the open run are held."""
+    """Number the runs of equal neighbours; of the open run what stands beside the text is held (with ``carry`` the rows), of one range at most."""
     part = TaskContext.get().partitionId()
     held: list[pa.RecordBatch] = []
     text, run = None, -1
