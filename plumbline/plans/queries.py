@@ -1109,34 +1109,53 @@ def actionable_classes(spark, sf):
     return run_findings(spark, sf, NOW).groupBy("finding_class").agg(F.count("*").alias("findings")).withColumn("actionable", actionable(F.col("finding_class")))
 
 
-# Findings from measurements.
-SHOWN = ["check_id", "severity", "finding_class", "entity_id", "affected_count"]
+# Findings from measurements, every column of the schema compared.
+ALL_COLUMNS = [f.name for f in FINDING]
+
+
+def told(check_id: str, severity: str, kind: str, title: str, entity: str, n: str, evidence: str, *, entity_type: str = "table", grain: str = "aggregate", baseline: str = "NONE") -> str:
+    """A finding's columns in SQL; severity, class, title, entity, count and evidence are expressions."""
+    return f"'{check_id}' AS check_id, '{check_id.split('-')[0]}' AS family, {severity} AS severity, {kind} AS finding_class, {title} AS title, '{entity_type}' AS entity_type, {entity} AS entity_id, CAST({n} AS BIGINT) AS affected_count, '{grain}' AS grain, '{baseline}' AS baseline, false AS sampled, {evidence} AS evidence"
+
+
+def json_of(**values: str) -> str:
+    """A JSON text of numbers in SQL."""
+    return "'{' || " + " || ',' || ".join(f"""'"{k}":' || {v}""" for k, v in values.items()) + " || '}'"
 
 
-@query("SELECT 'PIP-001' AS check_id, 'info' AS severity, 'design' AS finding_class, 'events' AS entity_id, count(*) - count(*) FILTER (WHERE ts = m) AS affected_count FROM events e JOIN (SELECT user_id, max(ts) AS m FROM events GROUP BY user_id) g ON e.user_id = g.user_id HAVING count(*) > 0")
+@query(f"""
+WITH g AS (SELECT user_id, max(ts) AS m, count(DISTINCT ts) AS s, count(*) AS n FROM events GROUP BY user_id),
+t AS (SELECT CAST(sum(n) AS BIGINT) AS total, max(s) AS s, CAST(sum(n) AS BIGINT) - (SELECT count(*) FROM events JOIN g USING (user_id) WHERE ts = m) AS aside FROM g)
+SELECT {told("PIP-001", "'info'", "'design'", "'events holds up to ' || s || ' snapshots; the newest of each partition is read'", "'events'", "aside", json_of(rows="total", aside="aside", snapshots="s"), grain="snapshot_pinned(user_id)")} FROM t WHERE total > 0""")
 def finding_pinned(spark, sf):
-    return reports.pinned(normalise.pin_report(read(spark, sf, "events"), PIN), "events", PIN).select(*SHOWN)
+    return reports.pinned(normalise.pin_report(read(spark, sf, "events"), PIN), "events", PIN).select(*ALL_COLUMNS)
 
 
 @query(f"""
-SELECT 'DUP-001' AS check_id, CASE WHEN e > 0 THEN 'critical' ELSE 'info' END AS severity, CASE WHEN e > 0 THEN 'defect' ELSE 'design' END AS finding_class, 'lineitem' AS entity_id, e AS affected_count FROM (SELECT CAST(coalesce(sum(n - 1) FILTER (WHERE n > 1), 0) AS BIGINT) AS e FROM ({GROUPS}))
-UNION ALL SELECT 'CON-011', 'high', 'defect', 'lineitem', count(*) FROM ({GROUPS}) WHERE n > 1 AND d > 1 HAVING count(*) > 0""")
+WITH m AS (SELECT count(*) FILTER (WHERE n > 1) AS g, CAST(coalesce(sum(n - 1) FILTER (WHERE n > 1), 0) AS BIGINT) AS e, coalesce(max(n) FILTER (WHERE n > 1), 0) AS w, count(*) FILTER (WHERE n > 1 AND d = 1) AS i, count(*) FILTER (WHERE n > 1 AND d > 1) AS x FROM ({GROUPS}))
+SELECT {told("DUP-001", "CASE WHEN e > 0 THEN 'critical' ELSE 'info' END", "CASE WHEN e > 0 THEN 'defect' ELSE 'design' END", "'lineitem: ' || e || ' rows repeat a key (l_orderkey, l_linenumber); one row a key is counted'", "'lineitem'", "e", json_of(dup_groups="g", excess_rows="e", worst_group="w", groups_identical="i", groups_disagreeing="x"))} FROM m
+UNION ALL SELECT {told("CON-011", "'high'", "'defect'", "'lineitem: ' || x || ' keys (l_orderkey, l_linenumber) have rows that contradict each other'", "'lineitem'", "x", json_of(groups_disagreeing="x", groups_identical="i"), grain="group by (l_orderkey, l_linenumber)")} FROM m WHERE x > 0""")
 def finding_duplicates(spark, sf):
-    return reports.duplicates(normalise.measure_duplicates(read(spark, sf, "lineitem"), LINE_RULE), "lineitem", LINE_RULE, "DUP-001", "critical").select(*SHOWN)
+    return reports.duplicates(normalise.measure_duplicates(read(spark, sf, "lineitem"), LINE_RULE), "lineitem", LINE_RULE, "DUP-001", "critical").select(*ALL_COLUMNS)
 
 
-@query("SELECT 'VAL-018' AS check_id, 'medium' AS severity, 'defect' AS finding_class, 'events.user_id' AS entity_id, count(*) AS affected_count FROM events WHERE user_id IN (0, 1, 2) HAVING count(*) > 0")
+@query(f"""
+WITH m AS (SELECT count(*) FILTER (WHERE user_id IN (0, 1, 2)) AS n, count(*) AS t FROM events)
+SELECT {told("VAL-018", "'medium'", "'defect'", "'events: ' || n || ' rows with a key that is no entity in user_id, left out'", "'events.user_id'", "n", json_of(rows_phantom="n", rows_total="t"), entity_type="column", grain="row")} FROM m WHERE n > 0""")
 def finding_phantom(spark, sf):
     rule = PhantomKeyRule("user_id", (0, 1, 2), "exclude")
-    return reports.phantom(normalise.measure_phantom(read(spark, sf, "events"), rule), "events", rule).select(*SHOWN)
+    return reports.phantom(normalise.measure_phantom(read(spark, sf, "events"), rule), "events", rule).select(*ALL_COLUMNS)
 
 
-@query(f"""
-SELECT * FROM (SELECT 'BLK-001' AS check_id, 'medium' AS severity, 'defect' AS finding_class, 'orders' AS entity_id, count(*) FILTER (WHERE trim(st) = '') AS affected_count FROM {DIRTY}
-UNION ALL SELECT 'SNT-001', 'medium', 'defect', 'orders', count(*) FILTER (WHERE upper(trim(st)) IN ('N/A', 'UNKNOWN')) FROM {DIRTY}
-UNION ALL SELECT 'PLC-001', 'critical', 'defect', 'orders', count(*) FILTER (WHERE d IN (DATE '1900-01-01', DATE '1899-12-30')) FROM {DIRTY}) WHERE affected_count > 0""")
+def cleaned_sql(check_id: str, kind: str, column: str, severity: str, condition: str) -> str:
+    share = "CASE WHEN round(100.0 * n / t, 2) = floor(round(100.0 * n / t, 2)) THEN CAST(round(100.0 * n / t, 2) AS DECIMAL(9, 1))::VARCHAR ELSE rtrim(CAST(round(100.0 * n / t, 2) AS DECIMAL(9, 2))::VARCHAR, '0') END"
+    one = told(check_id, f"'{severity}'", "'defect'", f"'orders: ' || n || ' rows hold a {kind} in place of a value, most in {column}'", "'orders'", "n", json_of(rows_any="n", rows_total="t", pct=share), grain="row")
+    return f"SELECT {one} FROM (SELECT count(*) FILTER (WHERE {condition}) AS n, count(*) AS t FROM {DIRTY}) WHERE n > 0"
+
+
+@query(" UNION ALL ".join([cleaned_sql("BLK-001", "blank", "st", "medium", "trim(st) = ''"), cleaned_sql("SNT-001", "sentinel", "st", "medium", "upper(trim(st)) IN ('N/A', 'UNKNOWN')"), cleaned_sql("PLC-001", "placeholder", "d", "critical", "d IN (DATE '1900-01-01', DATE '1899-12-30')")]))
 def finding_cleanups(spark, sf):
-    return reports.cleanups(normalise.measure_cleanups(dirty_orders(spark, sf), CLEANUPS), "orders", {"placeholder": "critical"}).select(*SHOWN)
+    return reports.cleanups(normalise.measure_cleanups(dirty_orders(spark, sf), CLEANUPS), "orders", {"placeholder": "critical"}).select(*ALL_COLUMNS)
 
 
 @query(f"SELECT o_orderkey, d, st FROM {CLEAN}")
@@ -1146,9 +1165,6 @@ def cleanup_apply_any_case(spark, sf):
     return normalise.build(dirty_orders(spark, sf), TableRules("orders", cleanups=tuple(shouted))).df.select("o_orderkey", "d", "st")
 
 
-ALL_COLUMNS = [f.name for f in FINDING]
-
-
 @query(f"""
 SELECT 'CFG-001' AS check_id, 'CFG' AS family, 'high' AS severity, 'risk' AS finding_class, table_name || ': the ' || context || ' rule names columns that are not there and did not run on them' AS title,
        'table' AS entity_type, table_name AS entity_id, CAST(1 AS BIGINT) AS affected_count, 'aggregate' AS grain, 'NONE' AS baseline, false AS sampled,
@@ -1157,49 +1173,54 @@ def finding_missing_columns(spark, sf):
     return reports.missing_columns(normalise.missing_of(spark, misdeclared(spark, sf))).select(*ALL_COLUMNS)
 
 
-@query("SELECT 'CFG-002' AS check_id, 'high' AS severity, 'risk' AS finding_class, 'events' AS entity_id, CAST(0 AS BIGINT) AS affected_count WHERE EXISTS (SELECT 1 FROM events)")
+@query(f"SELECT {told('CFG-002', repr('high'), repr('risk'), repr('events was not normalised and is left out of this run'), repr('events'), '0', chr(39) + '{' + chr(34) + 'reason' + chr(34) + ':' + chr(34) + 'AnalysisException' + chr(34) + '}' + chr(39))} FROM events HAVING count(*) > 0")
 def finding_failed_table(spark, sf):
     """A table whose order column is missing cannot be normalised; the others are."""
     tables = {t: read(spark, sf, t) for t in ("events", "orders")}
     broken = TableRules("events", dedup=DedupRule(("user_id",), ("no_such desc",)))
     _, failed = normalise.build_all(tables, [broken, TableRules("orders")])
     live = registry.row_counts({"events": tables["events"]}).where("row_count > 0").select(F.col("table_name").alias("entity_id"))
-    return reports.failed_tables(spark, failed).join(live, "entity_id", "left_semi").select(*SHOWN)
+    return reports.failed_tables(spark, failed).join(live, "entity_id", "left_semi").select(*ALL_COLUMNS)
 
 
-@query(f"""
-SELECT 'BIZ-201' AS check_id, severity, finding_class, 'orders' AS entity_id, n AS affected_count FROM (
-  SELECT 'high' AS severity, 'violation' AS finding_class, count(*) FILTER (WHERE {LATE}) AS n FROM {FINISHED}
-  UNION ALL SELECT 'high', 'gap', count(*) FILTER (WHERE {GAP}) FROM {FINISHED}
-  UNION ALL SELECT 'info', 'pending', count(*) FILTER (WHERE {PENDING}) FROM {FINISHED}) WHERE n > 0""")
+def bucket_sql(bucket: str, severity: str, kind: str, words: str, condition: str) -> str:
+    one = told("BIZ-201", f"'{severity}'", f"'{kind}'", f"'Shipment: ' || n || ' {words}'", "'orders'", "n", f"""'{{"bucket":"{bucket}","n":' || n || '}}'""", grain="row", baseline="ACTUAL")
+    return f"SELECT {one} FROM (SELECT count(*) FILTER (WHERE {condition}) AS n FROM {FINISHED}) WHERE n > 0"
+
+
+@query(" UNION ALL ".join([bucket_sql("late", "high", "violation", "past the deadline", LATE), bucket_sql("gap", "high", "gap", "missing though due", GAP), bucket_sql("pending", "info", "pending", "not yet due", PENDING)]))
 def finding_deadlines(spark, sf):
-    return reports.deadlines(deadline_split(spark, sf), "BIZ-201", "orders", "Shipment").select(*SHOWN)
+    return reports.deadlines(deadline_split(spark, sf), "BIZ-201", "orders", "Shipment").select(*ALL_COLUMNS)
 
 
-@query("SELECT 'PIP-010' AS check_id, 'medium' AS severity, 'gap' AS finding_class, 'no_events' AS entity_id, CAST(1 AS BIGINT) AS affected_count WHERE (SELECT count(*) FROM events WHERE user_id < 0) = 0")
+@query(f"""SELECT {told("PIP-010", "'medium'", "'gap'", "'1 tables hold no row'", "'no_events'", "1", """'{"names":["no_events"]}'""")} FROM events HAVING count(*) FILTER (WHERE user_id < 0) = 0""")
 def finding_empty_tables(spark, sf):
-    return reports.empty_tables(empty_tables(spark, sf)).select(*SHOWN)
+    return reports.empty_tables(empty_tables(spark, sf)).select(*ALL_COLUMNS)
 
 
-@query(f"SELECT 'PIP-011' AS check_id, 'info' AS severity, 'design' AS finding_class, max_by(table_name, (row_count, table_name)) AS entity_id, count(*) AS affected_count FROM ({COUNTS}) WHERE row_count > 0 AND table_name NOT IN ('lineitem', 'orders', 'events') HAVING count(*) > 0")
+@query(f"""
+WITH c AS (SELECT *, table_name IN ('lineitem', 'orders', 'events') AS known FROM ({COUNTS})),
+m AS (SELECT count(*) FILTER (WHERE row_count > 0 AND NOT known) AS u, count(*) FILTER (WHERE row_count > 0 AND known) AS k, count(*) AS s, CAST(sum(row_count) FILTER (WHERE row_count > 0 AND NOT known) AS BIGINT) AS r FROM c),
+l AS (SELECT string_agg('{{"row_count":' || row_count || ',"table_name":"' || table_name || '"}}', ',' ORDER BY row_count DESC, table_name DESC) AS largest, max_by(table_name, (row_count, table_name)) AS top FROM c WHERE row_count > 0 AND NOT known)
+SELECT {told("PIP-011", "'info'", "'design'", "u || ' tables with rows are under no check; ' || k || ' of ' || s || ' are'", "top", "u", """'{"unchecked":' || u || ',"checked":' || k || ',"in_scope":' || s || ',"rows_unchecked":' || r || ',"largest":[' || largest || ']}'""")} FROM m, l WHERE u > 0""")
 def finding_unexamined(spark, sf):
     declared = spark.createDataFrame([("LineItem",), ("orders",), ("events",)], "table_name string")
-    return reports.unexamined(registry.row_counts(registry.parquet(spark, sf)), declared).select(*SHOWN)
+    return reports.unexamined(registry.row_counts(registry.parquet(spark, sf)), declared).select(*ALL_COLUMNS)
 
 
-@query("SELECT 'PIP-012' AS check_id, 'low' AS severity, 'gap' AS finding_class, 'orders' AS entity_id, CAST(2 AS BIGINT) AS affected_count FROM orders HAVING count(*) > 0")
+@query(f"""SELECT {told("PIP-012", "'low'", "'gap'", "'2 columns of 1 tables are null on every row'", "'orders'", "2", """'{"by_table":[{"table_name":"orders","columns":["note","remark"]}],"passed_over":[]}'""", entity_type="column")} FROM orders HAVING count(*) > 0""")
 def finding_dead_columns(spark, sf):
     o = read(spark, sf, "orders").withColumns({c: F.when(F.col("o_orderkey") < 0, F.lit("x")) for c in ("note", "remark")})
     found, passed = drift.dead_columns_of({"orders": o}, {"orders": 1}, 10)
-    return reports.dead_columns(found, passed).select(*SHOWN)
+    return reports.dead_columns(found, passed).select(*ALL_COLUMNS)
 
 
-@query("""
-SELECT 'WGT-001' AS check_id, 'medium' AS severity, 'violation' AS finding_class, l_returnflag AS entity_id, CAST(1 AS BIGINT) AS affected_count
+@query(f"""
+SELECT {told("WGT-001", "'medium'", "'violation'", "'lineitem: group_key ' || l_returnflag || ' breaks the rule'", "l_returnflag", "1", "NULL", entity_type="group_key")}
 FROM (SELECT DISTINCT l_returnflag, l_linenumber, CAST(l_discount AS DECIMAL(14,4)) AS w FROM lineitem) GROUP BY l_returnflag HAVING sum(w) IS NULL OR abs(sum(w) - 100) > 0.5""")
 def finding_bad_groups(spark, sf):
     """A check that names several bad groups, run by the registry."""
     registry_ = checks.Registry()
     registry_.add("WGT-001", lambda c: reports.bad_groups(rules.weight_groups(c.table("lineitem"), "l_returnflag", "l_linenumber", "l_discount"), "WGT-001", "lineitem", "group_key"), grain=ROW, baseline="NONE")
     found, _ = registry_.run(checks.Context(spark, {"lineitem": normalise.build(read(spark, sf, "lineitem"), TableRules("lineitem"))}, "2001-01-01"))
-    return found.select(*SHOWN)
+    return found.select(*ALL_COLUMNS)
