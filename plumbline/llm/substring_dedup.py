@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import words
 from plumbline.llm.bwt_merge import later_windows
-from plumbline.llm.shared import settled, shuffle_partitions, staged, table
+from plumbline.llm.shared import discard, settled, shared_folder, shuffle_partitions, staged, table
 
 WIDTH, ANCHOR = 50, 12
 REACH = WIDTH - ANCHOR + 1  # windows around one anchor
@@ -362,11 +362,11 @@ def _documents(keep_text: bool):
 
 
 def chunked(slim: DataFrame, name: str) -> DataFrame:
-    """The chunks as a table bucketed by chunk: what is joined to it later moves, the texts do not."""
+    """The chunks as a table bucketed by chunk, in the shared folder: what is joined to it later moves, the texts do not."""
     spark, n = slim.sparkSession, shuffle_partitions(slim.sparkSession)
     kind = slim.schema["id"].dataType.simpleString()
     found = slim.mapInArrow(_chunks, f"chunk long, ids array<{kind}>, ends array<long>, body binary")
-    found.repartition(n, "chunk").write.bucketBy(n, "chunk").saveAsTable(name)
+    found.repartition(n, "chunk").write.bucketBy(n, "chunk").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
@@ -388,7 +388,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     try:
         return settled(spark, "substring-dedup", lambda: _found(chunked(slim, chunks), slim.schema["id"].dataType.simpleString(), keep_text, hot_runs)).withColumnRenamed("id", id_col)
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {chunks} PURGE")
+        spark.sql(f"DROP TABLE IF EXISTS {chunks}")
+        discard(spark, f"{shared_folder(spark)}/{chunks}")
 
 
 def _found(chunks: DataFrame, kind: str, keep_text: bool, hot_runs: int) -> DataFrame:
