@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.expressions import count_if, is_blank, is_placeholder, is_sentinel, null_if, order, payload, pct
+from plumbline.operators import ranges
 from plumbline.operators.grain import at_grain, latest
 from plumbline.plans.model import ACTION, CleanupRule, DedupRule, Grain, PhantomKeyRule, SnapshotRule, TableRules
 
@@ -47,16 +48,21 @@ def pin_report(df: DataFrame, rule: SnapshotRule) -> DataFrame:
     return out.withColumn("rows_set_aside", F.col("rows_total") - F.col("rows_kept"))
 
 
-def dedup(df: DataFrame, rule: DedupRule) -> DataFrame:
-    """``keep_latest``: one row a key; ``collapse_identical``: agreeing groups become one row; ``exact_only``: unchanged."""
+def dedup(df: DataFrame, rule: DedupRule, source: DataFrame | None = None) -> DataFrame:
+    """``keep_latest``: one row a key; ``collapse_identical``: agreeing groups become one row; ``exact_only``: unchanged.
+
+    ``source`` is the table ``df`` comes from, where rows are counted if ``df`` observes them.
+    """
     if rule.mode == "keep_latest":
         return latest(df, list(rule.keys), list(rule.order_by))
     if rule.mode == "exact_only":
         return df
-    group = Window.partitionBy(*rule.keys)
+    # One order for all three, so that a group is sorted once.
+    group = Window.partitionBy(*rule.keys).orderBy(*(order(rule.order_by) or [F.col("__p")]))
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     text = payload(rule.compare or [c for c in df.columns if c not in rule.keys])
-    marked = df.withColumn("__p", text).withColumns({"__lo": F.min("__p").over(group), "__hi": F.max("__p").over(group)})
-    marked = marked.withColumn("__rn", F.row_number().over(group.orderBy(*(order(rule.order_by) or [F.col("__p")]))))
+    marked = ranges.spread(df, *rule.keys, source=source).withColumn("__p", text)
+    marked = marked.withColumns({"__lo": F.min("__p").over(whole), "__hi": F.max("__p").over(whole), "__rn": F.row_number().over(group)})
     return marked.where("__lo <> __hi OR __rn = 1").select(*df.columns)
 
 
@@ -235,7 +241,7 @@ def _rewritten(df: DataFrame, source: DataFrame, live: TableRules) -> tuple[Data
             out = apply_phantom(out, rule)
             done.append(f"phantom {rule.column}")
     if live.dedup and live.dedup.mode != "exact_only":
-        out = dedup(out, live.dedup)
+        out = dedup(out, live.dedup, source)
         done.append(f"dedup {live.dedup.mode}")
     if live.cleanups:
         out = clean(out, list(live.cleanups))

@@ -4,8 +4,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import ranges
+from plumbline.operators import normalise, ranges
 from plumbline.plans import queries
+from plumbline.plans.model import DedupRule, TableRules
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -32,3 +33,27 @@ def test_pairs_of_many_tasks_match_sql(spark, small_tasks):
     order = [want.columns.index(x) for x in found.columns]
     assert sorted(map(tuple, found.collect())) == sorted(tuple(r[k] for k in order) for r in want.fetchall())
     assert asked == 2  # both sides of the pair, one exchange that they share
+
+
+def test_collapsed_groups_fill_many_tasks_and_sort_once(spark, small_tasks):
+    lines = queries.read(spark, FOLDER, "lineitem")
+    doubled = lines.union(lines.where("l_orderkey % 3 = 0")).union(lines.where("l_orderkey % 5 = 0").withColumn("l_quantity", F.col("l_quantity") + 1))
+    rule = DedupRule(("l_orderkey", "l_linenumber"), mode="collapse_identical", compare=("l_quantity", "l_returnflag"))
+    out = normalise.dedup(doubled, rule)
+    tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) >= doubled.count() // 400 and max(tasks) <= 450
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Window [") == 1
+    kinds = lines.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.countDistinct("l_quantity", "l_returnflag").alias("d"))
+    kinds = kinds.select("l_orderkey", "n", "d").collect()
+    want = sum(r.n * (1 + (r.l_orderkey % 3 == 0) + 1) if r.l_orderkey % 5 == 0 else 1 if r.d == 1 else r.n * (1 + (r.l_orderkey % 3 == 0)) for r in kinds)
+    assert sum(tasks) == want and want > lines.count()
+
+
+def test_a_measured_write_still_observes_its_own_rows(spark, tmp_path, small_tasks):
+    """The rows are counted on the table itself, not on the one that observes them."""
+    lines = queries.read(spark, FOLDER, "lineitem")
+    lines = lines.union(lines.where("l_orderkey % 3 = 0"))
+    rule = DedupRule(("l_orderkey", "l_linenumber"), mode="collapse_identical", compare=("l_quantity", "l_returnflag"))
+    built = normalise.build(lines, TableRules("lineitem", dedup=rule))
+    out = normalise.write_measured(built, str(tmp_path / "lines"))
+    assert out.observed and out.counts == {"rows_raw": lines.count(), "rows_effective": built.df.count()}
