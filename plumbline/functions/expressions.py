@@ -95,16 +95,16 @@ def numbers_in(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(""))))
 
 
-def _plain(value: Column) -> Column:
+def plain_text(value: Column) -> Column:
     """A decimal as text; zeros are cut after a decimal point only."""
-    text = value.cast("decimal(38,6)").cast("string")
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    text = value.cast("decimal(38,6)").cast("string")  # always with a point
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
 
 
 def variants(numbers: Column) -> Column:
     """Each number token with its roundings to 0 .. 6 places."""
     plain = F.filter(F.transform(numbers, number_of), lambda x: x.isNotNull())
-    rounded = F.transform(plain, lambda x: F.array(*[_plain(F.bround(x, d)) for d in range(MOST_PLACES + 1)]))
+    rounded = F.transform(plain, lambda x: F.array(*[plain_text(F.bround(x, d)) for d in range(MOST_PLACES + 1)]))
     return F.array_distinct(F.concat(numbers, F.flatten(rounded)))
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.expressions import MOST_PLACES, any_between, bare, date_parts, fingerprint, is_rounding, number_of, numbers_in, places, rounding_interval
+from plumbline.functions.expressions import ISO_DATE, MOST_PLACES, NUMBER_IN_TEXT, any_between, bare, date_parts, fingerprint, is_rounding, number_of, numbers_in, places, plain_text, rounding_interval
+from plumbline.operators import ranges
 
 # Phrases that claim an early finish is a fault.
 EARLY_PHRASES = ("earlier than", "ahead of schedule", "acceleration", "accelerat", "sooner than", "before its expected", "before the expected", "before its target", "before the target")
@@ -45,25 +44,55 @@ def validate(df: DataFrame, statements: list[str], source: str) -> DataFrame:
     return out.withColumn("unsupported", bad).withColumn("ok", F.size("unsupported") == 0).drop("__used", "__known", "__dates", "__odd", "__bare", "__values", "__tokens")
 
 
+#: What ``validate_groups`` knows of a text in a group: a statement has it plain, with a percent sign, or a source supports it.
+PLAIN, PERCENT, SUPPORTED = 1, 2, 4
+#: Texts that a member is taken to bring with its source and its group's statement; it only sets the number of tasks.
+TEXTS = 12
+
+
+def _used(df: DataFrame, group: str, text: str) -> DataFrame:
+    """(group, text, seen) of each number token as it stands, not yet distinct."""
+    tokens = df.select(group, F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER_IN_TEXT), F.lit(0))).alias("x"))
+    tokens = tokens.select(group, F.replace("x", F.lit(","), F.lit("")).alias("x"))
+    return tokens.select(group, bare(F.col("x")).alias("text"), F.when(F.col("x").endswith("%"), PERCENT).otherwise(PLAIN).alias("seen"))
+
+
+def _supported(df: DataFrame, group: str, source: str) -> DataFrame:
+    """(group, text, seen) of each text that a source supports: its numbers, their roundings, and parts of its dates; not yet distinct.
+
+    All roundings to fewer places than a number has are written out; to more places it is itself.
+    Tokens are exploded before they are worked on, as lambdas over arrays are slow.
+    """
+    found = lambda pattern: F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(pattern), F.lit(0))
+    tokens = df.select(group, F.col(source).alias(source)).select(group, F.explode(F.concat(found(NUMBER_IN_TEXT), found(ISO_DATE))).alias("x"))
+    x = F.col("x")
+    is_date = F.instr(F.substring(x, 2, 1 << 30), "-") > 0  # a number has a sign in front only
+    tokens = tokens.select(group, "x", is_date.alias("dated"), F.when(~is_date, bare(F.replace(x, F.lit(","), F.lit("")))).alias("bare"))
+    tokens = tokens.select("*", number_of(F.col("bare")).alias("v"), F.when(~F.col("dated"), places(F.col("bare"))).alias("d"))
+    parts = [F.substring(x, at, n) for at, n in ((1, 4), (6, 2), (9, 2))]
+    other = lambda text, than: F.when(text != than, text)
+    dates = F.array(*parts, *[other(p.cast("int").cast("string"), p) for p in parts])
+    numbers = F.array("bare", *[F.when(F.col("d") >= k, other(plain_text(F.bround("v", k)), F.col("bare"))) for k in range(MOST_PLACES + 1)])
+    texts = tokens.select(group, F.explode(F.when(F.col("dated"), dates).otherwise(numbers)).alias("text"))
+    return texts.where("text IS NOT NULL").select(group, "text", F.lit(SUPPORTED).alias("seen"))
+
+
 def validate_groups(groups: DataFrame, members: DataFrame, group: str, statement: str, source: str) -> DataFrame:
     """Each group's statement against the numbers of all its members' sources.
 
-    Tokens meet the sources' tokens by their text, then the values by equality
-    at the token's own places: a source value is rounded only to the places
-    that its group's tokens have.
+    A rounding is written in one way only, so tokens and all that the sources
+    support meet by their text in one aggregation. It is spread by group and
+    text: a group of any size fills many tasks.
     """
-    used = groups.select(group, F.explode(numbers_in(F.col(statement))).alias("token"))
-    sources = members.select(group, F.explode(F.array_union(numbers_in(F.col(source)), date_parts(F.col(source)))).alias("x")).distinct()
-    left = used.withColumn("bare", bare(F.col("token"))).join(sources.select(group, bare(F.col("x")).alias("bare")).distinct(), [group, "bare"], "left_anti")
-    asked = left.where(is_rounding(F.col("token"))).select(group, "token", places(F.col("token")).alias("d"), number_of(F.col("token")).alias("v"))
-    known = members.select(group, F.explode(numbers_in(F.col(source))).alias("x")).select(group, number_of(F.col("x")).alias("v")).where("v IS NOT NULL").distinct()
-    at = reduce(lambda out, d: F.when(F.col("d") == d, F.bround("v", d).cast("decimal(32,10)")).otherwise(out), range(MOST_PLACES + 1), F.lit(None).cast("decimal(32,10)"))
-    rounded = known.join(asked.select(group, "d").distinct(), group).select(group, "d", at.alias("v")).distinct()
-    held = asked.join(rounded, [group, "d", "v"], "left_semi").select(group, "token")
-    missing = left.select(group, "token").join(held, [group, "token"], "left_anti")
-    found = missing.groupBy(group).agg(F.array_sort(F.collect_set("token")).alias("unsupported"))
-    out = groups.join(found, group, "left")
-    return out.withColumn("ok", F.col("unsupported").isNull())
+    both = _used(groups, group, statement).union(_supported(members, group, source))
+    # Few texts occur twice in a task, so they are dealt out before any is grouped.
+    met = ranges.spread(both, group, "text", source=members, each=TEXTS).groupBy(group, "text").agg(F.bit_or("seen").alias("seen"))
+    seen = lambda what: F.col("seen").bitwiseAND(what) > 0
+    tokens = F.array(F.when(seen(PLAIN), F.col("text")), F.when(seen(PERCENT), F.concat("text", F.lit("%"))))
+    missing = met.where(~seen(SUPPORTED)).select(F.col(group).alias("__group"), F.explode(tokens).alias("token")).where("token IS NOT NULL")
+    found = missing.groupBy("__group").agg(F.array_sort(F.collect_set("token")).alias("unsupported"))
+    out = groups.join(found, groups[group].eqNullSafe(F.col("__group")), "left").drop("__group")
+    return out.select(group, *[c for c in out.columns if c != group]).withColumn("ok", F.col("unsupported").isNull())
 
 
 def narration_key(fields: list[str], model: str, prompt: str) -> Column:

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import normalise, ranges
+from plumbline.operators import evidence, normalise, ranges
 from plumbline.plans import queries
 from plumbline.plans.model import DedupRule, TableRules
 
@@ -57,3 +57,20 @@ def test_a_measured_write_still_observes_its_own_rows(spark, tmp_path, small_tas
     built = normalise.build(lines, TableRules("lineitem", dedup=rule))
     out = normalise.write_measured(built, str(tmp_path / "lines"))
     assert out.observed and out.counts == {"rows_raw": lines.count(), "rows_effective": built.df.count()}
+
+
+def test_group_statements_meet_in_one_step_and_many_tasks(spark, small_tasks):
+    """A hot group's texts are spread, no join by group is left but the last, and a null group is judged as any other."""
+    source = F.concat(F.lit("at "), (F.col("id") * 3 + 0.5).cast("decimal(9,2)").cast("string"), F.lit(" on 2020-03-07"))
+    members = spark.range(4_000).select(F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 5 > 0, 8).alias("g"), source.alias("source"))
+    groups = members.select("g").distinct().withColumn("story", F.lit("in 2020, 03 and 3, at 6.5, 6, 15.50, 24, 36.5%, 3.5%, 18.51, 5,998 and 47"))
+    out = evidence.validate_groups(groups, members, "g", "story", "source")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.columns == ["g", "story", "unsupported", "ok"]
+    assert plan.count("Join ") == 1 and "RepartitionByExpression [g" in plan
+    # Values: 6.5, 24.5, 36.5 .. (7); 3.5, 9.5, 21.5 .. (8); 15.5, 45.5 .. (null), of which only 15.5 is written as 15.50.
+    assert {r.g: r.unsupported for r in out.collect()} == {
+        7: ["15.50", "18.51", "3.5%", "47", "5998"],
+        8: ["15.50", "18.51", "24", "36.5%", "47", "6", "6.5"],  # 5997.5 is a 5998
+        None: ["18.51", "24", "3.5%", "36.5%", "47", "5998", "6", "6.5"],
+    }
